@@ -19,6 +19,15 @@ def _quoted(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 
 
+def _literal(text: str) -> str:
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def _sql_array(items) -> Column:
+    """One array expression for any number of columns or literals."""
+    return F.expr("array(" + ", ".join(items) + ")")
+
+
 def split_name(name: str) -> tuple[str, int | None]:
     """(base, position) of a column name; position is None for a scalar."""
     found = re.match(INDEXED, name)
@@ -44,13 +53,13 @@ def wide_to_long(
     columns = list(columns) if columns is not None else [c for c in df.columns if c not in keys]
     if prefix is not None:
         columns = [c for c in columns if c.startswith(prefix)]
-    values = F.array(*[F.col(_quoted(c)).cast("double") for c in columns])
-    rows = df.select(*keys, F.posexplode(values).alias("_at", "value"))
     split = [split_name(c) if parse else (c, None) for c in columns]
-    names = F.array(*[F.lit(n) for n, _ in split])
+    values = _sql_array(f"CAST({_quoted(c)} AS DOUBLE)" for c in columns)
+    names = _sql_array(_literal(n) for n, _ in split)
+    rows = df.select(*keys, F.posexplode(values).alias("_at", "value"))
     out = [*keys, F.element_at(names, F.col("_at") + 1).alias("name")]
     if parse:
-        places = F.array(*[F.lit(i).cast("int") for _, i in split])
+        places = _sql_array("CAST(NULL AS INT)" if i is None else str(i) for _, i in split)
         out.append(F.element_at(places, F.col("_at") + 1).alias("idx"))
     return rows.select(*out, "value")
 

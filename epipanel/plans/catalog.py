@@ -54,10 +54,6 @@ class Frames:
         moments = R.log_moments(self.data.stream_draws, ["stream"])
         return R.fixed_priors(self.spark).unionByName(R.dispersion_priors(moments))
 
-    @cached_property
-    def full_daily(self) -> DataFrame:
-        return P.daily_full_join(self.data.cases, self.data.census)
-
     @cached_property
     def calendar(self) -> DataFrame:
         return H.forecast_calendar(self.ingest.panel)
@@ -110,7 +106,7 @@ def drop_incomplete(f: Frames) -> DataFrame:
 
 @query
 def daily_full_join(f: Frames) -> DataFrame:
-    return f.full_daily
+    return P.daily_full_join(f.data.cases, f.data.census)
 
 
 @query
@@ -120,7 +116,7 @@ def region_join(f: Frames) -> DataFrame:
 
 @query
 def latest_active_date(f: Frames) -> DataFrame:
-    return P.latest_active_date(f.full_daily)
+    return P.latest_active_date(f.ingest.daily)
 
 
 @query
@@ -148,14 +144,14 @@ def delay_correct(f: Frames) -> DataFrame:
 
 @query
 def sum_strict_by_place(f: Frames) -> DataFrame:
-    return f.full_daily.groupBy("place").agg(
+    return f.ingest.daily.groupBy("place").agg(
         *[sum_strict(c).alias(c) for c in ("cases", "deaths", "hospitalized", "icu")]
     )
 
 
 @query
 def last_by_date(f: Frames) -> DataFrame:
-    return f.full_daily.groupBy("place").agg(
+    return f.ingest.daily.groupBy("place").agg(
         *[last_by(c, "date").alias(c) for c in ("cumulative_deaths", "hospitalized", "icu")]
     )
 

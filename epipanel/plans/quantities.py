@@ -11,6 +11,7 @@ from ..constants import COMPARTMENTS, PARAMETER_NAMES, STREAMS
 from ..operators import model_tables as M
 from ..operators.draws import DRAW_KEYS, long_to_wide, wide_to_long
 from ..operators.horizon import OBSERVED
+from ..session import stage
 
 # Scalar quantities of a record, in order.
 SCALARS = (
@@ -43,9 +44,9 @@ class Quantities:
 
     @cached_property
     def params(self) -> DataFrame:
-        """One row per draw; a draw's rows combine map-side before they move."""
+        """One row per draw, stored; a draw's rows combine map-side before they move."""
         wide = long_to_wide(self.centred, DRAW_KEYS, PARAMETER_NAMES)
-        return M.rates_and_days(wide)
+        return stage(M.rates_and_days(wide))
 
     @cached_property
     def walk(self) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Feeds to weekly panel, dimension and initial values, as one lazy job."""
+"""Feeds to weekly panel, dimension and initial values."""
 
 from __future__ import annotations
 
@@ -8,10 +8,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import panel as P
+from ..session import stage
 
 
 class Surveillance:
-    """Lazy frames of the ingest job; nothing runs until a result is written."""
+    """Frames of the ingest job.
+
+    Four results are stored once and read by all that follows: the joined
+    place-days, the delay ECDF, the rolled-up panel and the place dimension.
+    Everything else is lazy over them.
+    """
 
     def __init__(
         self,
@@ -27,36 +33,34 @@ class Surveillance:
         self.delay_events, self.state = delay_events, state
 
     @cached_property
-    def window(self) -> DataFrame:
-        """Only the census can make a date active, so only it is scanned."""
-        return P.reporting_window(self.census)
+    def daily(self) -> DataFrame:
+        """All place-days, stored: the feeds are read once."""
+        return stage(P.daily_full_join(self.cases, self.census))
 
     @cached_property
-    def daily(self) -> DataFrame:
-        """Place-days of the window. Both feeds are cut before they are joined."""
-        return P.daily_full_join(
-            P.in_reporting_window(self.cases, self.window),
-            P.in_reporting_window(self.census, self.window),
-        )
+    def window(self) -> DataFrame:
+        return P.reporting_window(self.daily)
 
     @cached_property
     def ecdf(self) -> DataFrame:
-        return P.delay_ecdf(self.delay_events)
+        """Reported share by days of delay, stored: the events are read once."""
+        return stage(P.delay_ecdf(self.delay_events))
 
     @cached_property
     def corrected(self) -> DataFrame:
         latest = self.window.select("latest_date").scalar()
-        return P.delay_correct(self.daily, latest, self.ecdf)
+        inside = P.in_reporting_window(self.daily, self.window)
+        return P.delay_correct(inside, latest, self.ecdf)
 
     @cached_property
     def weekly(self) -> DataFrame:
-        days = self.cases.select("date").unionByName(self.census.select("date"))
-        first = P.in_reporting_window(days, self.window).agg(F.min("date").alias("d"))
-        return P.weekly_panel(self.corrected, first.scalar())
+        inside = P.in_reporting_window(self.daily.select("date"), self.window)
+        return P.weekly_panel(self.corrected, inside.agg(F.min("date").alias("d")).scalar())
 
     @cached_property
     def rolled(self) -> DataFrame:
-        return P.rollup_places(self.weekly, self.region_key, self.state)
+        """Panel of places, regions and state, stored."""
+        return stage(P.rollup_places(self.weekly, self.region_key, self.state))
 
     @cached_property
     def panel(self) -> DataFrame:
@@ -64,7 +68,8 @@ class Surveillance:
 
     @cached_property
     def dim(self) -> DataFrame:
-        return P.place_dimension(self.populations, self.region_key, self.state)
+        """Ids and populations, stored."""
+        return stage(P.place_dimension(self.populations, self.region_key, self.state))
 
     @cached_property
     def init(self) -> DataFrame:

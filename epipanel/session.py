@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,15 +26,32 @@ def tune(builder: SparkSession.Builder) -> SparkSession.Builder:
     return builder
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the cluster's shared folder.
+def shared_folder(spark: SparkSession) -> str:
+    """Folder for cut lineage: the one the cluster names in ``spark.checkpoint.dir``.
 
-    The folder is the session's ``spark.checkpoint.dir``; only a session that
-    names none (a local test) gets a scratch folder of its own.
+    Only a session that names none (a local test) gets a scratch folder.
     """
-    spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="epipanel-"))
+        named = context.getConf().get("spark.checkpoint.dir")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="epipanel-"))
+    return context.getCheckpointDir()
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def stage(df: DataFrame) -> DataFrame:
+    """Write a stage's result to the shared folder and read it back.
+
+    Later stages scan the stored columns they need instead of repeating the
+    work, a lost executor costs one stage, and the planner sees the true size
+    of the table when it chooses a join.
+    """
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/stage-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
