@@ -94,20 +94,19 @@ def log_random_walk(
 
 
 def step_param_lookup(
-    steps: DataFrame, asked: DataFrame, keys: Sequence[str] = DRAW_KEYS
+    steps: DataFrame, asked: DataFrame, keys: Sequence[str] = DRAW_KEYS, out: str = "value"
 ) -> DataFrame:
-    """Value in force at each asked time: the last step at or before it.
+    """``asked`` with the value in force at its time: the last step at or before it.
 
     Steps and asked times of a draw are merged in time order and the value is
     carried forward, so a draw's steps are never paired with all its times.
+    The other columns of ``asked`` ride along.
     """
+    rest = [c for c in asked.columns if c not in (*keys, "t")]
     merged = steps.select(
         *keys, "t", F.lit(0).alias("_asked"), F.struct("value").alias("_step")
     ).unionByName(
-        asked.select(
-            *keys, "t", F.lit(1).alias("_asked"),
-            F.lit(None).cast("struct<value:double>").alias("_step"),
-        )
+        asked.select(*keys, "t", F.lit(1).alias("_asked"), *rest), allowMissingColumns=True
     )
     upto = (
         Window.partitionBy(*keys).orderBy("t", "_asked")
@@ -116,7 +115,7 @@ def step_param_lookup(
     held = F.last("_step", ignorenulls=True).over(upto)
     return (
         merged.withColumn("_held", held).where(F.col("_asked") == 1)
-        .select(*keys, "t", F.col("_held.value").alias("value"))
+        .select(*keys, "t", *rest, F.col("_held.value").alias(out))
     )
 
 
@@ -125,12 +124,12 @@ def transition_flows(
 ) -> DataFrame:
     """The nine flows at each stored state, N, and the log-scale net rates.
 
-    ``params`` has one row per draw and week with β_t, or one per draw where
-    β is constant; it is matched on ``keys`` and, when present, on t.
+    ``params`` has one row per draw. A β that changes by week is a column of
+    the states; a constant one may be among the parameters.
     """
-    on = [*keys, "t"] if "t" in params.columns else list(keys)
-    wanted = ["β", "γ", "ν", "η", "κ", "ω", "IHR", "HICUR", "ICUDR"]
-    c = compartments.join(params.select(*on, *wanted), on)
+    rates = ["β", "γ", "ν", "η", "κ", "ω", "IHR", "HICUR", "ICUDR"]
+    wanted = [r for r in rates if r not in compartments.columns]
+    c = compartments.join(params.select(*keys, *wanted), list(keys))
     alive = [x for x in COMPARTMENTS if x != "C"]
     n = F.col(alive[0])
     for x in alive[1:]:
@@ -191,10 +190,13 @@ def increments(
 
 def expected_observations(
     compartments: DataFrame, params: DataFrame, populations: DataFrame,
-    keys: Sequence[str] = DRAW_KEYS,
+    keys: Sequence[str] = DRAW_KEYS, carry: Sequence[str] = (),
 ) -> DataFrame:
-    """Expected census and new counts of each draw and week, clamped."""
-    detection = params.select(*keys, "case_detection_rate", "death_detection_rate")
+    """Expected census and new counts of each draw and week, clamped.
+
+    ``carry`` names parameters to keep beside the means.
+    """
+    detection = params.select(*keys, "case_detection_rate", "death_detection_rate", *carry)
     sizes = populations.select(
         F.col("id").alias("place_id"), F.col("population").cast("double").alias("_top")
     )
@@ -209,6 +211,7 @@ def expected_observations(
         mean(F.col("new_C") * F.col("case_detection_rate")).alias("new_cases_mean"),
         mean(F.col("ICU")).alias("icu_mean"),
         mean(F.col("new_D") * F.col("death_detection_rate")).alias("new_deaths_mean"),
+        *carry,
     )
 
 
@@ -240,20 +243,16 @@ def nb_params(df: DataFrame, mu: str = "mu", phi: str = "phi") -> DataFrame:
 
 
 def nb_loglik(
-    observed: DataFrame, means: DataFrame, dispersions: DataFrame,
-    keys: Sequence[str] = DRAW_KEYS,
+    observed: DataFrame, means: DataFrame, keys: Sequence[str] = DRAW_KEYS
 ) -> DataFrame:
     """Log likelihood of each draw over all observed streams and weeks.
 
     ``observed``: (place_id, stream, t, value); ``means``: (draw, stream, t,
-    mu); ``dispersions``: (draw, stream, phi). Missing observations count
-    nothing.
+    mu, phi). Missing observations count nothing.
     """
-    scored = (
-        means.join(observed.where(F.col("value").isNotNull()), ["place_id", "stream", "t"])
-        .join(dispersions, [*keys, "stream"])
-        .withColumn("_ll", nb_log_density("value", "mu", "phi"))
-    )
+    scored = means.join(
+        observed.where(F.col("value").isNotNull()), ["place_id", "stream", "t"]
+    ).withColumn("_ll", nb_log_density("value", "mu", "phi"))
     return scored.groupBy(*keys).agg(
         F.sum("_ll").alias("log_likelihood"), F.count(F.lit(1)).alias("n_observed")
     )

@@ -1,23 +1,23 @@
 """Exact quantiles per group, for groups of any size.
 
-Most groups hold one value per Monte-Carlo draw, a few thousand at most, and
-``percentile`` answers all probabilities of a group in one aggregate. That
-aggregate keeps every distinct value of the group in one task, so groups above
-``limit`` rows are found first and answered by narrowing: count values in cells
-of the group's range, keep the cells that hold a wanted rank, and repeat inside
-them. Counting combines map-side; no task ever holds a large group.
+Most groups hold one value per Monte-Carlo draw, a few thousand at most: their
+values are brought together, sorted, and read at the wanted ranks. That is only
+done for groups proved to hold at most ``limit`` rows. Larger groups are found
+first and answered by narrowing: count values in cells of the group's range,
+keep the cells that hold a wanted rank, and repeat inside them. Counting
+combines map-side; no task ever holds a large group.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
 
-GROUP_LIMIT = 1_000_000      # rows of one group that one task may hold
+GROUP_LIMIT = 100_000        # rows of one group that one task may hold
 LISTED_GROUPS = 1_000        # large groups that may be listed and broadcast
 CELLS = 4096                 # cells per narrowing step
 SALTS = 64                   # spread of a large group when the list is long
@@ -41,7 +41,7 @@ def group_quantiles(
     """
     slim = df.select(*keys, F.col(value).cast("double").alias("_v")).where("_v is not null")
     if group_rows is not None and group_rows <= limit:
-        return _by_hash(slim, keys, probs, out)
+        return _by_sorting(slim, keys, probs, out)
 
     packed = slim.select(F.struct(*keys).alias("_g"), "_v")
     large = (
@@ -49,7 +49,7 @@ def group_quantiles(
     )
     listed = large.limit(LISTED_GROUPS + 1).collect()
     if not listed:
-        return _by_hash(slim, keys, probs, out)
+        return _by_sorting(slim, keys, probs, out)
     if len(listed) <= LISTED_GROUPS:
         large = F.broadcast(df.sparkSession.createDataFrame(listed, large.schema))
         salts = 1
@@ -59,12 +59,31 @@ def group_quantiles(
     usual = _match(packed, large.select("_g"), salts, how="left_anti").select("_g.*", "_v")
     hot = _match(packed, large.select("_g"), salts, how="left_semi")
     answered = _by_narrowing(hot, large, probs, limit, salts, out)
-    return _by_hash(usual, keys, probs, out).unionByName(answered.select("_g.*", out))
+    return _by_sorting(usual, keys, probs, out).unionByName(answered.select("_g.*", out))
 
 
-def _by_hash(df: DataFrame, keys: Sequence[str], probs: Sequence[float], out: str) -> DataFrame:
-    wanted = F.array(*[F.lit(float(p)) for p in probs])
-    return df.groupBy(*keys).agg(F.percentile("_v", wanted).alias(out))
+def _by_sorting(df: DataFrame, keys: Sequence[str], probs: Sequence[float], out: str) -> DataFrame:
+    """Groups of at most ``limit`` rows, each sorted whole in one task.
+
+    Rows are placed by key before they are gathered: partial lists would only
+    be copied through the shuffle. Groups are small, so tasks stay even.
+    """
+    gathered = df.repartition(*keys).groupBy(*keys).agg(
+        F.sort_array(F.collect_list("_v")).alias("_sorted")
+    )
+    n = F.size("_sorted")
+    asked = [
+        _between(F.lit(float(p)) * (n - 1), lambda r: F.get("_sorted", r.cast("int")))
+        for p in probs
+    ]
+    return gathered.select(*keys, F.array(*asked).alias(out))
+
+
+def _between(position: Column, value_at: Callable[[Column], Column]) -> Column:
+    """Linear interpolation between the two ranks around a position."""
+    low, high = F.floor(position).cast("bigint"), F.ceil(position).cast("bigint")
+    mixed = (high - position) * value_at(low) + (position - low) * value_at(high)
+    return F.when(low == high, value_at(low)).otherwise(mixed)
 
 
 def _match(
@@ -163,14 +182,11 @@ def _by_narrowing(
         F.map_from_entries(F.collect_list(F.struct("_rank", "_v"))).alias("_at")
     )
 
-    def quantile(p: float) -> Column:
-        position = F.lit(float(p)) * (F.col("_total") - 1)
-        low, high = F.floor(position).cast("bigint"), F.ceil(position).cast("bigint")
-        at_low, at_high = F.element_at("_at", low), F.element_at("_at", high)
-        between = (high - position) * at_low + (position - low) * at_high
-        return F.when(low == high, at_low).otherwise(between)
-
-    return by_rank.select("_g", F.array(*[quantile(p) for p in probs]).alias(out))
+    asked = [
+        _between(F.lit(float(p)) * (F.col("_total") - 1), lambda r: F.element_at("_at", r))
+        for p in probs
+    ]
+    return by_rank.select("_g", F.array(*asked).alias(out))
 
 
 def _sized(cells: DataFrame, salts: int) -> DataFrame:

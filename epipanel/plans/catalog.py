@@ -19,6 +19,7 @@ from ..operators import panel as P
 from ..operators import priors as R
 from ..operators.quantiles import median_qi
 from ..operators.ranking import top_n_finite
+from ..session import stage
 from .quantities import Quantities, observed_streams
 from .surveillance import Surveillance
 from .testdata import STATE, TestData
@@ -51,8 +52,9 @@ class Frames:
 
     @cached_property
     def priors(self) -> DataFrame:
+        """The model's priors and the fitted dispersions, stored."""
         moments = R.log_moments(self.data.stream_draws, ["stream"])
-        return R.fixed_priors(self.spark).unionByName(R.dispersion_priors(moments))
+        return stage(R.fixed_priors(self.spark).unionByName(R.dispersion_priors(moments)))
 
     @cached_property
     def calendar(self) -> DataFrame:
@@ -266,8 +268,8 @@ def flatten_record(f: Frames) -> DataFrame:
 @query
 def reorder_vars(f: Frames) -> DataFrame:
     draws = f.data.draws
-    order = draws.select("name", "idx").distinct().withColumn("pos", 65 - F.col("idx"))
-    return D.reorder_vars(draws, order)
+    names = draws.select("name", "idx").distinct()
+    return D.reorder_vars(draws, stage(names.withColumn("pos", 65 - F.col("idx"))))
 
 
 @query
@@ -445,36 +447,34 @@ def effective_r(f: Frames) -> DataFrame:
     return rounded(f.model.effective, 6, "R₀_t", "β_t", "Rₜ_t")
 
 
+def _beta_steps(f: Frames) -> DataFrame:
+    return f.model.walk.select(*KEYS, (F.col("idx") - 1).alias("t"), F.col("β_t").alias("value"))
+
+
 @query
 def step_param_lookup(f: Frames) -> DataFrame:
     """β in force at each state's week, from the weeks at which it changes."""
-    steps = f.model.walk.select(*KEYS, (F.col("idx") - 1).alias("t"), F.col("β_t").alias("value"))
     asked = f.data.compartments.select(*KEYS, "t")
-    return rounded(M.step_param_lookup(steps, asked), 6, "value")
+    return rounded(M.step_param_lookup(_beta_steps(f), asked), 6, "value")
 
 
 @query
 def transition_flows(f: Frames) -> DataFrame:
     """Flows at each state, with the β in force in that week."""
-    steps = f.model.walk.select(*KEYS, (F.col("idx") - 1).alias("t"), F.col("β_t").alias("value"))
-    states = f.data.compartments
-    beta = M.step_param_lookup(steps, states.select(*KEYS, "t"))
-    weekly = beta.withColumnRenamed("value", "β").join(f.model.params, list(KEYS))
-    shown = M.transition_flows(states, weekly)
+    states = M.step_param_lookup(_beta_steps(f), f.data.compartments, out="β")
+    shown = M.transition_flows(states, f.model.params)
     return rounded(shown, 4, *[c for c in shown.columns if c not in (*KEYS, "t")])
 
 
 @query
 def nb_params(f: Frames) -> DataFrame:
-    joined = f.model.stream_means.join(f.model.dispersions, [*KEYS, "stream"])
-    return rounded(M.nb_params(joined), 5, "mu", "phi", "p", "r", "variance")
+    return rounded(M.nb_params(f.model.stream_means), 5, "mu", "phi", "p", "r", "variance")
 
 
 @query
 def nb_loglik(f: Frames) -> DataFrame:
-    observed = observed_streams(f.ingest.panel, f.ingest.dim)
-    scored = M.nb_loglik(observed, f.model.stream_means, f.model.dispersions)
-    return rounded(scored, 4, "log_likelihood")
+    observed = stage(observed_streams(f.ingest.panel, f.ingest.dim))
+    return rounded(M.nb_loglik(observed, f.model.stream_means), 4, "log_likelihood")
 
 
 # ---------------------------------------------------------------- priors and the rest

@@ -64,23 +64,19 @@ class Quantities:
     def means_long(self) -> DataFrame:
         return wide_to_long(self.means, [*DRAW_KEYS, "t"], MEANS)
 
-    @cached_property
-    def dispersions(self) -> DataFrame:
-        """(draw, stream, phi)."""
-        rows = [
-            F.struct(F.lit(stream).alias("stream"), F.col(phi).alias("phi"))
-            for stream, _, _, phi in STREAMS
-        ]
-        return self.params.select(*DRAW_KEYS, F.inline(F.array(*rows)))
-
     @cached_property
     def stream_means(self) -> DataFrame:
-        """(draw, t, stream, mu)."""
+        """(draw, t, stream, mu, phi): means and dispersions come from one join."""
+        beside = M.expected_observations(
+            self.compartments, self.params, self.dim, carry=[phi for _, _, _, phi in STREAMS]
+        )
         rows = [
-            F.struct(F.lit(stream).alias("stream"), F.col(mean).alias("mu"))
-            for stream, _, mean, _ in STREAMS
+            F.struct(
+                F.lit(stream).alias("stream"), F.col(mean).alias("mu"), F.col(phi).alias("phi")
+            )
+            for stream, _, mean, phi in STREAMS
         ]
-        return self.means.select(*DRAW_KEYS, "t", F.inline(F.array(*rows)))
+        return beside.select(*DRAW_KEYS, "t", F.inline(F.array(*rows)))
 
     @cached_property
     def generated(self) -> DataFrame:

@@ -14,9 +14,9 @@ from ..session import stage
 class Surveillance:
     """Frames of the ingest job.
 
-    Four results are stored once and read by all that follows: the joined
-    place-days, the delay ECDF, the rolled-up panel and the place dimension.
-    Everything else is lazy over them.
+    Its results are stored once and read by all that follows: the joined
+    place-days, the delay ECDF, the rolled-up panel, the place dimension and
+    the initial values. Everything else is lazy over them.
     """
 
     def __init__(
@@ -73,4 +73,5 @@ class Surveillance:
 
     @cached_property
     def init(self) -> DataFrame:
-        return P.initial_values(self.rolled, self.dim)
+        """Week-0 values, stored."""
+        return stage(P.initial_values(self.rolled, self.dim))

@@ -13,9 +13,9 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.optimizeSkewsInRebalancePartitions.enabled": "true",
-    # percentile keeps one map per group; let a task hold many small groups
-    # before it falls back to sorting.
-    "spark.sql.objectHashAggregate.sortBased.fallbackThreshold": "4096",
+    # A table already partitioned by draw keeps that layout in a join on
+    # (draw, week).
+    "spark.sql.requireAllClusterKeysForCoPartition": "false",
 }
 
 
@@ -48,8 +48,9 @@ def stage(df: DataFrame) -> DataFrame:
     """Write a stage's result to the shared folder and read it back.
 
     Later stages scan the stored columns they need instead of repeating the
-    work, a lost executor costs one stage, and the planner sees the true size
-    of the table when it chooses a join.
+    work, and a lost executor costs one stage. The planner also sees the true
+    size of the table: a small one is broadcast and a large one is not, where
+    the estimate of an unstored join would shuffle the facts in either case.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/stage-{uuid.uuid4().hex}"
