@@ -19,7 +19,7 @@ from ..operators import panel as P
 from ..operators import priors as R
 from ..operators.quantiles import median_qi
 from ..operators.ranking import top_n_finite
-from ..session import stage
+from ..session import stage, together
 from .quantities import Quantities, observed_streams
 from .surveillance import Surveillance
 from .testdata import STATE, TestData
@@ -64,8 +64,19 @@ class Frames:
     def group_rows(self) -> int:
         return I.draws_per_group(self.data.draw_keys)
 
+    def prepare(self) -> None:
+        """Store the stages of both jobs, independent ones at the same time."""
+        ingest = self.ingest
+        together(
+            lambda: ingest.daily, lambda: ingest.ecdf, lambda: ingest.dim,
+            lambda: self.priors, lambda: self.group_rows,
+        )
+        model = self.model
+        together(lambda: ingest.rolled, lambda: model.params)
+
     @cached_property
     def gq(self) -> DataFrame:
+        self.prepare()
         return I.gq_intervals(self.model.generated, self.calendar, group_rows=self.group_rows)
 
     @cached_property
@@ -356,6 +367,7 @@ def interval_to_quantile(f: Frames) -> DataFrame:
 
 @query
 def forecast_export(f: Frames) -> DataFrame:
+    f.prepare()
     dim = f.ingest.dim
 
     def posterior(intervals: DataFrame) -> DataFrame:
@@ -473,6 +485,7 @@ def nb_params(f: Frames) -> DataFrame:
 
 @query
 def nb_loglik(f: Frames) -> DataFrame:
+    f.prepare()
     observed = stage(observed_streams(f.ingest.panel, f.ingest.dim))
     return rounded(M.nb_loglik(observed, f.model.stream_means), 4, "log_likelihood")
 

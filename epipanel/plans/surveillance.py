@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import panel as P
-from ..session import stage
+from ..session import stage, together
 
 
 class Surveillance:
@@ -25,12 +25,16 @@ class Surveillance:
         census: DataFrame,
         region_key: DataFrame,
         populations: DataFrame,
-        delay_events: DataFrame,
+        delay_events: DataFrame | None,
         state: str,
+        ecdf: DataFrame | None = None,
     ):
+        """Takes the delays as events, or as an ECDF already stored."""
         self.cases, self.census = cases, census
         self.region_key, self.populations = region_key, populations
         self.delay_events, self.state = delay_events, state
+        if ecdf is not None:
+            self.ecdf = ecdf
 
     @cached_property
     def daily(self) -> DataFrame:
@@ -48,6 +52,7 @@ class Surveillance:
 
     @cached_property
     def corrected(self) -> DataFrame:
+        together(lambda: self.daily, lambda: self.ecdf)
         latest = self.window.select("latest_date").scalar()
         inside = P.in_reporting_window(self.daily, self.window)
         return P.delay_correct(inside, latest, self.ecdf)
@@ -74,4 +79,5 @@ class Surveillance:
     @cached_property
     def init(self) -> DataFrame:
         """Week-0 values, stored."""
+        together(lambda: self.rolled, lambda: self.dim)
         return stage(P.initial_values(self.rolled, self.dim))

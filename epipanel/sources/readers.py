@@ -60,15 +60,17 @@ def read_panel(spark: SparkSession, path: str, place: str = "county") -> DataFra
     return read_named(spark, path, schemas.WEEKLY_PANEL, {"place": place})
 
 
-def scan_draw_dir(spark: SparkSession, path: str, source: str) -> DataFrame:
-    """All wide draw files of a folder as long draws, place id from the file name.
+DRAW_ID = ("place_id", "source", "chain", "iteration")
+
+
+def scan_wide_dir(spark: SparkSession, path: str, source: str) -> DataFrame:
+    """All wide draw files of a folder, place id from the file name.
 
     The columns come from one header; a file whose header differs fails the
     read instead of shifting its values.
     """
     wide = spark.read.csv(path, header=True, enforceSchema=False, nullValue=MISSING)
-    series = [c for c in wide.columns if c not in ("chain", "iteration")]
-    keyed = wide.withColumns(
+    return wide.withColumns(
         {
             "place_id": F.regexp_extract("_metadata.file_path", PLACE_IN_PATH, 1).cast("int"),
             "source": F.lit(source),
@@ -76,9 +78,20 @@ def scan_draw_dir(spark: SparkSession, path: str, source: str) -> DataFrame:
             "iteration": F.col("iteration").cast("int"),
         }
     )
-    return wide_to_long(
-        keyed, ["place_id", "source", "chain", "iteration"], series, parse=True
-    )
+
+
+def scan_draw_dir(spark: SparkSession, path: str, source: str) -> DataFrame:
+    """All wide draw files of a folder as long draws."""
+    return wide_to_long(scan_wide_dir(spark, path, source), DRAW_ID, parse=True)
+
+
+def read_intervals(spark: SparkSession, path: str) -> DataFrame:
+    """Stored intervals; the date of scalars, which have none, reads as null."""
+    columns = spark.read.csv(path, header=True).columns
+    schema = schemas.INTERVALS
+    if "date" in columns:
+        return read_named(spark, path, schema)
+    return read_named(spark, path, schema.replace("date date, ", ""))
 
 
 def read_draws(spark: SparkSession, path: str) -> DataFrame:
