@@ -130,6 +130,14 @@ def new_names(wider: DataFrame, narrower: DataFrame) -> DataFrame:
     return left.join(right, on, "left_anti").select("l.name", "l.idx")
 
 
+def stack_chains(chains: Sequence[DataFrame]) -> DataFrame:
+    """Draws of several chains under one another, numbered from 1."""
+    first, *rest = [c.withColumn("chain", F.lit(i)) for i, c in enumerate(chains, start=1)]
+    for c in rest:
+        first = first.unionByName(c)
+    return first
+
+
 def names_missing_in_chains(draws: DataFrame) -> DataFrame:
     """Names that some chain lacks; empty when all chains can be stacked."""
     seen = draws.select("chain", "name", "idx").distinct()

@@ -52,6 +52,11 @@ def vector_intervals(intervals: DataFrame) -> DataFrame:
     return intervals.where(F.col("date").isNotNull())
 
 
+def scalar_vector_split(intervals: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Scalar quantities, which have no date, and series."""
+    return scalar_intervals(intervals), vector_intervals(intervals)
+
+
 def cumulative_by_draw(
     draws: DataFrame,
     name: str = "new_deaths",

@@ -45,10 +45,9 @@ class Frames:
 
     @cached_property
     def model(self) -> Quantities:
-        t = self.data
-        return Quantities(
-            t.parameters, self.priors, t.walk_steps, t.compartments, self.ingest.dim
-        )
+        t, ingest = self.data, self.ingest
+        together(lambda: self.priors, lambda: ingest.dim)
+        return Quantities(t.parameters, self.priors, t.walk_steps, t.compartments, ingest.dim)
 
     @cached_property
     def priors(self) -> DataFrame:
@@ -348,9 +347,9 @@ def gq_intervals(f: Frames) -> DataFrame:
 
 @query
 def split_scalar_vector(f: Frames) -> DataFrame:
-    asked = rounded(f.gq, 5, "lower", "value", "upper")
-    return I.scalar_intervals(asked).withColumn("kind", F.lit("scalar")).unionByName(
-        I.vector_intervals(asked).withColumn("kind", F.lit("vector")), allowMissingColumns=True
+    scalars, series = I.scalar_vector_split(rounded(f.gq, 5, "lower", "value", "upper"))
+    return scalars.withColumn("kind", F.lit("scalar")).unionByName(
+        series.withColumn("kind", F.lit("vector")), allowMissingColumns=True
     )
 
 
@@ -438,6 +437,7 @@ def log_random_walk(f: Frames) -> DataFrame:
 
 @query
 def initial_compartments(f: Frames) -> DataFrame:
+    f.prepare()
     shown = M.initial_compartments(f.model.params, f.ingest.init)
     return rounded(shown, 5, *[c for c in shown.columns if c not in KEYS])
 
@@ -510,6 +510,7 @@ def prior_quantiles(f: Frames) -> DataFrame:
 
 @query
 def induced_quantiles(f: Frames) -> DataFrame:
+    f.prepare()
     share = f.ingest.init.select(
         F.col("id").alias("place_id"),
         (F.col("remaining_population") / F.col("population")).alias("_share"),

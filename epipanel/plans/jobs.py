@@ -62,12 +62,13 @@ def tidy(spark: SparkSession, results: str, data: str) -> None:
         asked = named(
             stage(I.gq_intervals(R.scan_draw_dir(spark, folder, source), calendar, group_rows=bound))
         )
+        scalars, series = I.scalar_vector_split(asked)
         write_report(
-            I.scalar_intervals(asked).orderBy("place", "name", "width"),
+            scalars.orderBy("place", "name", "width"),
             f"{results}/tidy_scalar_{source}_generated_quantities",
         )
         write_report(
-            I.vector_intervals(asked).orderBy("place", "name", "date", "width"),
+            series.orderBy("place", "name", "date", "width"),
             f"{results}/tidy_vector_{source}_generated_quantities",
         )
         folder = f"{results}/{source}_predictive"

@@ -21,10 +21,23 @@ SETTINGS = {
 }
 
 
-def tune(builder: SparkSession.Builder) -> SparkSession.Builder:
-    """Apply the engine's settings to a session builder."""
+TASK_BYTES = 128 * 1024 * 1024
+
+
+def tune(
+    builder: SparkSession.Builder, shuffle_bytes: int | None = None
+) -> SparkSession.Builder:
+    """Apply the engine's settings to a session builder.
+
+    ``shuffle_bytes`` is the size of the largest shuffle expected, about that
+    of the draws as long rows. It sets how many tasks a shuffle starts with;
+    adaptive execution merges the small ones.
+    """
     for key, value in SETTINGS.items():
         builder = builder.config(key, value)
+    if shuffle_bytes is not None:
+        tasks = max(200, -(-shuffle_bytes // TASK_BYTES))
+        builder = builder.config("spark.sql.shuffle.partitions", str(tasks))
     return builder
 
 

@@ -56,6 +56,18 @@ def read_initial_values(spark: SparkSession, path: str, place: str = "county") -
     return read_named(spark, path, schemas.INITIAL_VALUES, {"place": place})
 
 
+def read_dims(
+    spark: SparkSession, dim_path: str, region_key_path: str, initial_path: str,
+    place: str = "county",
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Place dimension, region key and initial values."""
+    return (
+        read_place_dim(spark, dim_path, place),
+        read_region_key(spark, region_key_path, place),
+        read_initial_values(spark, initial_path, place),
+    )
+
+
 def read_panel(spark: SparkSession, path: str, place: str = "county") -> DataFrame:
     return read_named(spark, path, schemas.WEEKLY_PANEL, {"place": place})
 

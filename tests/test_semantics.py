@@ -226,6 +226,8 @@ def test_names_missing_in_a_chain(spark):
         [(1, "a", None), (2, "a", None), (1, "b", 1)], "chain int, name string, idx int"
     )
     assert [(r["name"], r["n_chains"]) for r in D.names_missing_in_chains(df).collect()] == [("b", 1)]
+    parts = [df.where(f"chain = {c}").drop("chain") for c in (1, 2)]
+    assert sorted(map(str, D.stack_chains(parts).select(df.columns).collect())) == sorted(map(str, df.collect()))
 
 
 @pytest.mark.parametrize("x", [1e-10, 1e-3, 0.5, 1.0, 2.0, 7.9, 33.3, 1e3, 1e5])

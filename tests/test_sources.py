@@ -112,6 +112,8 @@ def test_dimension_files(spark, tmp_path):
     assert tuple(R.read_place_dim(spark, str(tmp_path / "dim.csv")).first()) == (1, "Alameda", 1685886)
     assert tuple(R.read_region_key(spark, str(tmp_path / "key.csv")).first()) == ("Bay", "Alameda")
     row = R.read_initial_values(spark, str(tmp_path / "init.csv")).first()
+    paths = [str(tmp_path / f"{n}.csv") for n in ("dim", "key", "init")]
+    assert [d.count() for d in R.read_dims(spark, *paths)] == [1, 1, 1]
     assert row["population"] - (row["H"] + row["ICU"] + row["D"]) == row["remaining_population"]
 
 
