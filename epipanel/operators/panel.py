@@ -16,7 +16,6 @@ from ..constants import (
     STEP_DAYS,
 )
 from ..functions.scalars import (
-    clamp,
     days_between,
     half_even_round,
     last_by,

@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from ..constants import DISPERSION_NAMES, PRIOR_QUANTILES, PRIORS
 from ..functions.scalars import apply_link
-from ..schemas import PRIORS as PRIOR_SCHEMA
 from .quantiles import group_quantiles
 
 

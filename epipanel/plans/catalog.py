@@ -123,7 +123,8 @@ def daily_full_join(f: Frames) -> DataFrame:
 
 @query
 def region_join(f: Frames) -> DataFrame:
-    return P.attach_region(P.place_daily(P.clean_place_feed(f.data.raw_case_feed)), f.data.region_key)
+    daily = P.place_daily(P.clean_place_feed(f.data.raw_case_feed))
+    return P.attach_region(daily, f.data.region_key)
 
 
 @query
@@ -383,7 +384,8 @@ def forecast_export(f: Frames) -> DataFrame:
 @query
 def derive_totals_long(f: Frames) -> DataFrame:
     """Compartments of prior and posterior draws as the two variants."""
-    long = D.wide_to_long(f.data.compartments, ["place_id", "source", "t"], ["S", "E", "I", "H", "R", "ICU", "D"])
+    counted = ["S", "E", "I", "H", "R", "ICU", "D"]
+    long = D.wide_to_long(f.data.compartments, ["place_id", "source", "t"], counted)
     prior = F.col("source") == "prior"
     variant = F.when(
         F.col("name") == "S", F.when(prior, "S_both").otherwise("S_omicron_only")
