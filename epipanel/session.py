@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -44,11 +45,14 @@ def tune(
 def shared_folder(spark: SparkSession) -> str:
     """Folder for cut lineage: the one the cluster names in ``spark.checkpoint.dir``.
 
-    Only a session that names none (a local test) gets a scratch folder.
+    Only a session on a local master (a test) may name none and gets a scratch
+    folder; on a cluster the executors would not share it, so that is an error.
     """
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         named = context.getConf().get("spark.checkpoint.dir")
+        if not named and not re.match(r"local(\[|$)", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="epipanel-"))
     return context.getCheckpointDir()
 

@@ -5,11 +5,12 @@ import re
 import pytest
 
 import __spark_entry__ as entry
+from epipanel.plans.catalog import QUERIES
+from oracle.statements import STATEMENTS
 from compare import connect, differences
 
 from conftest import DATA
 
-QUERIES, STATEMENTS = entry.queries(), entry.oracle_sql()
 ROWS_ONLY = {"pad_params_randn"}
 
 
