@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup
+from . import bpe, exact_dedup, line_dedup, mixing, secret_scan, token_counts, toxicity
 from .support import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -19,11 +19,93 @@ def query(build: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSes
     return build
 
 
+# Shares of the mixture in parts; sources that are not named share OTHER parts.
+TARGETS = {"src0": 10, **{f"src{i}": 6 for i in range(1, 10)}, **{f"src{i}": 3 for i in range(10, 19)}, "src19": 5}
+OTHER = 4
+
+
+@query
+def op1_pfair_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.told(mixing.mix(table(spark, sf_dir, "documents"), TARGETS, OTHER))
+
+
+def _mixing_statement() -> str:
+    parts = [*TARGETS.values(), OTHER]
+    total, names = sum(parts), list(TARGETS)
+    cases = " ".join(f"WHEN source = '{n}' THEN {i}" for i, n in enumerate(names))
+    return f"""
+  WITH RECURSIVE edf(t, done, pick, occurrence) AS (
+    SELECT -1, list_transform(range({len(parts)}), lambda i: 0), -1, -1
+    UNION ALL
+    SELECT t + 1, list_transform(done, lambda x, i: CASE WHEN i = best + 1 THEN x + 1 ELSE x END), best, done[best + 1]
+    FROM (SELECT t, done, list_min(list_transform(range(1, {len(parts) + 1}), lambda i:
+            CASE WHEN done[i] * {total} // p[i] <= t + 1
+                 THEN ((done[i] + 1) * {total} + p[i] - 1) // p[i] * 1000 + i - 1 ELSE 1000000000 END)) % 1000 AS best
+          FROM edf, (SELECT {parts} AS p) WHERE t < {total - 1})),
+  d AS (SELECT doc_id, CASE {cases} ELSE {len(names)} END AS g, greatest(length(coalesce(text, '')), 1) AS size,
+               md5(CAST(doc_id AS VARCHAR)) AS key FROM documents),
+  r AS (SELECT *, CAST(sum(size) OVER (PARTITION BY g ORDER BY key, doc_id) - size AS BIGINT) AS before,
+               CAST(({parts})[g + 1] AS BIGINT) AS p FROM d),
+  b AS (SELECT *, before // {mixing.BLOCK_SIZE} AS block FROM r)
+  SELECT doc_id, CASE WHEN g < {len(names)} THEN ({names})[g + 1] END AS share, before, block,
+         CAST(block // p * {total} + e.t AS BIGINT) AS slot
+  FROM b JOIN edf e ON e.pick = g AND e.occurrence = block % p"""
+
+
+STATEMENTS["op1_pfair_mixing"] = _mixing_statement()
+
+
+@query
+def op3_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found, _ = secret_scan.secret_scan(table(spark, sf_dir, "documents"))
+    return secret_scan.report(found)
+
+
+def _secret_statement() -> str:
+    kinds = []
+    for place, r in enumerate(secret_scan.RULES):
+        pattern = r.found.replace("'", "''")
+        kinds.append(f"""
+  SELECT doc_id, {place} AS place, '{r.kind}' AS kind, {str(r.base).lower()} AS base,
+         sum(length(gap) + length(whole)) OVER (PARTITION BY doc_id ORDER BY i) - length(whole) AS s,
+         sum(length(gap) + length(whole)) OVER (PARTITION BY doc_id ORDER BY i) AS e,
+         length(part) >= {r.least} AS ok
+  FROM (SELECT doc_id, unnest(g[1:len(w)]) AS gap, unnest(w) AS whole, unnest(p) AS part,
+               unnest(range(1, len(w) + 1)) AS i
+        FROM (SELECT doc_id, string_split_regex(t, '{pattern}') AS g, regexp_extract_all(t, '{pattern}', 0) AS w,
+                     regexp_extract_all(t, '{pattern}', {r.group}) AS p FROM d WHERE regexp_matches(t, '{pattern}')))""")
+    count = ", ".join(
+        f"count(kind) FILTER (kind = '{r.kind}') AS n_{r.kind}" for r in secret_scan.RULES if r.base
+    )
+    return f"""
+  WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+  m AS ({" UNION ALL ".join(kinds)}),
+  f AS (SELECT *, concat_ws(':', kind, s, e) AS told FROM m WHERE ok)
+  SELECT d.doc_id, {count},
+         sha256(coalesce(string_agg(told, ',' ORDER BY s, place) FILTER (base), '')) AS base_sha256,
+         coalesce(string_agg(told, ',' ORDER BY s, place), '') AS spans
+  FROM d LEFT JOIN f ON d.doc_id = f.doc_id GROUP BY d.doc_id"""
+
+
+STATEMENTS["op3_secret_ledger"] = _secret_statement()
+
+
 @query
 def op4_bpe_rank_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_texts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+@query
+def op5_token_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+@query
+def op6_ordinal_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
 @query
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
@@ -35,3 +117,24 @@ STATEMENTS["op7_exact_dedup"] = """
   SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
          doc_id = max(doc_id) OVER w AS kept, sha256(c) AS text_sha256
   FROM t WINDOW w AS (PARTITION BY c)"""
+
+
+@query
+def op8_line_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.report(line_dedup.drop_repeated_lines(table(spark, sf_dir, "documents")))
+
+
+STATEMENTS["op8_line_windows"] = """
+  WITH l AS (SELECT doc_id, unnest(x) AS line, unnest(range(1, len(x) + 1)) AS i
+             FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS x FROM documents)),
+  n AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS k FROM l WHERE trim(line, chr(32)||chr(9)||chr(13)) <> ''),
+  w AS (SELECT doc_id, k, line || chr(10) || lead(line, 1) OVER o || chr(10) || lead(line, 2) OVER o AS key
+        FROM n WINDOW o AS (PARTITION BY doc_id ORDER BY k)),
+  f AS (SELECT *, first_value(doc_id) OVER o AS fd, first_value(k) OVER o AS fk
+        FROM w WHERE key IS NOT NULL WINDOW o AS (PARTITION BY key ORDER BY doc_id, k)),
+  c AS (SELECT DISTINCT doc_id, k + o AS k FROM f, (VALUES (0), (1), (2)) AS t(o) WHERE doc_id <> fd OR k >= fk + 3),
+  j AS (SELECT l.doc_id, l.i, l.line, c.k IS NOT NULL AS gone
+        FROM l LEFT JOIN n ON l.doc_id = n.doc_id AND l.i = n.i LEFT JOIN c ON n.doc_id = c.doc_id AND n.k = c.k)
+  SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_removed,
+         sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS text_sha256
+  FROM j GROUP BY doc_id"""
