@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup, line_dedup, mixing, secret_scan, token_counts, toxicity
+from . import bpe, exact_dedup, line_dedup, mixing, secret_scan, token_counts, toxicity, warc
 from .support import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -138,3 +138,11 @@ STATEMENTS["op8_line_windows"] = """
   SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_removed,
          sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS text_sha256
   FROM j GROUP BY doc_id"""
+
+
+@query
+def op9_warc_converter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = warc.archive(table(spark, sf_dir, "pages"))
+    return warc.read_warc(spark, path, bodies=False).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"
+    )

@@ -16,13 +16,22 @@ from pyspark.sql import types as T
 from .support import text_of
 
 SAMPLE = 20_000        # labelled documents the model is fitted on, at most
-VOCABULARY = 4_096     # words that can be features, at most
+VOCABULARY = 4_096     # features, at most
 LEAST_DOCS = 4         # sampled documents a feature must occur in
-GRADES = 3             # 0 clean, 1 toxic, 2 toxic and of low quality
-REJECT = 0.5           # chance of any toxicity from which a document is rejected
+PURITY = 0.8           # least share of toxic documents among those with a feature
+LEAST_EXCESS = 60.0    # least chi-square statistic of a feature
+GRADES = 3             # 0 clean, 1 toxic, 2 toxic with more marks than half of the toxic documents
+REJECT = 0.3           # chance of any toxicity from which a document is rejected
+STEMS = (4, 5, 6)      # lengths of the beginnings of longer words that can be features
 WORD = re.compile(r"[^\W\d_]+")
 
 
+def features_of(text: str) -> set[str]:
+    """The words of a text in lower case, and the beginnings of the longer ones."""
+    words = set(WORD.findall(text.lower()))
+    return words.union(*({"^" + w[:k] for w in words if len(w) > k} for k in STEMS))
+
+
 @dataclass(frozen=True)
 class OrdinalModel:
     """P(grade <= k) = logistic(cuts[k] - weights . features); one set of weights for all cuts."""
@@ -32,9 +41,9 @@ class OrdinalModel:
     cuts: np.ndarray
 
     def features(self, text: str) -> list[int]:
-        """The model's words that occur in a text, in either case."""
+        """The model's features that occur in a text."""
         known = self.words
-        return [known[w] for w in known.keys() & set(WORD.findall(text.lower()))]
+        return [known[w] for w in known.keys() & features_of(text)]
 
     def above(self, texts: list[str]) -> np.ndarray:
         """P(grade > k) for each text (row) and cut (column)."""
@@ -49,13 +58,15 @@ def logistic(x: np.ndarray) -> np.ndarray:
 
 def fit_ordinal(
     rows: np.ndarray, columns: np.ndarray, grades: np.ndarray, n_features: int,
-    *, ridge: float = 1e-3, steps: int = 400, rate: float = 0.1,
+    *, ridge: float = 1e-5, steps: int = 600, rate: float = 0.3,
 ) -> tuple[np.ndarray, np.ndarray]:
     """Weights and ordered cuts of greatest penalised likelihood.
 
     ``rows`` and ``columns`` list the ones of the feature matrix. The cuts are
     the first one and the logarithms of the gaps, so they stay in order. Grades
-    that no row has keep a gap of their own and do no harm.
+    that no row has keep a gap of their own and do no harm. Weights are not
+    negative: nothing else in a text makes up for a mark of toxicity, so long
+    texts do not hide it.
     """
     n, k = len(grades), GRADES - 1
     weights = np.zeros(n_features)
@@ -87,26 +98,27 @@ def fit_ordinal(
             first += 0.1 * (slope_of - first)
             second += 0.01 * (slope_of**2 - second)
             value -= rate * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.99**step)) + 1e-9)
+        np.maximum(weights, 0, out=weights)
     return weights, np.cumsum(np.concatenate([free[:1], np.exp(free[1:])]))
 
 
 def labelled(docs: DataFrame, labels: DataFrame, sample: int, id_col: str, text_col: str) -> DataFrame:
-    """(text, grade) of a bounded sample of the labelled documents.
+    """(text, toxic) of a bounded sample of the labelled documents.
 
     The sample is the labels with the smallest hashes of their ids, so it does
     not depend on how the table is stored. It has at most ``sample`` rows and
     may be broadcast. Labels without an id or a toxic flag take no part; of
-    several labels of an id the most severe one does.
+    several labels of an id one is enough to call it toxic.
     """
-    grade = F.when(F.col("toxic") != 1, 0).when(F.coalesce("quality", F.lit(1)) == 0, 2).otherwise(1)
     graded = (
         labels.where(F.col(id_col).isNotNull() & F.col("toxic").isNotNull())
-        .groupBy(F.col(id_col).cast("long").alias("_label")).agg(F.max(grade).alias("_grade"))
+        .groupBy(F.col(id_col).cast("long").alias("_label"))
+        .agg(F.max((F.col("toxic") == 1).cast("int")).alias("_toxic"))
     )
     chosen = graded.orderBy(F.xxhash64("_label"), "_label").limit(sample)
     texts = docs.select(F.col(id_col).cast("long").alias("_id"), text_of(text_col).alias("_text"))
     return texts.join(F.broadcast(chosen), F.col("_id") == F.col("_label")).select(
-        F.col("_text").alias("text"), F.col("_grade").alias("grade")
+        F.col("_text").alias("text"), F.col("_toxic").alias("toxic")
     )
 
 
@@ -116,33 +128,35 @@ def fit(
 ) -> OrdinalModel:
     """Fit the model on a bounded sample of labelled documents.
 
-    Features are words, by presence: those whose share among toxic documents
-    differs most from their share among the others, by the chi-square statistic
-    over the whole sample. Without labels every document gets grade 0.
+    Features are words and their beginnings, by presence: those that mark
+    toxic documents, ranked by the chi-square statistic over the whole sample. Labels only tell toxic from clean; the severity of a toxic
+    document is the number of such marks in it, in two grades parted at the
+    median over the toxic part of the sample. Without labels every document gets grade 0.
     """
     known = labelled(docs, labels, sample, id_col, text_col)
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [list(set(WORD.findall(t.as_py().lower()))) for t in batch.column(0)]
+            found = [list(features_of(t.as_py())) for t in batch.column(0)]
             sizes = np.fromiter(map(len, found), np.int64, len(found))
             yield pa.RecordBatch.from_arrays(
                 [pa.array([w for f in found for w in f], pa.string()), batch.column(1).take(pa.array(np.repeat(np.arange(len(found)), sizes)))],
-                names=["word", "grade"],
+                names=["word", "toxic"],
             )
 
-    toxic = (F.col("grade") > 0).cast("long")
-    n, n_toxic = known.agg(F.count("*"), F.coalesce(F.sum(toxic), F.lit(0))).first()
+    n, n_toxic = known.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
     none = OrdinalModel({}, np.zeros(0), np.full(GRADES - 1, 40.0))
     if not n_toxic or n_toxic == n:
         return none if not n_toxic else OrdinalModel({}, np.zeros(0), np.array([-40.0, 40.0]))
     counted = (
-        known.mapInArrow(words, "word string, grade int")
-        .groupBy("word").agg(F.count("*").alias("n"), F.sum(toxic).alias("t"))
+        known.mapInArrow(words, "word string, toxic int")
+        .groupBy("word").agg(F.count("*").alias("n"), F.sum("toxic").alias("t"))
         .where(F.col("n") >= least_docs)
     )
     expected = F.col("n") * (n_toxic / n)
-    chosen = counted.orderBy((F.pow(F.col("t") - expected, 2) / (expected * (1 - F.col("n") / (n + 1.0)))).desc(), "word")
+    excess = F.pow(F.col("t") - expected, 2) / (expected * (1 - F.col("n") / (n + 1.0)))
+    marked = counted.where((F.col("t") >= PURITY * F.col("n")) & (excess >= LEAST_EXCESS))
+    chosen = marked.orderBy(excess.desc(), "word")
     names = {r.word: i for i, r in enumerate(chosen.limit(vocabulary).select("word").collect())}
     blank = OrdinalModel(names, np.zeros(len(names)), np.zeros(GRADES - 1))
 
@@ -150,16 +164,16 @@ def fit(
         for batch in batches:
             found = [blank.features(t.as_py()) for t in batch.column(0)]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(found, pa.list_(pa.int32())), batch.column(1)], names=["at", "grade"]
+                [pa.array(found, pa.list_(pa.int32())), batch.column(1)], names=["at", "toxic"]
             )
 
-    rows = known.mapInArrow(matrix, "at array<int>, grade int").toArrow()
+    rows = known.mapInArrow(matrix, "at array<int>, toxic int").toArrow()
     at = rows.column("at").combine_chunks()
     columns = np.asarray(at.flatten(), np.int64)
     sizes = np.asarray(pa.compute.list_value_length(at), np.int64)
-    weights, cuts = fit_ordinal(
-        np.repeat(np.arange(len(sizes)), sizes), columns, np.asarray(rows.column("grade"), np.int64), len(names)
-    )
+    toxic = np.asarray(rows.column("toxic"), np.int64)
+    grades = toxic * (1 + (sizes > np.median(sizes[toxic == 1])))
+    weights, cuts = fit_ordinal(np.repeat(np.arange(len(sizes)), sizes), columns, grades, len(names))
     return OrdinalModel(names, weights, cuts)
 
 
