@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, line_dedup, mixing, secret_scan, token_counts, toxicity, warc
+from . import ann, bpe, exact_dedup, line_dedup, mixing, ngram_join, secret_scan, token_counts, toxicity, warc
 from .support import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -55,6 +56,11 @@ def _mixing_statement() -> str:
 STATEMENTS["op1_pfair_mixing"] = _mixing_statement()
 
 
+@query
+def op2_projection_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 @query
 def op3_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     found, _ = secret_scan.secret_scan(table(spark, sf_dir, "documents"))
@@ -146,3 +152,8 @@ def op9_warc_converter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_warc(spark, path, bodies=False).select(
         "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"
     )
+
+
+@query
+def op10_token_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.jaccard_components(table(spark, sf_dir, "documents"), words=3, percent=90)
