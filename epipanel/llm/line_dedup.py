@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -11,14 +13,29 @@ from .support import text_of
 LINES = 3      # lines of a window
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is worked out once for a row.
+
+    Lambdas would otherwise repeat it for each of their elements.
+    """
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def full(line: Column) -> Column:
+    return F.rlike(line, F.lit(r"[^ \t\r]"))
+
+
 def windows_of(lines: Column) -> Column:
     """(k, key) of every window over the non-blank lines; k counts those from 0."""
-    full = F.filter(lines, lambda x: F.trim(F.translate(x, "\t\r", "  ")) != "")
-    starts = F.when(F.size(full) >= LINES, F.sequence(F.lit(0), F.size(full) - LINES)).otherwise(F.expr("array()"))
-    return F.transform(
-        starts,
-        lambda k: F.struct(k.alias("k"), F.unhex(F.md5(F.array_join(F.slice(full, k + 1, LINES), "\n"))).alias("key")),
-    )
+
+    def windows(x: Column) -> Column:
+        starts = F.when(F.size(x) >= LINES, F.sequence(F.lit(0), F.size(x) - LINES)).otherwise(F.expr("array()"))
+        return F.transform(
+            starts,
+            lambda k: F.struct(k.alias("k"), F.unhex(F.md5(F.array_join(F.slice(x, k + 1, LINES), "\n"))).alias("key")),
+        )
+
+    return let(F.filter(lines, full), windows)
 
 
 def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -75,31 +92,31 @@ def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 def without(lines: Column, gone: Column) -> Column:
     """The text without intervals of its non-blank lines."""
     # 1-based places of the non-blank lines among all.
-    full = F.filter(
-        F.transform(lines, lambda x, i: F.when(F.trim(F.translate(x, "\t\r", "  ")) != "", i + 1)),
-        lambda i: i.isNotNull(),
-    )
-    # Between one interval's last line and the next one's first all lines stay;
-    # inside an interval only the blank ones do.
-    kept = F.transform(
-        F.sequence(F.lit(0), F.size(gone)),
-        lambda j: F.struct(
-            F.when(j == 0, 0).otherwise(F.element_at(full, F.element_at(gone, F.greatest(j, F.lit(1)))["b"] + 1)).alias("after"),
-            F.when(j == F.size(gone), F.size(lines) + 1)
-            .otherwise(F.element_at(full, F.element_at(gone, F.least(j + 1, F.size(gone)))["a"] + 1)).alias("until"),
-        ),
-    )
-    between = F.transform(kept, lambda x: F.slice(lines, x["after"] + 1, x["until"] - x["after"] - 1))
-    inside = F.transform(
-        gone,
-        lambda g: F.filter(
-            F.slice(lines, F.element_at(full, g["a"] + 1), F.element_at(full, g["b"] + 1) - F.element_at(full, g["a"] + 1) + 1),
-            lambda x: F.trim(F.translate(x, "\t\r", "  ")) == "",
-        ),
-    )
-    nothing = F.expr("cast(array() as array<string>)")
-    woven = F.zip_with(between, inside, lambda a, b: F.concat(a, F.coalesce(b, nothing)))
-    return F.array_join(F.flatten(woven), "\n")
+    places = F.filter(F.transform(lines, lambda x, i: F.when(full(x), i + 1)), lambda i: i.isNotNull())
+
+    def weave(x: Column) -> Column:
+        lines, places, gone = x["lines"], x["places"], x["gone"]
+
+        def place(j: Column, side: str) -> Column:
+            return F.element_at(places, F.element_at(gone, j)[side] + 1)
+
+        # Between one interval's last line and the next one's first all lines
+        # stay; inside an interval only the blank ones do.
+        def between(j: Column) -> Column:
+            after = F.when(j == 0, 0).otherwise(place(F.greatest(j, F.lit(1)), "b"))
+            until = F.when(j == F.size(gone), F.size(lines) + 1).otherwise(place(F.least(j + 1, F.size(gone)), "a"))
+            return F.slice(lines, after + 1, until - after - 1)
+
+        def inside(j: Column) -> Column:
+            return F.filter(F.slice(lines, place(j, "a"), place(j, "b") - place(j, "a") + 1), lambda y: ~full(y))
+
+        steps = F.transform(
+            F.sequence(F.lit(0), F.size(gone)),
+            lambda j: F.when(j == 0, between(j)).otherwise(F.concat(inside(F.greatest(j, F.lit(1))), between(j))),
+        )
+        return F.array_join(F.flatten(steps), "\n")
+
+    return let(F.struct(lines.alias("lines"), places.alias("places"), gone.alias("gone")), weave)
 
 
 def report(cleaned: DataFrame, id_col: str = "doc_id") -> DataFrame:
