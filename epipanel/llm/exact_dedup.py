@@ -97,12 +97,15 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
     Rows that repeat both the id and the text of the winner are cut to one.
     """
-    told = exact_dedup(docs, id_col, text_col).where("kept")
-    winners = told.select(F.col(id_col).alias("_id"), F.col("text_sha256").alias("_sha")).distinct()
-    marked = docs.withColumns({"_id": F.col(id_col).cast("long"), "_sha": sha256(ascii_lower(text_of(text_col)))})
+    told = stage(exact_dedup(docs, id_col, text_col).where("kept").select(id_col, "text_sha256"))
+    winners = told.select(F.col(id_col).alias("__id__"), F.col("text_sha256").alias("__sha__"))
+    marked = docs.withColumns(
+        {"__own_id__": F.col(id_col).cast("long"), "__own_sha__": sha256(ascii_lower(text_of(text_col)))}
+    )
     kept = marked.join(
-        winners.select(F.col("_id").alias("_wid"), F.col("_sha").alias("_wsha")),
-        F.col("_id").eqNullSafe(F.col("_wid")) & (F.col("_sha") == F.col("_wsha")),
-        "left_semi",
+        winners, F.col("__own_id__").eqNullSafe(F.col("__id__")) & (F.col("__own_sha__") == F.col("__sha__")), "left_semi"
     )
-    return kept.dropDuplicates(["_id", "_sha"]).drop("_id", "_sha")
+    repeated = winners.groupBy("__id__", "__sha__").count().where("count > 1")
+    if not repeated.isEmpty():
+        kept = kept.dropDuplicates(["__own_id__", "__own_sha__"])
+    return kept.drop("__own_id__", "__own_sha__")
