@@ -1,9 +1,62 @@
-"""The corpus pipeline: toxicity, exact copies, near copies, mixing, tokens."""
+"""The corpus pipeline: five stages from raw documents to encoded ones.
 
-STAGES = []
+Each stage takes (spark, docs, folder) and works on all that the one before it
+kept. Its result is written as Parquet and read again as the next one's docs.
+All but the last return the columns of ``documents``.
+"""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+
+from epipanel.llm import bpe, exact_dedup, mixing, ngram_join, toxicity
+from epipanel.llm.queries import OTHER, TARGETS
+from epipanel.llm.support import stage, table
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
+    """Documents that the ordinal model does not reject; it learns from the labels of ``docs``."""
+    model = toxicity.fit(docs, table(spark, folder, "labels"))
+    return toxicity.score(docs, model, keep_rows=True)
+
+
+def drop_copies(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
+    """Of equal texts the document with the largest id."""
+    return exact_dedup.keep_one(docs)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
+    """Of each group of near copies (five words, similarity 0.8) the document with the smallest id."""
+    return ngram_join.keep_one(docs, words=5, percent=80)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
+    """All documents, in files that follow the Pfair schedule of the sources."""
+    return mixing.in_order(mixing.mix(docs, TARGETS, OTHER))
+
+
+def encode(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
+    """doc_id, number of tokens, ids (little-endian, 32 bits each) and the digests of ids and decoded text."""
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    told = bpe.encode_texts(docs, path, keep_ids=True)
+    return told.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids")
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("exact_dedup", drop_copies),
+    ("ngram_jaccard_join", drop_near_copies),
+    ("mixing", mix_sources),
+    ("bpe", encode),
+]
+
+# Fitting a model and byte-pair encoding cannot be told in SQL.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, step in STAGES:
+        docs = stage(step(spark, docs, sf_dir))
     return docs
