@@ -228,10 +228,10 @@ class Join:
             left.select(F.col("a").alias("sid")).union(left.select("b")).distinct()
             .join(self.classes.select("sid", "rep"), "sid")
         )
-        ids = needed.select(F.col("rep").alias("_rep")).distinct()
+        ids = needed.select(F.col("rep").alias("__rep__")).distinct()
         if needed.count() <= BROADCAST_ROWS:
             ids = F.broadcast(ids)
-        texts = self.docs.join(ids, F.col(self.id_col).cast("long") == F.col("_rep"), "left_semi")
+        texts = self.docs.join(ids, F.col(self.id_col).cast("long") == F.col("__rep__"), "left_semi")
 
         def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -362,5 +362,5 @@ def keep_one(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "
     """The rows that stay when of each component only the smallest id does, with the input's columns."""
     kept = jaccard_components(docs, words, percent, id_col, text_col).where(
         F.col(id_col).eqNullSafe(F.col("component_id"))
-    ).select(F.col(id_col).alias("_kept")).distinct()
-    return docs.join(kept, F.col(id_col).cast("long").eqNullSafe(F.col("_kept")), "left_semi")
+    ).select(F.col(id_col).alias("__kept__")).distinct()
+    return docs.join(kept, F.col(id_col).cast("long").eqNullSafe(F.col("__kept__")), "left_semi")
