@@ -1,5 +1,7 @@
 """Fixed values of the forecasting model and its reports."""
 
+import math
+
 # Interval widths, calendar step, forecast horizon.
 INTERVAL_WIDTHS = (0.5, 0.7, 0.9)
 EXPORT_WIDTH = 0.9
@@ -16,24 +18,23 @@ DISPERSION_FLOOR = 1e-10
 DISPERSION_CEILING = 1e10
 CUMULATIVE_INFECTION_INIT = 1.0
 
-# Fixed values: (name, link, location expression, sd) of each non-centred prior.
-# Locations are SQL so that log(..) and logit(..) read as they are stated.
+# Fixed values: (name, link, location, sd) of each non-centred prior.
 PRIORS = (
-    ("R₀_init", "exp", "0.2D", 0.2),
-    ("σ_R₀", "exp", "-3.0D", 0.2),
-    ("case_detection_rate", "logistic", "-2.9D", 0.3),
-    ("dur_latent", "exp", "-1.5D", 0.25),
-    ("dur_infectious", "exp", "ln(5.0D / 7.0D)", 0.25),
-    ("IHR", "logistic", "-4.3D", 0.25),
-    ("dur_hospitalized", "exp", "-1.54D", 0.1),
-    ("dur_waning", "exp", "ln(12.0D)", 0.1),
-    ("dur_icu", "exp", "ln(0.31D)", 0.1),
-    ("HICUR", "logistic", "-1.69D", 0.2),
-    ("ICUDR", "logistic", "-1.59D", 0.2),
-    ("death_detection_rate", "logistic", "2.3D", 0.2),
-    ("E_init_prop", "logistic", "-ln(1.0D / 0.002D - 1.0D)", 0.4),
-    ("I_init_prop", "logistic", "-ln(1.0D / 0.0075D - 1.0D)", 0.6),
-    ("R_init_prop", "logistic", "-ln(1.0D / 0.1D - 1.0D)", 0.5),
+    ("R₀_init", "exp", 0.2, 0.2),
+    ("σ_R₀", "exp", -3.0, 0.2),
+    ("case_detection_rate", "logistic", -2.9, 0.3),
+    ("dur_latent", "exp", -1.5, 0.25),
+    ("dur_infectious", "exp", math.log(5 / 7), 0.25),
+    ("IHR", "logistic", -4.3, 0.25),
+    ("dur_hospitalized", "exp", -1.54, 0.1),
+    ("dur_waning", "exp", math.log(12), 0.1),
+    ("dur_icu", "exp", math.log(0.31), 0.1),
+    ("HICUR", "logistic", -1.69, 0.2),
+    ("ICUDR", "logistic", -1.59, 0.2),
+    ("death_detection_rate", "logistic", 2.3, 0.2),
+    ("E_init_prop", "logistic", math.log(0.002 / 0.998), 0.4),
+    ("I_init_prop", "logistic", math.log(0.0075 / 0.9925), 0.6),
+    ("R_init_prop", "logistic", math.log(0.1 / 0.9), 0.5),
 )
 
 # Dispersion parameter name of each fitted stream.

@@ -27,7 +27,9 @@ def logit(p: ColumnOrName) -> Column:
 def clamp(x: ColumnOrName, low, high) -> Column:
     low = low if isinstance(low, Column) else F.lit(float(low))
     high = high if isinstance(high, Column) else F.lit(float(high))
-    return F.least(F.greatest(_col(x), low), high)
+    x = _col(x)
+    # greatest and least skip nulls and rank NaN highest; a missing value stays missing.
+    return F.when(x.isNull() | F.isnan(x), x).otherwise(F.least(F.greatest(x, low), high))
 
 
 def apply_link(link: ColumnOrName, eta: ColumnOrName) -> Column:
@@ -145,13 +147,16 @@ def nb_log_density(k: ColumnOrName, mu: ColumnOrName, phi: ColumnOrName) -> Colu
 def hashed_normal(*keys: ColumnOrName, seed: int = 1) -> Column:
     """Standard normal that depends only on the row's keys and the seed.
 
+    Its bits are digits of the MD5 of the keys, which other engines have too.
+
     A retried or re-planned task gives the same value, which a generator
     seeded by partition and row order cannot promise.
     """
     cols = [_col(k) for k in keys]
 
     def uniform(stream: int) -> Column:
-        bits = F.shiftrightunsigned(F.xxhash64(*cols, F.lit(seed), F.lit(stream)), 11)
-        return (bits.cast("double") + F.lit(0.5)) * F.lit(2.0**-53)
+        told = F.concat_ws("|", *[c.cast("string") for c in cols], F.lit(str(seed)), F.lit(str(stream)))
+        digits = F.conv(F.substring(F.md5(told), 1, 13), 16, 10).cast("bigint")
+        return (digits.cast("double") + F.lit(0.5)) * F.lit(2.0**-52)
 
     return F.sqrt(F.lit(-2.0) * F.ln(uniform(0))) * F.cos(F.lit(2.0 * math.pi) * uniform(1))

@@ -157,12 +157,13 @@ def truncate_chains(
 ) -> DataFrame:
     """Kept draws, each chain cut to the shortest kept chain.
 
+    A chain that keeps no draw has length 0, so its group keeps none.
     ``draws`` holds one row per draw. Positions are counted in blocks of
     iterations, so a long chain is not one task's work.
     """
     kept = draws.where(keep)
     outer = [k for k in keys if k != "chain"]
-    lengths = kept.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    lengths = draws.groupBy(*keys).agg(F.count_if(keep).alias("_n"))
     shortest = lengths.groupBy(*outer).agg(F.min("_n").alias("_shortest"))
     placed = positions(
         kept, keys, [iteration], F.floor(F.col(iteration) / F.lit(block)), out="position"

@@ -76,11 +76,14 @@ def pad_params(
     mode: str = "zeros",
     keys: Sequence[str] = ("place_id", "source", "chain", "iteration"),
     seed: int = 1,
+    draw_keys: DataFrame | None = None,
 ) -> DataFrame:
     """Give every draw a value of each new (name, idx): zero, or normal noise.
 
-    The names are one model's parameter list, a value of the plan; each draw
-    explodes it, so nothing is joined.
+    The names are one model's parameter list, a value of the plan, whose length
+    is set by the model and not by the draws; each draw explodes it, so nothing
+    is joined. ``draw_keys`` has one row per draw where such a table exists;
+    otherwise the keys are found among the long draws.
     """
     if mode not in PAD_MODES:
         raise ValueError(f"mode must be one of {PAD_MODES}, not {mode!r}")
@@ -88,7 +91,7 @@ def pad_params(
         F.sort_array(F.collect_set(F.struct("name", "idx"))).alias("names")
     ).scalar()
     padded = (
-        draws.select(*keys).distinct()
+        (draws.select(*keys).distinct() if draw_keys is None else draw_keys.select(*keys))
         .select(*keys, F.explode(listed).alias("n"))
         .select(*keys, F.col("n.name").alias("name"), F.col("n.idx").alias("idx"))
     )

@@ -9,19 +9,11 @@ from pyspark.sql import functions as F
 
 from ..constants import INTERVAL_WIDTHS
 from .draws import DRAW_KEYS, align_time_index
-from .quantiles import largest_group, median_qi
+from .quantiles import median_qi
 
 GROUP = ("place_id", "source")
 
 
-def draws_per_group(draw_keys: DataFrame) -> int:
-    """Most draws of any (place, source): the rows any interval can rest on.
-
-    Takes one row per draw; each (name, idx) then has one value per draw.
-    """
-    return largest_group(draw_keys, GROUP)
-
-
 def attach_dates(df: DataFrame, calendar: DataFrame) -> DataFrame:
     """Date of each week; scalars have no week and stay without a date."""
     return df.join(calendar.select("time", "date"), "time", "left").drop("time")
@@ -37,10 +29,9 @@ def gq_intervals(
     draws: DataFrame,
     calendar: DataFrame,
     widths: Sequence[float] = INTERVAL_WIDTHS,
-    group_rows: int | None = None,
 ) -> DataFrame:
     """Intervals of every generated quantity, dated where it is a series."""
-    asked = median_qi(draws, (*GROUP, "name", "idx"), "value", widths, group_rows)
+    asked = median_qi(draws, (*GROUP, "name", "idx"), "value", widths)
     return attach_dates(align_time_index(asked), calendar).drop("idx")
 
 
@@ -63,7 +54,7 @@ def cumulative_by_draw(
     out: str = "cumulative_deaths",
     keys: Sequence[str] = DRAW_KEYS,
 ) -> DataFrame:
-    """Running total of one series inside each draw.
+    """Running total of one series inside each draw; missing from the first missing week on.
 
     A window holds the weeks of one draw, so its size does not depend on the
     number of draws or places.
@@ -71,7 +62,12 @@ def cumulative_by_draw(
     upto = Window.partitionBy(*keys).orderBy("idx").rowsBetween(Window.unboundedPreceding, 0)
     return (
         draws.where(F.col("name") == name)
-        .withColumn("value", F.sum("value").over(upto))
+        .withColumn(
+            "value",
+            F.when(
+                F.count("value").over(upto) == F.count(F.lit(1)).over(upto), F.sum("value").over(upto)
+            ),
+        )
         .withColumn("name", F.lit(out))
     )
 
@@ -81,17 +77,15 @@ def cumulative_intervals(
     name: str = "new_deaths",
     out: str = "cumulative_deaths",
     widths: Sequence[float] = INTERVAL_WIDTHS,
-    group_rows: int | None = None,
 ) -> DataFrame:
     running = cumulative_by_draw(draws, name, out)
-    return median_qi(running, (*GROUP, "name", "idx"), "value", widths, group_rows)
+    return median_qi(running, (*GROUP, "name", "idx"), "value", widths)
 
 
 def predictive_intervals(
     draws: DataFrame,
     calendar: DataFrame,
     widths: Sequence[float] = INTERVAL_WIDTHS,
-    group_rows: int | None = None,
 ) -> DataFrame:
     """Intervals of each predicted stream and of cumulative deaths, dated.
 
@@ -100,6 +94,6 @@ def predictive_intervals(
     """
     columns = [*DRAW_KEYS, "name", "idx", "value"]
     stacked = draws.select(*columns).unionByName(cumulative_by_draw(draws).select(*columns))
-    asked = median_qi(stacked, (*GROUP, "name", "idx"), "value", widths, group_rows)
+    asked = median_qi(stacked, (*GROUP, "name", "idx"), "value", widths)
     timed = asked.withColumn("time", F.col("idx").cast("bigint")).drop("idx")
     return attach_dates(timed, calendar)

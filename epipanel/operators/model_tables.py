@@ -56,9 +56,9 @@ def initial_compartments(params: DataFrame, init: DataFrame) -> DataFrame:
         {x: F.col(f"{x}_init_prop") * F.col("population") for x in ("E", "I", "R")}
     ).withColumns(
         {
-            "S": F.greatest(
-                F.lit(1.0),
+            "S": clamp(
                 F.col("remaining_population") - (F.col("E") + F.col("I") + F.col("R")),
+                1.0, float("inf"),
             ),
             "C": F.lit(CUMULATIVE_INFECTION_INIT),
         }
@@ -122,7 +122,7 @@ def step_param_lookup(
 def transition_flows(
     compartments: DataFrame, params: DataFrame, keys: Sequence[str] = DRAW_KEYS
 ) -> DataFrame:
-    """The nine flows at each stored state, N, and the log-scale net rates.
+    """The nine flows at each stored state, and N.
 
     ``params`` has one row per draw. A β that changes by week is a column of
     the states; a constant one may be among the parameters.
@@ -146,34 +146,7 @@ def transition_flows(
         "icu_recovery": F.col("ω") * (1 - F.col("ICUDR")) * F.col("ICU"),
         "waned_immunity": F.col("κ") * F.col("R"),
     }
-    # What enters and leaves each compartment.
-    moves = {
-        "S": (["waned_immunity"], ["infection"]),
-        "E": (["infection"], ["progression"]),
-        "I": (["progression"], ["hospitalization", "non_hospitalized_recovery"]),
-        "H": (["hospitalization"], ["hospitalized_recovery", "icu_admission"]),
-        "R": (
-            ["non_hospitalized_recovery", "hospitalized_recovery", "icu_recovery"],
-            ["waned_immunity"],
-        ),
-        "C": (["progression"], []),
-        "ICU": (["icu_admission"], ["icu_death", "icu_recovery"]),
-        "D": (["icu_death"], []),
-    }
-
-    def net(entering: list[str], leaving: list[str]) -> Column:
-        total = F.col(entering[0])
-        for x in entering[1:]:
-            total = total + F.col(x)
-        for x in leaving:
-            total = total - F.col(x)
-        return total
-
-    c = c.withColumns(flows)
-    return c.select(
-        *keys, "t", "N", *flows,
-        *[(net(*moves[x]) / F.col(x)).alias(f"d_log_{x}") for x in COMPARTMENTS],
-    )
+    return c.withColumns(flows).select(*keys, "t", "N", *flows)
 
 
 def increments(

@@ -294,8 +294,16 @@ def place_dimension(populations: DataFrame, region_key: DataFrame, state: str) -
 def initial_values(
     panel: DataFrame, dim: DataFrame, offset: int = SMOOTHING_OFFSET
 ) -> DataFrame:
-    """Week-0 census and deaths, each ``offset`` higher, and who remains."""
-    week0 = panel.where(F.col("time") == 0).select(
+    """Week-0 census and deaths, each ``offset`` higher, and who remains.
+
+    One row per place: where week 0 has several (a rollup of places whose weeks
+    differ), the one with the earliest start, then end.
+    """
+    measures = ("hospitalized", "icu", "cumulative_deaths")
+    first = panel.where(F.col("time") == 0).groupBy("place").agg(
+        F.min_by(F.struct(*measures), F.struct("start_date", "end_date")).alias("first")
+    )
+    week0 = first.select("place", "first.*").select(
         "place",
         (F.col("hospitalized") + offset).alias("H"),
         (F.col("icu") + offset).alias("ICU"),

@@ -14,11 +14,10 @@ from .quantiles import group_quantiles
 
 def fixed_priors(spark: SparkSession) -> DataFrame:
     """(name, link, mean, sd) of the model's own priors."""
-    rows = spark.createDataFrame(
-        [(n, link, sd) for n, link, _, sd in PRIORS], "name string, link string, sd double"
+    return spark.createDataFrame(
+        [(n, link, float(at), sd) for n, link, at, sd in PRIORS],
+        "name string, link string, mean double, sd double",
     )
-    mean = F.coalesce(*[F.when(F.col("name") == n, F.expr(at)) for n, _, at, _ in PRIORS])
-    return rows.select("name", "link", mean.cast("double").alias("mean"), "sd")
 
 
 def log_moments(df: DataFrame, keys: Sequence[str], value: str = "value") -> DataFrame:
@@ -76,7 +75,6 @@ def induced_quantiles(
     keys: Sequence[str],
     names: Sequence[str] = ("IFR", "S_prop"),
     probs: Sequence[float] = tuple(p for p, _ in PRIOR_QUANTILES),
-    group_rows: int | None = None,
 ) -> DataFrame:
     """Quantiles of derived columns, one row per group, name and probability."""
     stacked = induced_draws.select(
@@ -85,7 +83,7 @@ def induced_quantiles(
             F.array(*[F.struct(F.lit(n).alias("name"), F.col(n).alias("value")) for n in names])
         ),
     )
-    asked = group_quantiles(stacked, [*keys, "name"], "value", probs, "_q", group_rows=group_rows)
+    asked = group_quantiles(stacked, [*keys, "name"], "value", probs, "_q")
     rows = F.array(
         *[
             F.struct(F.lit(p).alias("prob"), F.col("_q")[i].alias("value"))

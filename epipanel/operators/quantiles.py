@@ -1,12 +1,4 @@
-"""Exact quantiles per group, for groups of any size.
-
-Most groups hold one value per Monte-Carlo draw, a few thousand at most: their
-values are brought together, sorted, and read at the wanted ranks. That is only
-done for groups proved to hold at most ``limit`` rows. Larger groups are found
-first and answered by narrowing: count values in cells of the group's range,
-keep the cells that hold a wanted rank, and repeat inside them. Counting
-combines map-side; no task ever holds a large group.
-"""
+"""Exact quantiles per group, one way for groups of any size."""
 
 from __future__ import annotations
 
@@ -15,68 +7,68 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage
-
-GROUP_LIMIT = 100_000        # rows of one group that one task may hold
-LISTED_GROUPS = 1_000        # large groups that may be listed and broadcast
-CELLS = 4096                 # cells per narrowing step
-SALTS = 64                   # spread of a large group when the list is long
-_MAX = 1.7976931348623157e308
+from ..session import stage
 
 
 def group_quantiles(
-    df: DataFrame,
-    keys: Sequence[str],
-    value: str,
-    probs: Sequence[float],
-    out: str = "quantiles",
-    group_rows: int | None = None,
-    limit: int = GROUP_LIMIT,
+    df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float], out: str = "quantiles"
 ) -> DataFrame:
     """``keys`` and ``out``: an array of linear-interpolation quantiles.
 
-    ``group_rows`` is a bound on the rows of any one group that the caller has
-    proved (such as the draws per place); with a bound within ``limit`` the
-    pass that measures group sizes is skipped. Null values are ignored.
+    Equal values of a group are counted, which combines map-side. The counts
+    are dealt out by ranges of (group, value), so a large group spreads over
+    many tasks and a task holds many small ones, and are stored with the number
+    of their range. The totals of the ranges give the rank at which each range
+    of a group begins; only the ranges that hold a wanted rank are opened. The
+    input is read once.
+
+    Nulls are ignored. A group of nulls alone has null quantiles; a group that
+    holds NaN, which has no rank, has NaN quantiles.
     """
-    slim = df.select(*keys, F.col(value).cast("double").alias("_v")).where("_v is not null")
-    if group_rows is not None and group_rows <= limit:
-        return _by_sorting(slim, keys, probs, out)
+    rows = df.select(F.struct(*keys).alias("_g"), F.col(value).cast("double").alias("_v"))
+    counted = rows.groupBy("_g", "_v").agg(F.count(F.lit(1)).alias("_n"))
+    dealt = stage(counted.repartitionByRange("_g", "_v").withColumn("_range", F.spark_partition_id()))
 
-    packed = slim.select(F.struct(*keys).alias("_g"), "_v")
-    large = (
-        packed.groupBy("_g").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > limit)
+    by_range = dealt.groupBy("_g", "_range").agg(
+        F.coalesce(F.sum(F.when(F.col("_v").isNotNull(), F.col("_n"))), F.lit(0)).alias("_m"),
+        F.max(F.coalesce(F.isnan("_v"), F.lit(False))).alias("_nan"),
     )
-    listed = large.limit(LISTED_GROUPS + 1).collect()
-    if not listed:
-        return _by_sorting(slim, keys, probs, out)
-    if len(listed) <= LISTED_GROUPS:
-        large = F.broadcast(df.sparkSession.createDataFrame(listed, large.schema))
-        salts = 1
-    else:
-        large, salts = cut_lineage(large), SALTS
-
-    usual = _match(packed, large.select("_g"), salts, how="left_anti").select("_g.*", "_v")
-    hot = _match(packed, large.select("_g"), salts, how="left_semi")
-    answered = _by_narrowing(hot, large, probs, limit, salts, out)
-    return _by_sorting(usual, keys, probs, out).unionByName(answered.select("_g.*", out))
-
-
-def _by_sorting(df: DataFrame, keys: Sequence[str], probs: Sequence[float], out: str) -> DataFrame:
-    """Groups of at most ``limit`` rows, each sorted whole in one task.
-
-    Rows are placed by key before they are gathered: partial lists would only
-    be copied through the shuffle. Groups are small, so tasks stay even.
-    """
-    gathered = df.repartition(*keys).groupBy(*keys).agg(
-        F.sort_array(F.collect_list("_v")).alias("_sorted")
+    before = Window.partitionBy("_g").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.partitionBy("_g")
+    ranges = by_range.select(
+        "_g", "_range", "_m",
+        F.coalesce(F.sum("_m").over(before), F.lit(0)).alias("_first"),
+        F.sum("_m").over(whole).alias("_total"),
+        F.max("_nan").over(whole).alias("_nan"),
+    )
+    wanted = F.exists(
+        _ranks(F.col("_total"), probs),
+        lambda r: (r >= F.col("_first")) & (r < F.col("_first") + F.col("_m")),
+    )
+    # A group with nothing to rank keeps one range, and with it its row.
+    opened = ranges.where(wanted | ((F.col("_total") == 0) & (F.col("_first") == 0)))
+    upto = Window.partitionBy("_g", "_range").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    ends = dealt.join(opened, ["_g", "_range"]).withColumn(
+        "_end", F.col("_first") + F.sum(F.when(F.col("_v").isNotNull(), F.col("_n")).otherwise(0)).over(upto)
+    )
+    held = F.filter(
+        _ranks(F.col("_total"), probs), lambda r: (r < F.col("_end")) & (r >= F.col("_end") - F.col("_n"))
+    )
+    kept = ends.withColumn("_held", F.when(F.col("_v").isNotNull(), held)).where(
+        (F.size("_held") > 0) | (F.col("_total") == 0)
+    )
+    by_group = kept.groupBy("_g", "_total", "_nan").agg(
+        F.map_from_entries(
+            F.flatten(F.collect_list(F.transform("_held", lambda r: F.struct(r.alias("r"), F.col("_v").alias("v")))))
+        ).alias("_at")
     )
-    n = F.size("_sorted")
     asked = [
-        _between(F.lit(float(p)) * (n - 1), lambda r: F.get("_sorted", r.cast("int")))
+        F.when(F.col("_total") == 0, F.lit(None).cast("double"))
+        .when(F.col("_nan"), F.lit(float("nan")))
+        .otherwise(_between(F.lit(float(p)) * (F.col("_total") - 1), lambda r: F.element_at("_at", r)))
         for p in probs
     ]
-    return gathered.select(*keys, F.array(*asked).alias(out))
+    return by_group.select("_g.*", F.array(*asked).alias(out))
 
 
 def _between(position: Column, value_at: Callable[[Column], Column]) -> Column:
@@ -86,27 +78,6 @@ def _between(position: Column, value_at: Callable[[Column], Column]) -> Column:
     return F.when(low == high, value_at(low)).otherwise(mixed)
 
 
-def _match(
-    rows: DataFrame, groups: DataFrame, salts: int, how: str, within: Column | None = None
-) -> DataFrame:
-    """Join rows to groups, each group spread over ``salts`` tasks."""
-    salt = F.pmod(F.xxhash64("_v"), F.lit(salts)).cast("int")
-    rows = rows.withColumn("_salt", salt) if salts > 1 else rows
-    if salts > 1:
-        groups = groups.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    left, right = rows.alias("l"), groups.alias("r")
-    on = F.col("l._g") == F.col("r._g")
-    if salts > 1:
-        on = on & (F.col("l._salt") == F.col("r._salt"))
-    if within is not None:
-        on = on & within
-    joined = left.join(right, on, how)
-    if how in ("left_semi", "left_anti"):
-        return joined.select("l._g", "l._v")
-    extra = [F.col(f"r.{c}") for c in groups.columns if c not in ("_g", "_salt")]
-    return joined.select(F.col("l._g").alias("_g"), F.col("l._v").alias("_v"), *extra)
-
-
 def _ranks(n: Column, probs: Sequence[float]) -> Column:
     """Distinct 0-based ranks that bracket each probability."""
     at = [F.lit(float(p)) * (n - 1) for p in probs]
@@ -115,103 +86,15 @@ def _ranks(n: Column, probs: Sequence[float]) -> Column:
     )
 
 
-def _cell(stretched: bool) -> Column:
-    """Cell of a value between the ends of its parent cell, non-decreasing in it."""
-    def scale(c: str) -> Column:
-        x = F.least(F.greatest(F.col(c), F.lit(-_MAX)), F.lit(_MAX))
-        return F.signum(x) * F.log1p(F.abs(x)) if stretched else x / F.lit(2.0)
-
-    width = scale("_hi") - scale("_lo")
-    return F.when(
-        width > 0, F.floor((scale("_v") - scale("_lo")) / width * F.lit(float(CELLS)))
-    ).otherwise(F.when(F.col("_v") > F.col("_lo"), 1).otherwise(0))
-
-
-def _by_narrowing(
-    hot: DataFrame, large: DataFrame, probs: Sequence[float], limit: int, salts: int, out: str
-) -> DataFrame:
-    inside = (F.col("l._v") >= F.col("r._lo")) & (F.col("l._v") <= F.col("r._hi"))
-    sized = large.select("_g", F.col("_n").alias("_total"))
-    ends = hot.groupBy("_g").agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
-    cells = cut_lineage(
-        sized.join(ends, "_g").select(
-            "_g", "_lo", "_hi", F.lit(0).cast("bigint").alias("_start"),
-            F.col("_total").alias("_n"), "_total",
-        )
-    )
-    stretched = True
-    while cells.where((F.col("_n") > limit) & (F.col("_lo") < F.col("_hi"))).limit(1).count():
-        before = (
-            Window.partitionBy("_g", "_start").orderBy("_cell")
-            .rowsBetween(Window.unboundedPreceding, -1)
-        )
-        counted = (
-            _match(hot, _sized(cells, salts), salts, "inner", inside)
-            .withColumn("_cell", _cell(stretched))
-            .groupBy("_g", "_start", "_total", "_cell")
-            .agg(
-                F.min("_v").alias("_lo"), F.max("_v").alias("_hi"),
-                F.count(F.lit(1)).alias("_n"),
-            )
-            .withColumn("_first", F.col("_start") + F.coalesce(F.sum("_n").over(before), F.lit(0)))
-        )
-        wanted = F.exists(
-            _ranks(F.col("_total"), probs),
-            lambda r: (r >= F.col("_first")) & (r < F.col("_first") + F.col("_n")),
-        )
-        cells = cut_lineage(
-            counted.where(wanted).select(
-                "_g", "_lo", "_hi", F.col("_first").alias("_start"), "_n", "_total"
-            )
-        )
-        stretched = False
-
-    # Ties collapse map-side, then each cell orders its distinct values.
-    upto = Window.partitionBy("_g", "_start").orderBy("_v").rowsBetween(
-        Window.unboundedPreceding, 0
-    )
-    ranked = (
-        _match(hot, _sized(cells, salts), salts, "inner", inside)
-        .groupBy("_g", "_start", "_total", "_v")
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .withColumn("_end", F.col("_start") + F.sum("_n").over(upto))
-        .withColumn("_rank", F.explode(_ranks(F.col("_total"), probs)))
-        .where((F.col("_rank") < F.col("_end")) & (F.col("_rank") >= F.col("_end") - F.col("_n")))
-    )
-    by_rank = ranked.groupBy("_g", "_total").agg(
-        F.map_from_entries(F.collect_list(F.struct("_rank", "_v"))).alias("_at")
-    )
-
-    asked = [
-        _between(F.lit(float(p)) * (F.col("_total") - 1), lambda r: F.element_at("_at", r))
-        for p in probs
-    ]
-    return by_rank.select("_g", F.array(*asked).alias(out))
-
-
-def _sized(cells: DataFrame, salts: int) -> DataFrame:
-    """A short list of large groups has a short list of cells: broadcast it."""
-    return F.broadcast(cells) if salts == 1 else cells
-
-
 def interval_probs(widths: Sequence[float]) -> list[float]:
     """0.5, then the lower and upper tail of each width."""
     tails = [p for w in widths for p in ((1.0 - w) / 2.0, 1.0 - (1.0 - w) / 2.0)]
     return [0.5, *tails]
 
 
-def median_qi(
-    df: DataFrame,
-    keys: Sequence[str],
-    value: str,
-    widths: Sequence[float],
-    group_rows: int | None = None,
-    limit: int = GROUP_LIMIT,
-) -> DataFrame:
+def median_qi(df: DataFrame, keys: Sequence[str], value: str, widths: Sequence[float]) -> DataFrame:
     """Median and equal-tailed intervals, one row per group and width."""
-    asked = group_quantiles(
-        df, keys, value, interval_probs(widths), "_q", group_rows=group_rows, limit=limit
-    )
+    asked = group_quantiles(df, keys, value, interval_probs(widths), "_q")
     rows = F.array(
         *[
             F.struct(
@@ -224,9 +107,3 @@ def median_qi(
         ]
     )
     return asked.select(*keys, F.inline(rows))
-
-
-def largest_group(df: DataFrame, keys: Sequence[str]) -> int:
-    """Rows of the largest group, as one number."""
-    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    return int(sizes.agg(F.coalesce(F.max("_n"), F.lit(0)).alias("n")).first()["n"])

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from functools import cached_property
 
@@ -19,7 +20,8 @@ from ..operators import panel as P
 from ..operators import priors as R
 from ..operators.quantiles import median_qi
 from ..operators.ranking import top_n_finite
-from ..session import stage, together
+from ..session import shared_folder, stage, together
+from ..sources import readers as S
 from .quantities import Quantities, observed_streams
 from .surveillance import Surveillance
 from .testdata import STATE, TestData
@@ -59,16 +61,12 @@ class Frames:
     def calendar(self) -> DataFrame:
         return H.forecast_calendar(self.ingest.panel)
 
-    @cached_property
-    def group_rows(self) -> int:
-        return I.draws_per_group(self.data.draw_keys)
-
     def prepare(self) -> None:
         """Store the stages of both jobs, independent ones at the same time."""
         ingest = self.ingest
         together(
             lambda: ingest.daily, lambda: ingest.ecdf, lambda: ingest.dim,
-            lambda: self.priors, lambda: self.group_rows,
+            lambda: self.priors,
         )
         model = self.model
         together(lambda: ingest.rolled, lambda: model.params)
@@ -76,12 +74,12 @@ class Frames:
     @cached_property
     def gq(self) -> DataFrame:
         self.prepare()
-        return I.gq_intervals(self.model.generated, self.calendar, group_rows=self.group_rows)
+        return I.gq_intervals(self.model.generated, self.calendar)
 
     @cached_property
     def predictive(self) -> DataFrame:
         return I.predictive_intervals(
-            self.data.predictive, self.calendar, group_rows=self.group_rows
+            self.data.predictive, self.calendar
         )
 
 
@@ -110,6 +108,46 @@ def census_select(f: Frames) -> DataFrame:
     return P.clean_census_feed(f.data.raw_census_feed)
 
 
+def _written(f: Frames, parts: list[DataFrame]) -> str:
+    """Folder of CSV files, each part with its own columns in its own order."""
+    path = f"{shared_folder(f.spark)}/feed-{uuid.uuid4().hex}"
+    for part in parts:
+        part.write.mode("append").csv(path, header=True, nullValue="NA")
+    return path
+
+
+def _two_orders(feed: DataFrame) -> list[DataFrame]:
+    early = F.col("date" if "date" in feed.columns else "todays_date") < "2022-07-01"
+    return [feed.where(early), feed.where(~early).select(*reversed(feed.columns))]
+
+
+@query
+def read_place_daily(f: Frames) -> DataFrame:
+    """The case feed from files whose columns stand in two orders."""
+    return S.read_place_daily(f.spark, _written(f, _two_orders(f.data.raw_case_feed)))
+
+
+@query
+def read_census(f: Frames) -> DataFrame:
+    return S.read_census(f.spark, _written(f, _two_orders(f.data.raw_census_feed)))
+
+
+@query
+def scan_draw_dir(f: Frames) -> DataFrame:
+    """Long draws from wide files; one place has a column less than the others."""
+    names = [f"z[{i}]" for i in range(1, 65)]
+    wide = f.data.draw_records.where("source = 'posterior'").select(
+        "place_id", "chain", "iteration", *[F.element_at("z", i + 1).alias(n) for i, n in enumerate(names)]
+    )
+    folder = f"{shared_folder(f.spark)}/draws-{uuid.uuid4().hex}"
+    # A file's place stands in its path, as county_id=N.
+    for place in range(1, 6):
+        columns = names[:-1] if place == 5 else names
+        one = wide.where(F.col("place_id") == place).select("iteration", "chain", *[f"`{c}`" for c in columns])
+        one.write.csv(f"{folder}/county_id={place}", header=True, nullValue="NA")
+    return S.scan_draw_dir(f.spark, f"{folder}/*", "posterior")
+
+
 @query
 def drop_incomplete(f: Frames) -> DataFrame:
     both = f.data.cases.join(f.data.census, ["place", "date"], "full")
@@ -292,7 +330,7 @@ def new_param_names(f: Frames) -> DataFrame:
 def _padded(f: Frames, mode: str) -> DataFrame:
     draws = f.data.draws
     model = draws.where(F.col("idx") <= MODEL_PARAMS)
-    return H.pad_params(model, D.new_names(draws, model), mode)
+    return H.pad_params(model, D.new_names(draws, model), mode, draw_keys=f.data.draw_keys)
 
 
 @query
@@ -302,13 +340,15 @@ def pad_params_zeros(f: Frames) -> DataFrame:
 
 @query
 def pad_params_randn(f: Frames) -> DataFrame:
-    return _padded(f, "randn")
+    return rounded(_padded(f, "randn"), 6, "value")
 
 
 @query
 def truncate_chains(f: Frames) -> DataFrame:
     return D.truncate_chains(
-        f.data.draw_keys, F.col("iteration") % 4 != 0, ["place_id", "chain"]
+        f.data.draw_keys,
+        (F.col("iteration") % 4 != 0) & ~((F.col("place_id") == 5) & (F.col("chain") == 3)),
+        ["place_id", "source", "chain"],
     )
 
 
@@ -316,7 +356,6 @@ def truncate_chains(f: Frames) -> DataFrame:
 def median_qi_draws(f: Frames) -> DataFrame:
     asked = median_qi(
         f.data.draws, [*I.GROUP, "name", "idx"], "value", I.INTERVAL_WIDTHS,
-        group_rows=f.group_rows,
     )
     return rounded(asked, 6, "lower", "value", "upper")
 
@@ -332,7 +371,7 @@ def stack_sources(f: Frames) -> DataFrame:
 
 @query
 def cumulative_intervals(f: Frames) -> DataFrame:
-    asked = I.cumulative_intervals(f.data.predictive, group_rows=f.group_rows)
+    asked = I.cumulative_intervals(f.data.predictive)
     return rounded(asked, 6, "lower", "value", "upper")
 
 
@@ -518,7 +557,7 @@ def induced_quantiles(f: Frames) -> DataFrame:
         (F.col("remaining_population") / F.col("population")).alias("_share"),
     )
     draws = R.induced(f.model.params.join(share, "place_id"), F.col("_share"))
-    asked = R.induced_quantiles(draws, I.GROUP, group_rows=f.group_rows)
+    asked = R.induced_quantiles(draws, I.GROUP)
     return rounded(asked, 8, "value")
 
 

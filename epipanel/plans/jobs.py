@@ -58,10 +58,7 @@ def tidy(spark: SparkSession, results: str, data: str) -> None:
 
     for source in SOURCES:
         folder = f"{results}/{source}_generated_quantities"
-        bound = I.draws_per_group(R.scan_wide_dir(spark, folder, source))
-        asked = named(
-            stage(I.gq_intervals(R.scan_draw_dir(spark, folder, source), calendar, group_rows=bound))
-        )
+        asked = named(stage(I.gq_intervals(R.scan_draw_dir(spark, folder, source), calendar)))
         scalars, series = I.scalar_vector_split(asked)
         write_report(
             scalars.orderBy("place", "name", "width"),
@@ -72,11 +69,8 @@ def tidy(spark: SparkSession, results: str, data: str) -> None:
             f"{results}/tidy_vector_{source}_generated_quantities",
         )
         folder = f"{results}/{source}_predictive"
-        bound = I.draws_per_group(R.scan_wide_dir(spark, folder, source))
         asked = named(
-            I.predictive_intervals(
-                R.scan_draw_dir(spark, folder, source), calendar, group_rows=bound
-            )
+            I.predictive_intervals(R.scan_draw_dir(spark, folder, source), calendar)
         )
         write_report(
             asked.orderBy("place", "name", "date", "width"), f"{results}/tidy_{source}_predictive"

@@ -21,7 +21,7 @@ WEEKS_PREDICTED = 16
 STATES = 8          # weeks of compartments, from week 0
 STEPS = 6           # random-walk steps
 # event_type that stands for each dispersion stream
-EVENT_STREAMS = {"click": "cases", "error": "hospitalized", "purchase": "icu", "signup": "deaths"}
+EVENT_STREAMS = {"click": "cases", "view": "cases", "error": "hospitalized", "purchase": "icu", "signup": "deaths"}
 
 
 class TestData:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from urllib.parse import unquote
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -16,6 +19,27 @@ PLACE_IN_PATH = r"county_id=(\d+)"
 MISSING = "NA"
 
 
+def csv_parts(spark: SparkSession, path: str) -> list[DataFrame]:
+    """The CSV files of a path, those of one header together, all columns as strings.
+
+    Files of a folder may differ in their columns and in their order. Headers
+    are found by a scan of the files' first blocks; their list has a row per file.
+    """
+    lines = (
+        spark.read.text(path)
+        .select("value", "_metadata.file_path", "_metadata.file_block_start")
+        .where("file_block_start = 0").withColumn("at", F.monotonically_increasing_id())
+    )
+    first = lines.groupBy("file_path").agg(F.min_by("value", "at").alias("header")).collect()
+    files: dict[str, list[str]] = {}
+    for row in sorted(first):
+        files.setdefault(row["header"].rstrip("\r"), []).append(unquote(row["file_path"]))
+    return [
+        spark.read.csv(paths, header=True, enforceSchema=False, nullValue=MISSING)
+        for paths in files.values()
+    ]
+
+
 def read_named(
     spark: SparkSession, path: str, schema: str, renames: dict[str, str] | None = None
 ) -> DataFrame:
@@ -25,14 +49,14 @@ def read_named(
     schema does not name are not read.
     """
     fields = T.StructType.fromDDL(schema).fields
-    if path.endswith(".parquet"):
-        raw = spark.read.parquet(path)
-    else:
-        raw = spark.read.csv(path, header=True, nullValue=MISSING)
     renames = renames or {}
-    return raw.select(
-        *[F.col(renames.get(f.name, f.name)).cast(f.dataType).alias(f.name) for f in fields]
-    )
+    wanted = [
+        F.col(f"`{renames.get(f.name, f.name)}`").cast(f.dataType).alias(f.name) for f in fields
+    ]
+    if path.endswith(".parquet"):
+        return spark.read.parquet(path).select(*wanted)
+    parts = [part.select(*wanted) for part in csv_parts(spark, path)]
+    return reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], schema)
 
 
 def read_place_daily(spark: SparkSession, path: str) -> DataFrame:
@@ -75,26 +99,25 @@ def read_panel(spark: SparkSession, path: str, place: str = "county") -> DataFra
 DRAW_ID = ("place_id", "source", "chain", "iteration")
 
 
-def scan_wide_dir(spark: SparkSession, path: str, source: str) -> DataFrame:
-    """All wide draw files of a folder, place id from the file name.
-
-    The columns come from one header; a file whose header differs fails the
-    read instead of shifting its values.
-    """
-    wide = spark.read.csv(path, header=True, enforceSchema=False, nullValue=MISSING)
-    return wide.withColumns(
-        {
-            "place_id": F.regexp_extract("_metadata.file_path", PLACE_IN_PATH, 1).cast("int"),
-            "source": F.lit(source),
-            "chain": F.col("chain").cast("int"),
-            "iteration": F.col("iteration").cast("int"),
-        }
-    )
+def scan_wide_parts(spark: SparkSession, path: str, source: str) -> list[DataFrame]:
+    """The wide draw files of a folder, place id from the file name, a frame per header."""
+    return [
+        wide.withColumns(
+            {
+                "place_id": F.regexp_extract("_metadata.file_path", PLACE_IN_PATH, 1).cast("int"),
+                "source": F.lit(source),
+                "chain": F.col("chain").cast("int"),
+                "iteration": F.col("iteration").cast("int"),
+            }
+        )
+        for wide in csv_parts(spark, path)
+    ]
 
 
 def scan_draw_dir(spark: SparkSession, path: str, source: str) -> DataFrame:
-    """All wide draw files of a folder as long draws."""
-    return wide_to_long(scan_wide_dir(spark, path, source), DRAW_ID, parse=True)
+    """All wide draw files of a folder as long draws; each file has its own columns."""
+    parts = [wide_to_long(w, DRAW_ID, parse=True) for w in scan_wide_parts(spark, path, source)]
+    return reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], schemas.DRAWS)
 
 
 def read_intervals(spark: SparkSession, path: str) -> DataFrame:

@@ -49,6 +49,11 @@ PARTS["clean_feed"] = """
   WHERE area_type = 'County' AND place NOT IN ('Out of state', 'Unknown')"""
 QUERIES["place_daily_clean"] = "SELECT * FROM clean_feed"
 QUERIES["census_select"] = "SELECT place, date, hospitalized, icu FROM fx_census"
+QUERIES["read_place_daily"] = QUERIES["place_daily_clean"]
+QUERIES["read_census"] = QUERIES["census_select"]
+QUERIES["scan_draw_dir"] = f"""
+  SELECT {KEYS}, name, idx, value FROM draws
+  WHERE source = 'posterior' AND NOT (place_id = 5 AND idx = 64)"""
 
 PARTS["unfilled"] = """
   SELECT COALESCE(a.place, b.place) AS place, COALESCE(a.date, b.date) AS date,
@@ -178,7 +183,9 @@ QUERIES["place_dimension"] = "SELECT id, level, place, population FROM dim"
 PARTS["init"] = """
   SELECT id, place, population, H, ICU, D, population - (H + ICU + D) AS remaining_population
   FROM (SELECT id, r.place, population, hospitalized + 1 AS H, icu + 1 AS ICU, cumulative_deaths + 1 AS D
-        FROM (SELECT * FROM rolled WHERE time = 0) r LEFT JOIN dim ON dim.place = r.place)"""
+        FROM (SELECT * FROM rolled WHERE time = 0
+              QUALIFY ROW_NUMBER() OVER (PARTITION BY place ORDER BY start_date, end_date) = 1) r
+        LEFT JOIN dim ON dim.place = r.place)"""
 QUERIES["initial_values"] = "SELECT * FROM init"
 QUERIES["filter_place"] = f"""
   SELECT level, {_PANEL} FROM panel WHERE place = (SELECT place FROM dim WHERE id = 3)"""
@@ -280,13 +287,27 @@ QUERIES["pad_params_zeros"] = f"""
   UNION ALL
   SELECT {KEYS}, 'z', CAST(i AS INTEGER), 0.0::DOUBLE
   FROM (SELECT DISTINCT {KEYS} FROM draws), (SELECT range AS i FROM range(53, 65))"""
+def _uniform(stream: int) -> str:
+    told = f"concat_ws('|', place_id, source, chain, iteration, 'z', i, 1, {stream})"
+    return f"(CAST(CAST('0x' || substr(md5({told}), 1, 13) AS BIGINT) AS DOUBLE) + 0.5) / 4503599627370496.0"
+
+
+QUERIES["pad_params_randn"] = f"""
+  SELECT {KEYS}, name, idx, ROUND(value, 6) AS value FROM draws WHERE idx <= 52
+  UNION ALL
+  SELECT {KEYS}, 'z', CAST(i AS INTEGER), ROUND(SQRT(-2 * LN({_uniform(0)})) * COS(2 * PI() * {_uniform(1)}), 6)
+  FROM (SELECT DISTINCT {KEYS} FROM draws), (SELECT range AS i FROM range(53, 65))"""
 QUERIES["truncate_chains"] = f"""
-  WITH kept AS (
-    SELECT {KEYS}, ROW_NUMBER() OVER (PARTITION BY place_id, chain ORDER BY iteration) AS position,
-           COUNT(*) OVER (PARTITION BY place_id, chain) AS n
-    FROM records WHERE iteration % 4 <> 0)
+  WITH marked AS (
+    SELECT {KEYS}, iteration % 4 <> 0 AND NOT (place_id = 5 AND chain = 3) AS keep FROM records),
+  counted AS (
+    SELECT *, COUNT(*) FILTER (keep) OVER (PARTITION BY place_id, source, chain) AS n FROM marked),
+  bounded AS (SELECT *, MIN(n) OVER (PARTITION BY place_id, source) AS shortest FROM counted)
   SELECT {KEYS}, CAST(position AS BIGINT) AS position
-  FROM (SELECT *, MIN(n) OVER (PARTITION BY place_id) AS shortest FROM kept) WHERE position <= shortest"""
+  FROM (SELECT {KEYS}, shortest,
+               ROW_NUMBER() OVER (PARTITION BY place_id, source, chain ORDER BY iteration) AS position
+        FROM bounded WHERE keep)
+  WHERE position <= shortest"""
 
 
 def summary(table: str, digits: int | None = None) -> str:
@@ -322,7 +343,7 @@ QUERIES["stack_sources"] = f"""
 
 PARTS["stream_moments"] = """
   SELECT stream, AVG(LN(value)) AS mean, STDDEV_SAMP(LN(value)) AS sd
-  FROM (SELECT CASE event_type WHEN 'click' THEN 'cases' WHEN 'error' THEN 'hospitalized'
+  FROM (SELECT CASE event_type WHEN 'click' THEN 'cases' WHEN 'view' THEN 'cases' WHEN 'error' THEN 'hospitalized'
                                WHEN 'purchase' THEN 'icu' WHEN 'signup' THEN 'deaths' END AS stream, value
         FROM events WHERE value > 0) WHERE stream IS NOT NULL GROUP BY stream"""
 PARTS["priors"] = """
@@ -434,19 +455,8 @@ _FLOWS = {
     "icu_recovery": '"ω" * (1 - ICUDR) * ICU',
     "waned_immunity": '"κ" * R',
 }
-_NET = {
-    "S": "waned_immunity - infection",
-    "E": "infection - progression",
-    "I": "progression - hospitalization - non_hospitalized_recovery",
-    "H": "hospitalization - hospitalized_recovery - icu_admission",
-    "R": "non_hospitalized_recovery + hospitalized_recovery + icu_recovery - waned_immunity",
-    "C": "progression",
-    "ICU": "icu_admission - icu_death - icu_recovery",
-    "D": "icu_death",
-}
 QUERIES["transition_flows"] = f"""
-  SELECT {KEYS}, t, ROUND("N", 4) AS "N", {rounded(_FLOWS, 4)},
-         {", ".join(f'ROUND(({e}) / "{c}", 4) AS "d_log_{c}"' for c, e in _NET.items())}
+  SELECT {KEYS}, t, ROUND("N", 4) AS "N", {rounded(_FLOWS, 4)}
   FROM (SELECT *, {", ".join(f"{e} AS {n}" for n, e in _FLOWS.items())}
         FROM (SELECT *, S + E + I + H + R + ICU + D AS "N"
               FROM states JOIN beta USING ({KEYS}, t) JOIN params USING ({KEYS})))"""

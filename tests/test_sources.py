@@ -2,7 +2,6 @@
 
 import datetime as dt
 
-import pytest
 from pyspark.sql import functions as F
 
 from epipanel.operators import panel as P
@@ -60,11 +59,26 @@ def test_scan_of_wide_files(spark, tmp_path):
     assert rows[(7, 2, "σ_R₀", None)] == 0.2
 
 
-def test_scan_refuses_shifted_columns(spark, tmp_path):
+def test_files_have_their_own_columns(spark, tmp_path):
     (tmp_path / "a_county_id=1.csv").write_text("iteration,chain,x[1],y[1]\n1,1,1,2\n")
-    (tmp_path / "b_county_id=2.csv").write_text("iteration,chain,y[1],x[1]\n1,1,1,2\n")
-    with pytest.raises(Exception):
-        R.scan_draw_dir(spark, str(tmp_path), "prior").collect()
+    (tmp_path / "b_county_id=2.csv").write_text("iteration,chain,y[1],x[1]\n1,1,2,1\n")
+    (tmp_path / "c_county_id=3.csv").write_text("iteration,chain,x[1],x[2],y[1]\n1,1,1,5,2\n")
+    got = {
+        (r["place_id"], r["name"], r["idx"]): r["value"]
+        for r in R.scan_draw_dir(spark, str(tmp_path), "prior").collect()
+    }
+    assert got == {(p, n, 1): v for p in (1, 2, 3) for n, v in (("x", 1.0), ("y", 2.0))} | {(3, "x", 2): 5.0}
+
+
+def test_feed_parts_in_another_column_order(spark, tmp_path):
+    (tmp_path / "1.csv").write_text(
+        "county,todays_date,icu_covid_confirmed_patients,hospitalized_covid_confirmed_patients\nA,2022-06-01,2,8\n"
+    )
+    (tmp_path / "2.csv").write_text(
+        "county,todays_date,hospitalized_covid_confirmed_patients,icu_covid_confirmed_patients\nB,2022-06-01,8,2\n"
+    )
+    rows = R.read_census(spark, str(tmp_path)).collect()
+    assert len(rows) == 2 and all((r["hospitalized"], r["icu"]) == (8.0, 2.0) for r in rows)
 
 
 def test_wide_file_with_hundreds_of_columns(spark, tmp_path):
