@@ -16,6 +16,7 @@ from .support import ascii_lower, components, stage, text_of
 
 SKETCH_BITS = 23           # counters of the frequency sketch, as a power of two
 PIECE_BITS = 16            # counters of one piece of it
+SLICE = 256                # documents whose shingles are made together
 GROUP = 64                 # documents of a group, about
 BROADCAST_ROWS = 500_000   # ids (8 bytes each) that may be broadcast; more are joined by shuffling
 BLANKS = r"[\x20\x09-\x0D]+"
@@ -40,15 +41,17 @@ def chained(words: np.ndarray, n: int) -> np.ndarray:
 
 
 def shingle_sets(column: pa.Array, n: int) -> Iterator[np.ndarray]:
-    """Sorted distinct shingles of each list of word hashes."""
-    words = np.asarray(column.flatten(), np.int64).view(U64)
-    ends = np.concatenate([[0], np.cumsum(np.asarray(pa.compute.list_value_length(column), np.int64))])
-    runs = chained(words, n)
-    for start, end in zip(ends[:-1].tolist(), ends[1:].tolist()):
-        if end - start >= n:
-            yield np.unique(runs[start : end - n + 1])
-        else:
-            yield chained(words[start:end], end - start) if end > start else np.zeros(0, U64)
+    """Sorted distinct shingles of each list of word hashes, some lists at a time."""
+    for at in range(0, len(column), SLICE):
+        part = column.slice(at, SLICE)
+        words = np.asarray(part.flatten(), np.int64).view(U64)
+        ends = np.concatenate([[0], np.cumsum(np.asarray(pa.compute.list_value_length(part), np.int64))])
+        runs = chained(words, n)
+        for start, end in zip(ends[:-1].tolist(), ends[1:].tolist()):
+            if end - start >= n:
+                yield np.unique(runs[start : end - n + 1])
+            else:
+                yield chained(words[start:end], end - start) if end > start else np.zeros(0, U64)
 
 
 def word_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
