@@ -22,7 +22,7 @@ from ..functions.scalars import (
     sum_strict,
     week_index,
 )
-from .ranking import positions
+from .ranking import range_positions
 
 LEVELS = ("place", "region", "state")
 
@@ -150,35 +150,20 @@ def delay_ecdf(delay_events: DataFrame) -> DataFrame:
     return stepped.select("stream", F.inline(F.concat(below, steps)))
 
 
-def ecdf_table(ecdf: DataFrame) -> Column:
-    """The whole ECDF as one value: stream → (first day, F per day).
-
-    A scalar subquery, shared by every lookup in the plan. Its size is the
-    number of distinct whole-day delays, whatever the number of events.
-    """
-    per_stream = ecdf.groupBy("stream").agg(
-        F.min("x").alias("first"),
-        F.sort_array(F.collect_list(F.struct("x", "F"))).alias("steps"),
-    )
-    entry = F.struct(
-        "stream",
-        F.struct("first", F.transform("steps", lambda s: s["F"]).alias("steps")),
-    )
-    return per_stream.agg(F.map_from_entries(F.collect_list(entry)).alias("table")).scalar()
-
-
 def ecdf_lookup(
-    df: DataFrame, ecdf: DataFrame | Column, stream: str, x: Column | str, out: str
+    df: DataFrame, ecdf: DataFrame, stream: str, x: Column | str, out: str
 ) -> DataFrame:
-    """Right-continuous step lookup: 0 below the first day, 1 from the last on."""
-    table = ecdf_table(ecdf) if isinstance(ecdf, DataFrame) else ecdf
-    steps = table[stream]
-    x = F.col(x) if isinstance(x, str) else x
-    slot = x - steps["first"] + 1
-    size = F.size(steps["steps"])
-    return df.withColumn(
-        out, F.element_at(steps["steps"], F.least(F.greatest(slot, F.lit(1)), size).cast("int"))
-    )
+    """Right-continuous step lookup: 0 below the first day, 1 from the last on.
+
+    The ECDF has a row for every day between its ends, so a day held within
+    the ends finds its row by equality, and the planner broadcasts the rows
+    only where they are few.
+    """
+    one = ecdf.where(F.col("stream") == stream)
+    ends = one.agg(F.struct(F.min("x").alias("first"), F.max("x").alias("last")).alias("ends")).scalar()
+    day = F.least(F.greatest(F.col(x) if isinstance(x, str) else x, ends["first"]), ends["last"])
+    steps = one.select(F.col("x").alias("_x"), F.col("F").alias(out))
+    return df.withColumn("_day", day).join(steps, F.col("_day") == F.col("_x"), "left").drop("_day", "_x")
 
 
 def delay_correct(
@@ -188,11 +173,10 @@ def delay_correct(
     death_shift: int = DEATH_DELAY_SHIFT,
 ) -> DataFrame:
     """Counts over the share reported by now; null where that share is zero."""
-    table = ecdf_table(ecdf)
     aged = daily.withColumn("days_ago", days_between(latest_date, "date"))
-    looked = ecdf_lookup(aged, table, "cases", "days_ago", "cases_est_prop_reported")
+    looked = ecdf_lookup(aged, ecdf, "cases", "days_ago", "cases_est_prop_reported")
     looked = ecdf_lookup(
-        looked, table, "deaths", F.col("days_ago") + death_shift, "death_est_prop_reported"
+        looked, ecdf, "deaths", F.col("days_ago") + death_shift, "death_est_prop_reported"
     )
     return looked.withColumn(
         "est_cases", F.try_divide("cases", "cases_est_prop_reported")
@@ -272,8 +256,8 @@ def rollup_places(
 def place_dimension(populations: DataFrame, region_key: DataFrame, state: str) -> DataFrame:
     """(id, level, place, population) of places, regions and the state.
 
-    Ids run over (level, place). They are numbered inside two-letter blocks,
-    so no task sorts all places.
+    Ids run over (level, place). Places are dealt out by ranges of that order,
+    so no task sorts all places, whatever their names begin with.
     """
     distinct = populations.select(
         "place", F.col("population").cast("bigint").alias("population")
@@ -281,8 +265,7 @@ def place_dimension(populations: DataFrame, region_key: DataFrame, state: str) -
     totals = _with_levels(distinct, region_key, state).groupBy("level", "label").agg(
         sum_strict("population").cast("bigint").alias("population")
     )
-    block = F.concat(F.col("level").cast("string"), F.substring(F.coalesce("label", F.lit("")), 1, 2))
-    numbered = positions(totals, [], ["level", "label"], block, out="id")
+    numbered = range_positions(totals, ["level", "label"], out="id")
     return numbered.select(
         F.col("id").cast("int").alias("id"),
         F.element_at(F.array(*[F.lit(x) for x in LEVELS]), F.col("level") + 1).alias("level"),

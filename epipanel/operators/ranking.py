@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import stage
+
 
 def positions(
     df: DataFrame,
@@ -42,6 +44,27 @@ def positions(
     )
 
 
+def range_positions(df: DataFrame, order: Sequence[str], out: str = "position") -> DataFrame:
+    """1-based row number of all rows by ``order``.
+
+    Rows are dealt out by ranges of the order and stored with the number of
+    their range. Each range is numbered by itself and shifted by the rows of
+    the ranges before it; one row per range meets in one window.
+    """
+    dealt = stage(df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()))
+    inside = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
+    earlier = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = (
+        dealt.groupBy("_range").agg(F.count(F.lit(1)).alias("_rows"))
+        .select("_range", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_before"))
+    )
+    return (
+        dealt.withColumn("_inside", inside).join(offsets, "_range")
+        .withColumn(out, (F.col("_inside") + F.col("_before")).cast("bigint"))
+        .drop("_range", "_inside", "_before")
+    )
+
+
 def finite(c: Column | str) -> Column:
     c = F.col(c) if isinstance(c, str) else c
     return c.isNotNull() & ~F.isnan(c) & (F.abs(c) < F.lit(float("inf")))

@@ -178,10 +178,9 @@ def reporting_window(f: Frames) -> DataFrame:
 @query
 def ecdf_lookup(f: Frames) -> DataFrame:
     latest = f.ingest.window.select("latest_date").scalar()
-    table = P.ecdf_table(f.ingest.ecdf)
     aged = f.data.cases.select("place", "date", P.days_between(latest, "date").alias("days_ago"))
-    looked = P.ecdf_lookup(aged, table, "cases", "days_ago", "f_cases")
-    looked = P.ecdf_lookup(looked, table, "deaths", F.col("days_ago") + 4, "f_deaths")
+    looked = P.ecdf_lookup(aged, f.ingest.ecdf, "cases", "days_ago", "f_cases")
+    looked = P.ecdf_lookup(looked, f.ingest.ecdf, "deaths", F.col("days_ago") + 4, "f_deaths")
     return rounded(looked, 9, "f_cases", "f_deaths")
 
 

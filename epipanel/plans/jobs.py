@@ -10,7 +10,7 @@ from ..operators import intervals as I
 from ..operators import panel as P
 from ..operators.draws import relabel, stack_sources
 from ..operators.horizon import forecast_calendar
-from ..session import stage
+from ..session import remove_folders, stage, stages_removed
 from ..sources import readers as R
 from ..sources.sinks import write_report
 from .surveillance import Surveillance
@@ -31,8 +31,12 @@ def ingest(
     ecdf: DataFrame,
     out: str,
     state: str = "California",
+    results: str | None = None,
 ) -> None:
-    """Feeds to the stored panel, initial values and place dimension."""
+    """Feeds to the stored panel, initial values and place dimension.
+
+    With ``results``, the draw folders and reports there are removed.
+    """
     cleaned = R.read_place_daily(spark, cases_path)
     job = Surveillance(
         P.place_daily(cleaned),
@@ -43,13 +47,34 @@ def ingest(
         state,
         ecdf=ecdf,
     )
-    write_report(job.panel.drop("level").orderBy("place", "time"), f"{out}/{PANEL}")
-    write_report(job.init.orderBy("id"), f"{out}/{INITIAL}")
-    write_report(job.dim.drop("level").orderBy("id"), f"{out}/{DIMENSION}")
+    with stages_removed(spark):
+        write_report(job.panel.drop("level").orderBy("place", "time"), f"{out}/{PANEL}")
+        write_report(job.init.orderBy("id"), f"{out}/{INITIAL}")
+        write_report(job.dim.drop("level").orderBy("id"), f"{out}/{DIMENSION}")
+    if results is not None:
+        # Results of an earlier panel no longer belong to this one.
+        remove_folders(spark, [f"{results}/{name}" for name in result_folders()])
+
+
+def result_folders() -> list[str]:
+    """Draw folders and reports that follow from one panel."""
+    return [
+        f"{kind}{source}_{what}"
+        for source in SOURCES
+        for kind, what in (
+            ("", "predictive"), ("", "generated_quantities"), ("tidy_", "predictive"),
+            ("tidy_scalar_", "generated_quantities"), ("tidy_vector_", "generated_quantities"),
+        )
+    ]
 
 
 def tidy(spark: SparkSession, results: str, data: str) -> None:
     """Draw folders to interval reports: scalars, series and predictions per source."""
+    with stages_removed(spark):
+        _tidy(spark, results, data)
+
+
+def _tidy(spark: SparkSession, results: str, data: str) -> None:
     calendar = stage(forecast_calendar(R.read_panel(spark, f"{data}/{PANEL}", place="place")))
     dim = stage(R.read_place_dim(spark, f"{data}/{DIMENSION}", place="place"))
 

@@ -5,8 +5,9 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -73,10 +74,34 @@ def stage(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/stage-{uuid.uuid4().hex}"
+    for opened in _jobs:
+        opened.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+_jobs: list[list[str]] = []
+
+
+@contextmanager
+def stages_removed(spark: SparkSession) -> Iterator[None]:
+    """Remove the stages written inside, once the results that rest on them are stored."""
+    written: list[str] = []
+    _jobs.append(written)
+    try:
+        yield
+    finally:
+        _jobs.remove(written)
+        remove_folders(spark, written)
+
+
+def remove_folders(spark: SparkSession, paths: list[str]) -> None:
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path
+    for path in paths:
+        at = hadoop(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def together(*steps: Callable[[], object]) -> list:
     """Run steps that do not need each other at the same time.
 

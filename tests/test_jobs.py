@@ -109,3 +109,23 @@ def test_jobs_from_feeds_to_export(spark, folder):
     assert head["X"]["title"] == "X Region" and head["Cy"]["subtitle"] == f"Data Through {max(ends.values())}"
     assert tables["observed"].count() == 4 * len(panel)
     assert R.read_panel(spark, f"{data}/{J.PANEL}", place="place").count() == len(panel)
+
+
+def test_jobs_leave_no_stages_and_clear_old_results(spark, folder, tmp_path):
+    import os
+
+    from epipanel.session import shared_folder
+
+    scratch = shared_folder(spark).removeprefix("file:")
+    before = set(os.listdir(scratch)) if os.path.isdir(scratch) else set()
+    gaps = spark.createDataFrame([(s, d) for s in ("cases", "deaths") for d in range(9)], "stream string, delay_days int")
+    old = tmp_path / "results" / "tidy_prior_predictive"
+    old.mkdir(parents=True)
+    kept = tmp_path / "results" / "notes"
+    kept.mkdir()
+    J.ingest(spark, str(folder / "cases.csv"), str(folder / "census.csv"), str(folder / "key.csv"), delay_ecdf(gaps),
+             str(tmp_path / "data"), results=str(tmp_path / "results"))
+    assert not old.exists() and kept.exists()
+    J.tidy(spark, str(folder / "results"), str(tmp_path / "data"))
+    after = set(os.listdir(scratch)) if os.path.isdir(scratch) else set()
+    assert not {x for x in after - before if "stage-" in x}
