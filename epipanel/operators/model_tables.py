@@ -30,8 +30,14 @@ RATES = {
 
 
 def centre_params(draws: DataFrame, priors: DataFrame) -> DataFrame:
-    """Standard-normal draws on their natural scale; dispersions are clamped."""
-    joined = draws.join(priors.select("name", "link", "mean", "sd"), "name")
+    """Standard-normal draws on their natural scale; dispersions are clamped.
+
+    A name without a prior is an error.
+    """
+    missing = F.raise_error(F.concat(F.lit("no prior for "), F.coalesce("name", F.lit("null"))))
+    joined = draws.join(priors.select("name", "link", "mean", "sd"), "name", "left").withColumn(
+        "link", F.coalesce("link", missing.cast("string"))
+    )
     centred = apply_link("link", F.col("value") * F.col("sd") + F.col("mean"))
     bounded = F.when(
         F.col("name").startswith("ϕ_"), clamp(centred, DISPERSION_FLOOR, DISPERSION_CEILING)
@@ -174,18 +180,21 @@ def expected_observations(
         F.col("id").alias("place_id"), F.col("population").cast("double").alias("_top")
     )
     joined = increments(compartments, keys=keys).join(detection, list(keys)).join(sizes, "place_id")
+    return with_means(joined, F.col("_top")).select(*keys, "t", *MEAN_NAMES, *carry)
 
-    def mean(c: Column) -> Column:
-        return clamp(c, MEAN_FLOOR, F.col("_top"))
 
-    return joined.select(
-        *keys, "t",
-        mean(F.col("H")).alias("hospitalizations_mean"),
-        mean(F.col("new_C") * F.col("case_detection_rate")).alias("new_cases_mean"),
-        mean(F.col("ICU")).alias("icu_mean"),
-        mean(F.col("new_D") * F.col("death_detection_rate")).alias("new_deaths_mean"),
-        *carry,
+MEAN_NAMES = ("hospitalizations_mean", "new_cases_mean", "icu_mean", "new_deaths_mean")
+
+
+def with_means(weeks: DataFrame, top: Column) -> DataFrame:
+    """Adds the expected census and new counts of each week, up to ``top``."""
+    values = (
+        F.col("H"),
+        F.col("new_C") * F.col("case_detection_rate"),
+        F.col("ICU"),
+        F.col("new_D") * F.col("death_detection_rate"),
     )
+    return weeks.withColumns({n: clamp(v, MEAN_FLOOR, top) for n, v in zip(MEAN_NAMES, values)})
 
 
 def effective_r(

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import cached_property
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..constants import COMPARTMENTS, PARAMETER_NAMES, STREAMS
@@ -78,23 +79,62 @@ class Quantities:
         ]
         return beside.select(*DRAW_KEYS, "t", F.inline(F.array(*rows)))
 
+    @cached_property
+    def weeks(self) -> DataFrame:
+        """A row per draw and stored week with its states, β, R₀, Rₜ and means.
+
+        States, steps and parameters are each read and joined once; the path
+        and the weekly changes share one window over the weeks of a draw.
+        """
+        steps = self.walk_steps.select(*DRAW_KEYS, F.col("idx").alias("t"), F.col("value").alias("_step"))
+        beside = self.params.select(
+            *DRAW_KEYS, "R₀_init", "σ_R₀", "ν", "case_detection_rate", "death_detection_rate"
+        )
+        joined = self.compartments.join(steps, [*DRAW_KEYS, "t"], "left").join(beside, list(DRAW_KEYS))
+        by_week = Window.partitionBy(*DRAW_KEYS).orderBy("t")
+        upto = by_week.rowsBetween(Window.unboundedPreceding, 0)
+        paths = joined.withColumns(
+            {
+                "_walked": F.sum(F.coalesce("_step", F.lit(0.0))).over(upto),
+                "new_C": F.col("C") - F.lag("C").over(by_week),
+                "new_D": F.col("D") - F.lag("D").over(by_week),
+                "later": F.lag("t").over(by_week).isNotNull(),
+            }
+        ).withColumns(
+            {
+                "on_path": (F.col("t") == 0) | F.col("_step").isNotNull(),
+                "R₀_t": F.exp(F.ln("R₀_init") + F.col("_walked") * F.col("σ_R₀")),
+            }
+        )
+        sizes = self.dim.select(F.col("id").alias("place_id"), F.col("population").cast("double").alias("_size"))
+        return M.with_means(paths.join(sizes, "place_id"), F.col("_size")).withColumns(
+            {"β_t": F.col("R₀_t") * F.col("ν"), "Rₜ_t": F.col("R₀_t") * F.col("S") / F.col("_size")}
+        )
+
     @cached_property
     def generated(self) -> DataFrame:
         """(draw, name, idx, value) of all scalars, series, compartments, means."""
-        idx = F.col("idx").cast("int").alias("idx")
-        columns = [*DRAW_KEYS, "name", idx, "value"]
         scalars = wide_to_long(
             self.params, DRAW_KEYS, SCALARS
         ).withColumn("idx", F.lit(None).cast("int"))
-        series = wide_to_long(self.effective, [*DRAW_KEYS, "idx"], SERIES)
-        states = wide_to_long(
-            self.compartments.withColumn("idx", F.col("t") + 1), [*DRAW_KEYS, "idx"], COMPARTMENTS
+
+        def entries(names: Sequence[str], idx: Column, present: Column) -> list[Column]:
+            return [
+                F.when(
+                    present,
+                    F.struct(F.lit(n).alias("name"), idx.cast("int").alias("idx"), F.col(n).alias("value")),
+                )
+                for n in names
+            ]
+
+        t = F.col("t")
+        all_entries = F.array(
+            *entries(SERIES, t + 1, F.col("on_path")),
+            *entries(COMPARTMENTS, t + 1, F.lit(True)),
+            *entries(MEANS, t, F.col("later")),
         )
-        means = self.means_long.withColumn("idx", F.col("t"))
-        stacked = scalars.select(*columns)
-        for part in (series, states, means):
-            stacked = stacked.unionByName(part.select(*columns))
-        return stacked
+        series = self.weeks.select(*DRAW_KEYS, F.inline(F.filter(all_entries, lambda e: e.isNotNull())))
+        return scalars.select(*DRAW_KEYS, "name", "idx", "value").unionByName(series)
 
 
 def observed_streams(panel: DataFrame, dim: DataFrame) -> DataFrame:

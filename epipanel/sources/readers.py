@@ -120,13 +120,22 @@ def scan_draw_dir(spark: SparkSession, path: str, source: str) -> DataFrame:
     return reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], schemas.DRAWS)
 
 
-def read_intervals(spark: SparkSession, path: str) -> DataFrame:
-    """Stored intervals; the date of scalars, which have none, reads as null."""
+# Names of interval columns in reports that other tools write.
+INTERVAL_NAMES = {"place": "county", "lower": ".lower", "upper": ".upper", "width": ".width"}
+
+
+def read_intervals(
+    spark: SparkSession, path: str, renames: dict[str, str] | None = None
+) -> DataFrame:
+    """Stored intervals; those of scalars have no date.
+
+    ``renames=INTERVAL_NAMES`` reads reports with the names of other tools.
+    """
     columns = spark.read.csv(path, header=True).columns
     schema = schemas.INTERVALS
     if "date" in columns:
-        return read_named(spark, path, schema)
-    return read_named(spark, path, schema.replace("date date, ", ""))
+        return read_named(spark, path, schema, renames)
+    return read_named(spark, path, schema.replace("date date, ", ""), renames)
 
 
 def read_draws(spark: SparkSession, path: str) -> DataFrame:

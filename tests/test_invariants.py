@@ -54,4 +54,12 @@ def test_stored_stages_are_scanned_by_column(spark):
     f = Frames(spark, DATA)
     plan = f.ingest.panel.select("place", "time")._jdf.queryExecution().executedPlan().toString()
     schema = plan[plan.index("ReadSchema"):]
-    assert "est_cases" not in schema and "GreaterThan" in plan or "Not(EqualTo(time,0))" in plan
+    assert "est_cases" not in schema
+    assert "GreaterThan" in plan or "Not(EqualTo(time,0))" in plan
+
+
+def test_generated_quantities_read_each_input_once(spark):
+    model = Frames(spark, DATA).model
+    plan = model.generated._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("embeddings.parquet") == 2       # states and steps; the parameters are stored
+    assert plan.count("Window [") == 1 or plan.count("Window") <= 2

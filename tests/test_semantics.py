@@ -281,3 +281,23 @@ def test_first_week_has_no_increment(spark):
 def test_clamp_and_links(spark):
     assert one(spark, S.clamp("x", 1e-10, 1e10), x=1e12) == 1e10
     assert one(spark, S.logit(S.logistic("x")), x=-1.3) == pytest.approx(-1.3)
+
+
+def test_missing_values_stay_missing(spark):
+    from epipanel.functions.scalars import clamp
+    from epipanel.operators import draws as D
+    from epipanel.operators.intervals import cumulative_by_draw
+
+    nan = float("nan")
+    rows = spark.createDataFrame([(0, None), (1, nan), (2, -5.0), (3, 50.0), (4, 2.0)], "k int, x double")
+    got = [r["y"] for r in rows.select("k", clamp("x", 0.0, 10.0).alias("y")).orderBy("k").collect()]
+    assert got[0] is None and got[1] != got[1] and got[2:] == [0.0, 10.0, 2.0]
+
+    series = spark.createDataFrame(
+        [(1, "posterior", 1, 1, "new_deaths", i, v) for i, v in ((1, 1.0), (2, None), (3, 2.0))],
+        "place_id int, source string, chain int, iteration int, name string, idx int, value double",
+    )
+    assert [r["value"] for r in cumulative_by_draw(series).orderBy("idx").collect()] == [1.0, None, None]
+
+    chains = spark.createDataFrame([(c, i) for c in (1, 2) for i in range(5)], "chain int, iteration int")
+    assert D.truncate_chains(chains, F.col("chain") == 1).count() == 0

@@ -139,3 +139,9 @@ def test_report_keeps_order_and_missing(spark, tmp_path):
     K.write_report(df, path)
     back = R.read_named(spark, path, "place string, value double, Rt double")
     assert [tuple(r) for r in back.collect()] == [("a", 1.0, 0.5), ("b", 2.0, None)]
+
+
+def test_intervals_under_other_names(spark, tmp_path):
+    (tmp_path / "i.csv").write_text("county,name,date,value,.lower,.upper,.width,.point,.interval\nA,icu,2022-06-05,2,1,3,0.5,median,qi\n")
+    row = R.read_intervals(spark, str(tmp_path / "i.csv"), R.INTERVAL_NAMES).first()
+    assert (row["place"], row["lower"], row["value"], row["upper"], row["width"]) == ("A", 1.0, 2.0, 3.0, 0.5)
