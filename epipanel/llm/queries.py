@@ -157,3 +157,12 @@ def op9_warc_converter(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_token_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_components(table(spark, sf_dir, "documents"), words=3, percent=90)
+
+
+STATEMENTS["op9_warc_converter"] = """
+  WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+  t AS (SELECT *, strlen(h) AS n, max(page_id) OVER (PARTITION BY h) AS top FROM p)
+  SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, sha1(h) AS payload_digest,
+         CASE WHEN n >= 1000 AND page_id <> top THEN 'revisit' ELSE 'response' END AS record_type,
+         CASE WHEN n >= 1000 AND page_id <> top THEN top END AS refers_to
+  FROM t"""
