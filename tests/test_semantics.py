@@ -119,11 +119,12 @@ def test_dimension_and_initial_values(spark):
     dim = P.place_dimension(pops, key, "All")
     got = [tuple(r) for r in dim.orderBy("id").select("id", "place", "population").collect()]
     assert got == [(1, "Al", 20), (2, "Bo", 10), (3, "Cy", 30), (4, "X", 30), (5, "Y", 30), (6, "All", 60)]
+    day = dt.date(2022, 6, 1)
     panel = spark.createDataFrame(
-        [("Al", 0, 2.0, 1.0, 3.0), ("Al", 1, 9.0, 9.0, 9.0)],
-        "place string, time bigint, hospitalized double, icu double, cumulative_deaths double",
-    )
-    row = P.initial_values(panel, dim).first()
+        [("Al", 0, day + dt.timedelta(1), 7.0, 7.0, 7.0), ("Al", 0, day, 2.0, 1.0, 3.0), ("Al", 1, day, 9.0, 9.0, 9.0)],
+        "place string, time bigint, start_date date, hospitalized double, icu double, cumulative_deaths double",
+    ).withColumn("end_date", F.date_add("start_date", 6))
+    (row,) = P.initial_values(panel, dim).collect()       # one row, that of the earliest start
     assert (row["H"], row["ICU"], row["D"], row["remaining_population"]) == (3.0, 2.0, 4.0, 11.0)
 
 
@@ -260,7 +261,16 @@ def test_flows_conserve_people(spark):
     row = M.transition_flows(states, params).first().asDict()
     sizes = dict(S=900, E=20, I=30, H=4, R=50, ICU=2, D=3)
     assert row["N"] == sum(sizes.values())
-    assert sum(row[f"d_log_{c}"] * n for c, n in sizes.items()) == pytest.approx(0, abs=1e-9)
+    moves = {       # what enters and leaves each compartment
+        "S": (["waned_immunity"], ["infection"]), "E": (["infection"], ["progression"]),
+        "I": (["progression"], ["hospitalization", "non_hospitalized_recovery"]),
+        "H": (["hospitalization"], ["hospitalized_recovery", "icu_admission"]),
+        "R": (["non_hospitalized_recovery", "hospitalized_recovery", "icu_recovery"], ["waned_immunity"]),
+        "ICU": (["icu_admission"], ["icu_death", "icu_recovery"]), "D": (["icu_death"], []),
+    }
+    assert set(moves) == set(sizes)
+    net = sum(sum(row[f] for f in entering) - sum(row[f] for f in leaving) for entering, leaving in moves.values())
+    assert net == pytest.approx(0, abs=1e-9)
 
 
 def test_steps_hold_until_the_next(spark):
