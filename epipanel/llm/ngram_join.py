@@ -275,7 +275,9 @@ class Join:
            groups whose union shares a token with it, and the bounds on the
            overlap rule out groups that no member of can qualify. Groups of the
            query's own component are not looked at, as they add nothing.
-        3. Only the groups that are left are opened, and their members compared.
+        3. Only the groups that are left are opened: of their members those that
+           have the shared token, at a place from which they can qualify, are
+           compared.
         """
         shared = self.shared()
         votes = shared.groupBy("sid", "n", "hub").agg(F.count("*").alias("votes"))
@@ -308,18 +310,24 @@ class Join:
             F.min("n").alias("lo"), F.max("n").alias("hi"), F.min("pos").alias("pos"),
             F.min("component").alias("c1"), F.max("component").alias("c2"),
         )
-        smallest = F.greatest("lo", F.ceil(F.col("qn") * self.percent / 100))
-        rest = F.least(F.col("qn") - F.col("qpos"), F.col("hi") - F.col("pos"))
+        def fits(least, most, pos):
+            """Whether sets of such sizes can qualify if this is the first token that both have.
+
+            All tokens that they share then stand at or behind it in both.
+            """
+            smallest = F.greatest(least, F.ceil(F.col("qn") * self.percent / 100))
+            rest = F.least(F.col("qn") - F.col("qpos"), most - pos)
+            return (
+                (most * 100 >= F.col("qn") * self.percent) & (F.col("qn") * 100 >= least * self.percent)
+                & (rest >= self.least_overlap(F.col("qn") + smallest))
+            )
+
         candidates = queries.join(matrix, "token").where(
-            ((F.col("c1") != F.col("qc")) | (F.col("c2") != F.col("qc")))
-            & (F.col("hi") * 100 >= F.col("qn") * self.percent) & (F.col("qn") * 100 >= F.col("lo") * self.percent)
-            & (rest >= self.least_overlap(F.col("qn") + smallest) - F.least("qpos", "pos"))
-        )
-        opened = candidates.select("a", "qn", "qc", "gid").distinct()
-        members = grouped.select("gid", F.col("sid").alias("b"), "n", "component")
-        pairs = opened.join(members, "gid").where(
-            (F.col("component") != F.col("qc"))
-            & (F.col("n") * 100 >= F.col("qn") * self.percent) & (F.col("qn") * 100 >= F.col("n") * self.percent)
+            ((F.col("c1") != F.col("qc")) | (F.col("c2") != F.col("qc"))) & fits(F.col("lo"), F.col("hi"), F.col("pos"))
+        ).select("token", "gid", "a", "qn", "qpos", "qc")
+        members = open_.select("token", "gid", F.col("sid").alias("b"), "n", "pos", "component")
+        pairs = candidates.join(members, ["token", "gid"]).where(
+            (F.col("component") != F.col("qc")) & fits(F.col("n"), F.col("n"), F.col("pos"))
         ).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         return first.union(self.similar(pairs))
 
