@@ -227,8 +227,8 @@ class Join:
         )
         left = stage(sized.mapInArrow(near, "a long, b long"))
 
-        needed = stage(
-            left.select(F.col("a").alias("sid")).union(left.select("b")).distinct()
+        needed = (
+            left.select(F.explode(F.array("a", "b")).alias("sid")).distinct()
             .join(self.classes.select("sid", "rep"), "sid")
         )
         ids = needed.select(F.col("rep").alias("__rep__")).distinct()
@@ -241,28 +241,19 @@ class Join:
                 found = list(shingle_sets(batch.column(1), n))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([int.from_bytes(identity(t, seed)[:8], "big", signed=True) for t in found], pa.int64()),
-                     pa.array([t.tobytes() for t in found], pa.binary())],
+                     pa.array([t.view(np.int64) for t in found], pa.list_(pa.int64()))],
                     names=["sid", "tokens"],
                 )
 
-        made = word_rows(texts, self.id_col, self.text_col).mapInArrow(sets, "sid long, tokens binary")
+        made = word_rows(texts, self.id_col, self.text_col).mapInArrow(sets, "sid long, tokens array<long>")
         whole = stage(made.join(needed.select("sid"), "sid", "left_semi").dropDuplicates(["sid"]))
-
-        def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                keep = []
-                for x, y in zip(batch.column("x"), batch.column("y")):
-                    u, v = (np.frombuffer(t.as_py(), U64) for t in (x, y))
-                    both = np.concatenate([u, v])
-                    both.sort()
-                    overlap = int((both[1:] == both[:-1]).sum())
-                    keep.append(100 * overlap >= percent * (len(both) - overlap))
-                yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
         full = left.join(whole.select(F.col("sid").alias("a"), F.col("tokens").alias("x")), "a").join(
             whole.select(F.col("sid").alias("b"), F.col("tokens").alias("y")), "b"
         )
-        return stage(full.mapInArrow(exact, "a long, b long"))
+        overlap = F.size(F.array_intersect("x", "y"))
+        return stage(
+            full.where(overlap * 100 >= (F.size("x") + F.size("y") - overlap) * percent).select("a", "b")
+        )
 
     def links(self) -> DataFrame:
         """Links that join up all sets that links of any kind would.
@@ -297,7 +288,7 @@ class Join:
                 "sid", "n", "component", F.xxhash64("hub", F.pmod(F.xxhash64("sid"), F.ceil(F.col("m") / GROUP))).alias("gid")
             )
         )
-        told = stage(shared.select("token", "sid", "pos").join(grouped, "sid"))
+        told = shared.select("token", "sid", "pos").join(grouped, "sid")
         sides = told.groupBy("token", "component").agg(F.count("*").alias("m"))
         main = sides.groupBy("token").agg(
             F.max(F.struct("m", "component")).alias("main"), F.count("*").alias("components")

@@ -30,17 +30,18 @@ def ascii_lower(text: Column) -> Column:
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Smallest id reachable from each id by undirected links: (id, component).
 
-    Alternates two linear steps until no link changes: every id sends its
-    larger neighbours to the smallest of its neighbourhood, then its smaller
-    ones. The links end as one star per component, after about the logarithm
-    of the longest chain. Each step is written to the shared folder; links
-    never reach the driver, and no id ever lists its neighbours.
+    A round is two linear steps: every id sends its larger neighbours to the
+    smallest of its neighbourhood, then its smaller ones. Rounds go on until no
+    link changes; the links then are one star per component. It takes about the
+    logarithm of the longest chain. Each round is written to the shared folder;
+    links never reach the driver, and no id ever lists its neighbours.
     """
     edges = stage(
         links.select(F.greatest(a, b).alias("hi"), F.least(a, b).alias("lo"))
         .where("hi <> lo").distinct()
     )
-    while True:
+    state = _state(edges)
+    while state[0]:
         both = edges.select(F.col("hi").alias("u"), F.col("lo").alias("v")).union(
             edges.select(F.col("lo"), F.col("hi"))
         )
@@ -50,24 +51,18 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
             .select(F.col("v").alias("hi"), F.col("m").alias("lo"))
             .where("hi <> lo").distinct()
         )
-        large = stage(large)
         least = large.groupBy("hi").agg(F.min("lo").alias("m"))
-        pairs = large.join(least, "hi")
-        small = (
-            pairs.select(F.col("hi").alias("h"), F.col("m").alias("lo"))
-            .union(pairs.select(F.col("lo").alias("h"), F.col("m").alias("lo")))
-            .select(F.col("h").alias("hi"), "lo").where("hi <> lo").distinct()
-        )
-        small = stage(small)
-        # A step that changed nothing ends the rounds: same count and checksum.
-        state = [
-            x.agg(F.count("*"), F.coalesce(F.bit_xor(F.xxhash64("hi", "lo")), F.lit(0))).first()
-            for x in (edges, small)
-        ]
-        edges = small
-        if tuple(state[0]) == tuple(state[1]):
+        pairs = large.join(least, "hi").select("m", F.explode(F.array("hi", "lo")).alias("hi"))
+        edges = stage(pairs.select("hi", F.col("m").alias("lo")).where("hi <> lo").distinct())
+        before, state = state, _state(edges)
+        if before == state:      # as many links, with the same checksum
             break
     roots = edges.select(F.col("lo").alias("id")).distinct()
     return edges.select(F.col("hi").alias("id"), F.col("lo").alias("component")).union(
         roots.select("id", F.col("id").alias("component"))
     )
+
+
+def _state(edges: DataFrame) -> tuple[int, int]:
+    row = edges.agg(F.count("*"), F.coalesce(F.bit_xor(F.xxhash64("hi", "lo")), F.lit(0))).first()
+    return row[0], row[1]
