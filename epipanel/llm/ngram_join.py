@@ -92,12 +92,13 @@ def signatures(docs: DataFrame, n: int, id_col: str, text_col: str, seed: int) -
                  none.cast(pa.int32()), none.cast(pa.binary())],
                 names=["doc_id", "key", "n", "bits", "piece", "counts"],
             )
-        pieces = np.minimum(counts, 65_535).astype("<u2").reshape(-1, 1 << PIECE_BITS)
+        pieces = counts.reshape(-1, 1 << PIECE_BITS)
         used = [i for i in range(len(pieces)) if pieces[i].any()]
+        packed = [zlib.compress(np.minimum(pieces[i], 65_535).astype("<u2").tobytes(), 1) for i in used]
         none = pa.nulls(len(used))
         yield pa.RecordBatch.from_arrays(
             [none.cast(pa.int64()), none.cast(pa.binary()), none.cast(pa.int32()), none.cast(pa.binary()),
-             pa.array(used, pa.int32()), pa.array([zlib.compress(pieces[i].tobytes(), 1) for i in used], pa.binary())],
+             pa.array(used, pa.int32()), pa.array(packed, pa.binary())],
             names=["doc_id", "key", "n", "bits", "piece", "counts"],
         )
 

@@ -22,6 +22,7 @@ PURITY = 0.8           # least share of toxic documents among those with a featu
 LEAST_EXCESS = 60.0    # least chi-square statistic of a feature
 GRADES = 3             # 0 clean, 1 toxic, 2 toxic with more marks than half of the toxic documents
 REJECT = 0.3           # chance of any toxicity from which a document is rejected
+SLICE = 512            # rows unpacked at once where whole rows come back
 STEMS = (4, 5, 6)      # lengths of the beginnings of longer words that can be features
 WORD = re.compile(r"[^\W\d_]+")
 
@@ -197,8 +198,11 @@ def score(
 
         def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                texts = [t.as_py() or "" for t in batch.column(place)]
-                yield batch.filter(pa.array(model.above(texts)[:, 0] < reject, pa.bool_()))
+                # Some rows at a time, so that few texts are unpacked at once.
+                for at in range(0, batch.num_rows, SLICE):
+                    part = batch.slice(at, SLICE)
+                    texts = [t.as_py() or "" for t in part.column(place)]
+                    yield part.filter(pa.array(model.above(texts)[:, 0] < reject, pa.bool_()))
 
         return docs.mapInArrow(keep, schema)
     fields = [(id_col, T.LongType()), ("expected_severity", T.DoubleType()), ("grade", T.IntegerType()),
