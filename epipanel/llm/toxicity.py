@@ -3,48 +3,59 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .support import text_of
+from .support import stage, text_of
 
 SAMPLE = 20_000        # labelled documents the model is fitted on, at most
 VOCABULARY = 4_096     # features, at most
 LEAST_DOCS = 4         # sampled documents a feature must occur in
-PURITY = 0.8           # least share of toxic documents among those with a feature
-LEAST_EXCESS = 60.0    # least chi-square statistic of a feature
 GRADES = 3             # 0 clean, 1 toxic, 2 toxic with more marks than half of the toxic documents
 REJECT = 0.3           # chance of any toxicity from which a document is rejected
-SLICE = 512            # rows unpacked at once where whole rows come back
+SLICE = 512            # rows unpacked at once
 STEMS = (4, 5, 6)      # lengths of the beginnings of longer words that can be features
+LEVELS = (1, 2, 3)     # a feature tells that a word or beginning occurs at least so often
 WORD = re.compile(r"[^\W\d_]+")
 
 
-def features_of(text: str) -> set[str]:
-    """The words of a text in lower case, and the beginnings of the longer ones."""
-    words = set(WORD.findall(text.lower()))
-    return words.union(*({"^" + w[:k] for w in words if len(w) > k} for k in STEMS))
+def counts_of(text: str) -> Counter[str]:
+    """How often a text has each word, in lower case, and each beginning of the longer ones."""
+    words = Counter(WORD.findall(text.lower()))
+    for w, n in list(words.items()):
+        for k in STEMS:
+            if len(w) > k:
+                words["^" + w[:k]] += n
+    return words
+
+
+def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Some rows at a time, so that few texts are unpacked at once."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, SLICE):
+            yield batch.slice(at, SLICE)
 
 
 @dataclass(frozen=True)
 class OrdinalModel:
     """P(grade <= k) = logistic(cuts[k] - weights . features); one set of weights for all cuts."""
 
-    words: dict[str, int]
+    words: dict[str, dict[int, int]]    # word: {level: column}
     weights: np.ndarray
     cuts: np.ndarray
 
     def features(self, text: str) -> list[int]:
         """The model's features that occur in a text."""
-        known = self.words
-        return [known[w] for w in known.keys() & features_of(text)]
+        known, found = self.words, counts_of(text)
+        return [i for w in known.keys() & found.keys() for level, i in known[w].items() if found[w] >= level]
 
     def above(self, texts: list[str]) -> np.ndarray:
         """P(grade > k) for each text (row) and cut (column)."""
@@ -103,6 +114,15 @@ def fit_ordinal(
     return weights, np.cumsum(np.concatenate([free[:1], np.exp(free[1:])]))
 
 
+def graded(labels: DataFrame, id_col: str) -> DataFrame:
+    """(_label, _toxic): one row per labelled id."""
+    return (
+        labels.where(F.col(id_col).isNotNull() & F.col("toxic").isNotNull())
+        .groupBy(F.col(id_col).cast("long").alias("_label"))
+        .agg(F.max((F.col("toxic") == 1).cast("int")).alias("_toxic"))
+    )
+
+
 def labelled(docs: DataFrame, labels: DataFrame, sample: int, id_col: str, text_col: str) -> DataFrame:
     """(text, toxic) of a bounded sample of the labelled documents.
 
@@ -111,12 +131,7 @@ def labelled(docs: DataFrame, labels: DataFrame, sample: int, id_col: str, text_
     may be broadcast. Labels without an id or a toxic flag take no part; of
     several labels of an id one is enough to call it toxic.
     """
-    graded = (
-        labels.where(F.col(id_col).isNotNull() & F.col("toxic").isNotNull())
-        .groupBy(F.col(id_col).cast("long").alias("_label"))
-        .agg(F.max((F.col("toxic") == 1).cast("int")).alias("_toxic"))
-    )
-    chosen = graded.orderBy(F.xxhash64("_label"), "_label").limit(sample)
+    chosen = graded(labels, id_col).orderBy(F.xxhash64("_label"), "_label").limit(sample)
     texts = docs.select(F.col(id_col).cast("long").alias("_id"), text_of(text_col).alias("_text"))
     return texts.join(F.broadcast(chosen), F.col("_id") == F.col("_label")).select(
         F.col("_text").alias("text"), F.col("_toxic").alias("toxic")
@@ -129,40 +144,49 @@ def fit(
 ) -> OrdinalModel:
     """Fit the model on a bounded sample of labelled documents.
 
-    Features are words and their beginnings, by presence: those that mark
-    toxic documents, ranked by the chi-square statistic over the whole sample. Labels only tell toxic from clean; the severity of a toxic
-    document is the number of such marks in it, in two grades parted at the
+    Features are words and their beginnings that occur at least once, twice or
+    three times: those that toxic documents have more often than chance allows.
+    Of n sampled documents with a feature, t toxic, chance gives as many with a
+    probability of at most exp(-n KL(t / n, share of toxic ones)), for any n.
+    That must not exceed one in the number of candidates, so whatever the
+    number of labels, about one feature comes in by chance. The fit weighs the
+    features. Labels only tell toxic from clean; the severity of a toxic
+    document is the number of features in it, in two grades parted at the
     median over the toxic part of the sample. Without labels every document gets grade 0.
     """
     known = labelled(docs, labels, sample, id_col, text_col)
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [list(features_of(t.as_py())) for t in batch.column(0)]
+        for batch in slices(batches):
+            found = [[(w, k) for w, n in counts_of(t.as_py()).items() for k in LEVELS if n >= k] for t in batch.column(0)]
             sizes = np.fromiter(map(len, found), np.int64, len(found))
             yield pa.RecordBatch.from_arrays(
-                [pa.array([w for f in found for w in f], pa.string()), batch.column(1).take(pa.array(np.repeat(np.arange(len(found)), sizes)))],
-                names=["word", "toxic"],
+                [pa.array([w for f in found for w, _ in f], pa.string()), pa.array([k for f in found for _, k in f], pa.int32()),
+                 batch.column(1).take(pa.array(np.repeat(np.arange(len(found)), sizes)))],
+                names=["word", "level", "toxic"],
             )
 
     n, n_toxic = known.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
     none = OrdinalModel({}, np.zeros(0), np.full(GRADES - 1, 40.0))
     if not n_toxic or n_toxic == n:
         return none if not n_toxic else OrdinalModel({}, np.zeros(0), np.array([-40.0, 40.0]))
-    counted = (
-        known.mapInArrow(words, "word string, toxic int")
-        .groupBy("word").agg(F.count("*").alias("n"), F.sum("toxic").alias("t"))
+    counted = stage(
+        known.mapInArrow(words, "word string, level int, toxic int")
+        .groupBy("word", "level").agg(F.count("*").alias("n"), F.sum("toxic").alias("t"))
         .where(F.col("n") >= least_docs)
     )
-    expected = F.col("n") * (n_toxic / n)
-    excess = F.pow(F.col("t") - expected, 2) / (expected * (1 - F.col("n") / (n + 1.0)))
-    marked = counted.where((F.col("t") >= PURITY * F.col("n")) & (excess >= LEAST_EXCESS))
-    chosen = marked.orderBy(excess.desc(), "word")
-    names = {r.word: i for i, r in enumerate(chosen.limit(vocabulary).select("word").collect())}
-    blank = OrdinalModel(names, np.zeros(len(names)), np.zeros(GRADES - 1))
+    share, base = F.col("t") / F.col("n"), n_toxic / n
+    clean = F.when(F.col("t") < F.col("n"), (1 - share) * F.log((1 - share) / (1 - base))).otherwise(0.0)
+    marked = counted.where(share > base).withColumn("excess", F.col("n") * (share * F.log(share / base) + clean))
+    chosen = marked.where(F.col("excess") >= float(np.log(max(counted.count(), 1)))).orderBy(F.desc("excess"), "word", "level")
+    names: dict[str, dict[int, int]] = {}
+    n_features = 0
+    for n_features, r in enumerate(chosen.limit(vocabulary).select("word", "level").collect(), 1):
+        names.setdefault(r.word, {})[r.level] = n_features - 1
+    blank = OrdinalModel(names, np.zeros(n_features), np.zeros(GRADES - 1))
 
     def matrix(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             found = [blank.features(t.as_py()) for t in batch.column(0)]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(found, pa.list_(pa.int32())), batch.column(1)], names=["at", "toxic"]
@@ -174,7 +198,7 @@ def fit(
     sizes = np.asarray(pa.compute.list_value_length(at), np.int64)
     toxic = np.asarray(rows.column("toxic"), np.int64)
     grades = toxic * (1 + (sizes > np.median(sizes[toxic == 1])))
-    weights, cuts = fit_ordinal(np.repeat(np.arange(len(sizes)), sizes), columns, grades, len(names))
+    weights, cuts = fit_ordinal(np.repeat(np.arange(len(sizes)), sizes), columns, grades, n_features)
     return OrdinalModel(names, weights, cuts)
 
 
@@ -197,19 +221,16 @@ def score(
         place, schema = docs.columns.index(text_col), docs.schema
 
         def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                # Some rows at a time, so that few texts are unpacked at once.
-                for at in range(0, batch.num_rows, SLICE):
-                    part = batch.slice(at, SLICE)
-                    texts = [t.as_py() or "" for t in part.column(place)]
-                    yield part.filter(pa.array(model.above(texts)[:, 0] < reject, pa.bool_()))
+            for part in slices(batches):
+                texts = [t.as_py() or "" for t in part.column(place)]
+                yield part.filter(pa.array(model.above(texts)[:, 0] < reject, pa.bool_()))
 
         return docs.mapInArrow(keep, schema)
     fields = [(id_col, T.LongType()), ("expected_severity", T.DoubleType()), ("grade", T.IntegerType()),
               ("p_toxic", T.DoubleType()), ("toxic", T.BooleanType())]
 
     def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             above = model.above([t.as_py() for t in batch.column(1)])
             chance = -np.diff(np.hstack([np.ones((len(above), 1)), above, np.zeros((len(above), 1))]), axis=1)
             yield pa.RecordBatch.from_arrays(
@@ -220,3 +241,34 @@ def score(
 
     rows = docs.select(docs[id_col].cast("long").alias(id_col), text_of(text_col).alias("text"))
     return rows.mapInArrow(told, T.StructType([T.StructField(*f) for f in fields]))
+
+
+def held_out(
+    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
+    *, folds: int = 5,
+) -> DataFrame:
+    """(lang, n_toxic, n_caught, n_clean, n_wrong): rejections among labelled documents that the fit did not see.
+
+    Documents are dealt to the folds by their texts, so equal texts are held
+    out together; near copies need not be. Each fold is scored by a model of
+    the others.
+    """
+    fold, told = F.pmod(F.xxhash64(text_of(text_col)), F.lit(folds)), None
+    texts = docs.select(
+        F.col(id_col).cast("long").alias("_id"), text_of(text_col).alias("_text"), F.col(lang_col).alias("lang"), fold.alias("_fold")
+    )
+    known = texts.join(graded(labels, id_col), F.col("_id") == F.col("_label"))
+    for k in range(folds):
+        part = known.where(F.col("_fold") == k)
+        kept = score(part, fit(docs.where(fold != k), labels, id_col, text_col), "_id", "_text", keep_rows=True)
+        rows = [d.select("lang", "_toxic", F.lit(v).alias("_kept")) for d, v in ((part, 0), (kept, 1))]
+        told = rows[0].union(rows[1]) if told is None else told.union(rows[0]).union(rows[1])
+
+    def number(toxic: int, kept: tuple[int, int]) -> Column:
+        """Rows before (0) and after (1) rejection, times ``kept``."""
+        return F.sum(F.when(F.col("_toxic") == toxic, F.when(F.col("_kept") == 0, kept[0]).otherwise(kept[1])).otherwise(0))
+
+    return told.groupBy("lang").agg(
+        number(1, (1, 0)).alias("n_toxic"), number(1, (1, -1)).alias("n_caught"),
+        number(0, (1, 0)).alias("n_clean"), number(0, (1, -1)).alias("n_wrong"),
+    )

@@ -230,6 +230,28 @@ def test_toxicity(spark, docs, none):
     assert toxicity.score(table, unlabelled).where("toxic").count() == 0
 
 
+def test_toxicity_marks_that_clean_documents_have_once(spark):
+    rng = np.random.default_rng(5)
+    rows, labels = [], []
+    for i in range(900):
+        toxic, spanish = i % 8 == 0, i % 3 == 0
+        text = [f"w{chr(97 + j // 26)}{chr(97 + j % 26)}" for j in rng.integers(0, 300, 40)]
+        if spanish:       # a beginning that clean documents have too, once
+            text += ["bomen" + "".join(rng.choice(list("aeiou"), 6)) for _ in range(4 if toxic else rng.integers(0, 2))]
+        elif toxic:
+            text += list(rng.choice(["vilest", "scummy", "rotten"], 4))
+        rows.append((i, " ".join(rng.permutation(text)), "es" if spanish else "en", "s", 0))
+        labels.append((i, 1, int(toxic)))
+    table, known = documents(spark, rows), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    for least in (0, 600):      # few labels serve as well as many
+        seen = toxicity.score(table, toxicity.fit(table, known.where(f"doc_id >= {least}"))).collect()
+        wrong = [r.doc_id for r in seen if r.doc_id < 600 and r.toxic != (r.doc_id % 8 == 0)]
+        assert len(wrong) <= 2 and not any(i % 3 == 0 for i in wrong)
+    told = {r.lang: r for r in toxicity.held_out(table, known, folds=2).collect()}
+    assert {k: (r.n_toxic, r.n_clean) for k, r in told.items()} == {"es": (38, 262), "en": (75, 525)}
+    assert all(r.n_caught >= 0.9 * r.n_toxic and r.n_wrong <= 0.02 * r.n_clean for r in told.values())
+
+
 # --------------------------------------------------------------- 7 exact dedup
 
 def test_exact_dedup(spark, docs, none):
