@@ -37,10 +37,11 @@ def mix_sources(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    """doc_id, number of tokens, ids (little-endian, 32 bits each) and the digests of ids and decoded text."""
+    """doc_id, number of tokens, ids (little-endian, 32 bits each), the digests of ids and decoded text, and the place in the schedule."""
     path = public_tokenizers.path("byte_bpe_50k.json")
-    told = bpe.encode_texts(docs, path, keep_ids=True)
-    return told.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids")
+    place = mixing.place()
+    told = bpe.encode_texts(docs, path, keep_ids=True, carry=place)
+    return told.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids", *place)
 
 
 STAGES = [

@@ -14,7 +14,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import types as T
 
 from .support import text_of
@@ -248,12 +248,14 @@ def in_parts(column: pa.Array) -> Iterator[list[str]]:
 
 
 def encode_texts(
-    docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id", text_col: str = "text", *, keep_ids: bool = False
+    docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id", text_col: str = "text", *, keep_ids: bool = False,
+    carry: dict[str, Column] | None = None,
 ) -> DataFrame:
     """Ids of every whole text, and the text decoded from them.
 
     Returns (id, n_tokens, ids_sha256, decoded_sha256) and, with ``keep_ids``,
-    ids (binary, little-endian unsigned 32-bit) and decoded. The file at
+    ids (binary, little-endian unsigned 32-bit) and decoded, then the whole
+    numbers of ``carry``, as they are. The file at
     ``vocabulary_path`` must exist on every executor, as installed packages do.
     Null and empty texts have no tokens. Rows are independent: nothing is
     shuffled, repeated rows and ids repeat, an empty table gives an empty
@@ -268,6 +270,9 @@ def encode_texts(
     if keep_ids:
         fields += [T.StructField("ids", T.BinaryType()), T.StructField("decoded", T.StringType())]
 
+    carry = carry or {}
+    fields += [T.StructField(name, T.LongType()) for name in carry]
+
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pairs = vocabulary(vocabulary_path)
         for batch in batches:
@@ -284,7 +289,8 @@ def encode_texts(
             columns = [batch.column(0), pa.array(counts, pa.int64()), pa.array(digests, pa.string()), pa.array(told, pa.string())]
             if keep_ids:
                 columns += [pa.array(packed, pa.binary()), pa.array(decoded, pa.string())]
+            columns += batch.columns[2:]
             yield pa.RecordBatch.from_arrays(columns, names=[f.name for f in fields])
 
-    rows = docs.select(docs[id_col].cast("long").alias(id_col), text_of(text_col).alias("text"))
+    rows = docs.select(docs[id_col].cast("long").alias(id_col), text_of(text_col).alias("text"), *(c.cast("long").alias(n) for n, c in carry.items()))
     return rows.mapInArrow(encode, T.StructType(fields))

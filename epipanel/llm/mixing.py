@@ -142,3 +142,15 @@ def in_order(mixed: DataFrame) -> DataFrame:
     """The mixed rows with their own columns, in files that follow the schedule."""
     ordered = mixed.repartitionByRange("_slot", "_before").sortWithinPartitions("_slot", "_before")
     return ordered.drop("_share", "_name", "_before", "_block", "_slot")
+
+
+def place() -> dict[str, Column]:
+    """Where a row of the stored ``in_order`` stands: order of (mixed_file, mixed_row) is the schedule.
+
+    Spark packs stored files by size when it reads them, so the order in which
+    rows arrive says nothing. Files are numbered by the task that wrote them,
+    then by their turn in it; the numbers have gaps where a task wrote none.
+    """
+    name = F.col("_metadata.file_name")
+    part, turn = (F.regexp_extract(name, rule, 1).cast("long") for rule in (r"^part-(\d+)-", r"-c(\d+)\."))
+    return {"mixed_file": part * 1_000_000 + turn, "mixed_row": F.col("_metadata.row_index")}

@@ -4,6 +4,7 @@ import collections
 import hashlib
 import re
 
+import corpus_pipeline
 import numpy as np
 import public_tokenizers
 import pytest
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from epipanel.llm import ann, bpe, exact_dedup, line_dedup, mixing, ngram_join, secret_scan, token_counts, toxicity, warc
+from epipanel.llm.queries import OTHER, TARGETS
 from epipanel.llm.support import components
 
 from odd import base_rows, documents
@@ -200,6 +202,23 @@ def test_chunks_compose(monkeypatch):
         assert machine.counts(texts).tolist() == want
 
 
+def test_the_encoded_corpus_holds_the_schedule(spark, tmp_path):
+    # Later pieces of the order are larger, so Spark reads them first.
+    rows = [(i, f"{i} " * (1 + i % 7) * (1 + i // 40), "en", f"src{i % 3}", 0) for i in range(400)]
+    mixed = mixing.mix(documents(spark, rows), TARGETS, OTHER, block_size=100).cache()
+    want = [r.doc_id for r in mixed.orderBy("_slot", "_before").select("doc_id").collect()]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        mixing.in_order(mixed).write.parquet(f"{tmp_path}/mixed")
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    stored = spark.read.parquet(f"{tmp_path}/mixed")
+    assert len(stored.inputFiles()) > 1
+    corpus_pipeline.encode(spark, stored, "").write.parquet(f"{tmp_path}/encoded")
+    told = spark.read.parquet(f"{tmp_path}/encoded").orderBy("mixed_file", "mixed_row")
+    assert [r.doc_id for r in told.select("doc_id").collect()] == want
+
+
 # ---------------------------------------------------------------- 6 toxicity
 
 def test_toxicity(spark, docs, none):
