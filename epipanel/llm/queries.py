@@ -8,7 +8,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, exact_dedup, line_dedup, mixing, ngram_join, secret_scan, token_counts, toxicity, warc
+from . import (
+    ann, bpe, clustering, decontaminate, exact_dedup, line_dedup, mixing, ngram_join, resampling, secret_scan, token_counts,
+    toxicity, warc,
+)
 from .support import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -166,3 +169,111 @@ STATEMENTS["op9_warc_converter"] = """
          CASE WHEN n >= 1000 AND page_id <> top THEN 'revisit' ELSE 'response' END AS record_type,
          CASE WHEN n >= 1000 AND page_id <> top THEN top END AS refers_to
   FROM t"""
+
+
+@query
+def op11_target_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+# CRC-32 by its defining rule: reflected polynomial 0xEDB88320, a bit at a time for the 256 steps of a byte.
+_BIT = "CASE WHEN {0} % 2 = 1 THEN xor({0} >> 1, 3988292384) ELSE {0} >> 1 END"
+STATEMENTS["op11_target_resampling"] = f"""
+  WITH RECURSIVE steps(byte, round, v) AS (
+    SELECT i, 0, CAST(i AS BIGINT) FROM range(256) t(i)
+    UNION ALL SELECT byte, round + 1, {_BIT.format("v")} FROM steps WHERE round < 8),
+  crc AS (SELECT list(v ORDER BY byte) AS c FROM steps WHERE round = 8),
+  words AS (
+    SELECT kind, row, doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+             '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w
+    FROM (SELECT 0 AS kind, row_number() OVER () AS row, doc_id, coalesce(text, '') AS text FROM documents
+          UNION ALL SELECT 1, row_number() OVER (), item_id, coalesce(text, '') FROM benchmark)),
+  features AS (SELECT kind, row, unnest(w) AS word FROM words),
+  hashed AS (
+    SELECT word, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT),
+             list_transform(range(1, strlen(word) + 1), lambda i: CAST(('0x' || substr(hex(encode(word)), 2 * i - 1, 2)) AS BIGINT))),
+             lambda a, b: xor(a >> 8, c[(xor(a, b) & 255) + 1])), 4294967295) % 10000 AS bucket
+    FROM (SELECT DISTINCT word FROM features), crc),
+  counts AS (SELECT bucket, count(*) FILTER (kind = 0) AS s, count(*) FILTER (kind = 1) AS t
+             FROM features JOIN hashed USING (word) GROUP BY bucket),
+  totals AS (SELECT sum(s) AS ss, sum(t) AS tt FROM counts),
+  gains AS (SELECT bucket, CAST(floor(1000 * ln((CAST(t + 1 AS DOUBLE) * CAST(ss + 10000 AS DOUBLE))
+                     / (CAST(s + 1 AS DOUBLE) * CAST(tt + 10000 AS DOUBLE)))) AS BIGINT) AS gain FROM counts, totals),
+  means AS (SELECT row, count(*) AS n, CAST(sum(gain) AS BIGINT) AS g
+            FROM features JOIN hashed USING (word) JOIN gains USING (bucket) WHERE kind = 0 GROUP BY row),
+  scored AS (
+    SELECT doc_id, coalesce(n, 0) AS n_features,
+           CAST(CASE WHEN n IS NULL THEN 0 ELSE (g - ((g % n) + n) % n) // n END AS BIGINT) AS weight, len(w) AS n_words,
+           CAST('0x' || substr(sha256('2024:' || doc_id), 1, 8) AS BIGINT) AS h
+    FROM words LEFT JOIN means USING (row) WHERE kind = 0),
+  final AS (SELECT *, weight + CAST(floor(-1000 * ln(-ln((h + 0.5) / 4294967296))) AS BIGINT) AS score FROM scored),
+  placed AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id, n_features) AS place, count(*) OVER () AS n
+             FROM final WHERE n_words >= 20 AND doc_id IS NOT NULL)
+  SELECT doc_id, n_features, weight, score, CASE WHEN place <= n * 10 // 100 THEN place END AS rank
+  FROM final LEFT JOIN placed USING (doc_id)"""
+
+
+@query
+def op12_fm_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.Leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).report().drop("spans")
+
+
+STATEMENTS["op12_fm_decontamination"] = """
+  WITH words AS (
+    SELECT kind, id, row, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+             '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w
+    FROM (SELECT 0 AS kind, doc_id AS id, row_number() OVER () AS row, coalesce(text, '') AS text FROM documents
+          UNION ALL SELECT 1, item_id, row_number() OVER (), coalesce(text, '') FROM benchmark WHERE item_id IS NOT NULL)),
+  phrases AS (
+    SELECT DISTINCT item, least(len(w), 10) AS size, list_aggregate(w[i : i + 9], 'string_agg', ' ') AS phrase
+    FROM (SELECT id AS item, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS i FROM words WHERE kind = 1 AND len(w) > 0)),
+  sizes AS (SELECT DISTINCT size FROM phrases),
+  places AS (
+    SELECT row, i, size, list_aggregate(w[i : i + size - 1], 'string_agg', ' ') AS phrase
+    FROM (SELECT row, w, size, unnest(range(1, len(w) - size + 2)) AS i FROM words, sizes WHERE kind = 0 AND len(w) >= size)),
+  hits AS (SELECT row, i, size, phrase FROM places SEMI JOIN phrases USING (phrase, size)),
+  covered AS (SELECT row, count(DISTINCT k) AS n_hit FROM (SELECT row, unnest(range(i, i + size)) AS k FROM hits) GROUP BY row),
+  items AS (
+    SELECT row, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
+    FROM (SELECT DISTINCT row, CAST(item AS VARCHAR) AS item FROM hits JOIN phrases USING (phrase, size)) GROUP BY row)
+  SELECT id AS doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+         sha256(coalesce(items, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
+  FROM words LEFT JOIN covered USING (row) LEFT JOIN items USING (row) WHERE kind = 0"""
+
+
+@query
+def op13_drift_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clustering.cluster(table(spark, sf_dir, "embeddings"))
+
+
+def _clustering_statement(k: int = 8, rounds: int = 10, dimensions: int = 64) -> str:
+    """Every round compares all vectors with all centroids: a pair of statements a round."""
+    steps = [f"""
+  kept AS MATERIALIZED (
+    SELECT row_number() OVER () AS row, vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS x
+    FROM embeddings
+    WHERE vec_id IS NOT NULL AND len(embedding) = {dimensions} AND list_bool_and(list_transform(embedding, lambda x: x IS NOT NULL AND isfinite(x)))),
+  c0 AS MATERIALIZED (
+    SELECT place - 1 AS c, x AS m FROM (SELECT x, row_number() OVER (ORDER BY sha256('3:' || vec_id), x) AS place FROM kept)
+    WHERE place <= {k})"""]
+    for r in range(rounds + 1):
+        steps.append(f"""
+  a{r} AS MATERIALIZED (
+    SELECT row, arg_min(c, (d, c)) AS c, min(d) AS d
+    FROM (SELECT row, c, list_sum(list_transform(list_zip(x, m), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS d FROM kept, c{r}) GROUP BY row)""")
+        if r < rounds:
+            steps.append(f"""
+  s{r} AS (SELECT c, i, sum(v) AS s, count(*) AS n
+           FROM (SELECT c, unnest(x) AS v, unnest(range(1, {dimensions + 1})) AS i FROM kept JOIN a{r} USING (row)) GROUP BY c, i),
+  c{r + 1} AS MATERIALIZED (
+    SELECT c, coalesce(l, m) AS m
+    FROM c{r} LEFT JOIN (SELECT c, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY i) AS l FROM s{r} GROUP BY c) USING (c))""")
+    return f"""
+  WITH {",".join(steps)}
+  SELECT vec_id, CAST(c AS INTEGER) AS cluster, CAST(d AS BIGINT) AS distance,
+         CAST(sum(d) OVER (PARTITION BY c) AS BIGINT) AS cluster_inertia, CAST(sum(d) OVER () AS BIGINT) AS inertia,
+         sha256(array_to_string(m, ',')) AS centroid_sha256
+  FROM kept JOIN a{rounds} USING (row) JOIN c{rounds} USING (c)"""
+
+
+STATEMENTS["op13_drift_clustering"] = _clustering_statement()

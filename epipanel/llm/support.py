@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage, stage
+from ..session import stage
 
-__all__ = ["ascii_lower", "components", "cut_lineage", "stage", "table", "text_of"]
+__all__ = ["ascii_lower", "components", "stage", "table", "text_of", "text_parts"]
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -27,6 +30,19 @@ def ascii_lower(text: Column) -> Column:
     return F.when(single, F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
 
 
+def text_parts(column: pa.Array, most: int) -> Iterator[list[bytes]]:
+    """The texts of a binary column, null as empty, in lists of ``most`` bytes or little more than one text."""
+    texts, size = [], 0
+    for text in column:
+        texts.append(text.as_py() or b"")
+        size += len(texts[-1])
+        if size >= most:
+            yield texts
+            texts, size = [], 0
+    if texts:
+        yield texts
+
+
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Smallest id reachable from each id by undirected links: (id, component).
 
