@@ -90,6 +90,10 @@ _SHIFT = 8
 # Coefficients of 1/y, 1/y^3, ... in Stirling's series.
 _STIRLING = (1 / 12, -1 / 360, 1 / 1260, -1 / 1680, 1 / 1188)
 
+# Coefficients of 1/y^2, 1/y^4, ... in ln y - 1/(2y) - ψ(y), and of 1/y^3, 1/y^5, ... in ψ'(y) - 1/y - 1/(2y^2).
+_DIGAMMA = (1 / 12, -1 / 120, 1 / 252, -1 / 240, 1 / 132)
+_TRIGAMMA = (1 / 6, -1 / 30, 1 / 42, -1 / 30, 5 / 66)
+
 
 def _stirling_tail(y: Column) -> Column:
     inv2 = F.lit(1.0) / (y * y)
@@ -111,6 +115,34 @@ def lgamma(x: ColumnOrName) -> Column:
     )
 
 
+def digamma(x: ColumnOrName) -> Column:
+    """ψ(x) for x > 0: its series at x + 8, shifted back."""
+    x = _col(x)
+    y = x + F.lit(float(_SHIFT))
+    inv2 = F.lit(1.0) / (y * y)
+    acc = F.lit(_DIGAMMA[-1])
+    for c in reversed(_DIGAMMA[:-1]):
+        acc = acc * inv2 + F.lit(c)
+    back = F.lit(1.0) / x
+    for i in range(1, _SHIFT):
+        back = back + F.lit(1.0) / (x + F.lit(float(i)))
+    return F.ln(y) - F.lit(0.5) / y - acc * inv2 - back
+
+
+def trigamma(x: ColumnOrName) -> Column:
+    """ψ'(x) for x > 0, in the same way."""
+    x = _col(x)
+    y = x + F.lit(float(_SHIFT))
+    inv2 = F.lit(1.0) / (y * y)
+    acc = F.lit(_TRIGAMMA[-1])
+    for c in reversed(_TRIGAMMA[:-1]):
+        acc = acc * inv2 + F.lit(c)
+    back = F.lit(1.0) / (x * x)
+    for i in range(1, _SHIFT):
+        back = back + F.lit(1.0) / ((x + F.lit(float(i))) * (x + F.lit(float(i))))
+    return F.lit(1.0) / y + F.lit(0.5) * inv2 + acc * inv2 / y + back
+
+
 def log_rising_minus_klogr(r: ColumnOrName, k: ColumnOrName) -> Column:
     """log Γ(r+k) - log Γ(r) - k·log r, without cancellation when r is large."""
     r, k = _col(r), _col(k)

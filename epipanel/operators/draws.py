@@ -15,7 +15,7 @@ from .ranking import positions
 DRAW_KEYS = ("place_id", "source", "chain", "iteration")
 
 
-def _quoted(name: str) -> str:
+def quoted(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 
 
@@ -54,7 +54,7 @@ def wide_to_long(
     if prefix is not None:
         columns = [c for c in columns if c.startswith(prefix)]
     split = [split_name(c) if parse else (c, None) for c in columns]
-    values = _sql_array(f"CAST({_quoted(c)} AS DOUBLE)" for c in columns)
+    values = _sql_array(f"CAST({quoted(c)} AS DOUBLE)" for c in columns)
     names = _sql_array(_literal(n) for n, _ in split)
     rows = df.select(*keys, F.posexplode(values).alias("_at", "value"))
     out = [*keys, F.element_at(names, F.col("_at") + 1).alias("name")]
@@ -64,6 +64,46 @@ def wide_to_long(
     return rows.select(*out, "value")
 
 
+def long_to_dense(
+    df: DataFrame,
+    keys: Sequence[str],
+    names: Sequence[str],
+    name: str = "name",
+    value: str = "value",
+    out: str = "values",
+) -> DataFrame:
+    """``keys`` and one array with a place for each listed name, in their order.
+
+    Names become positions, and one list is gathered for each key, whatever
+    the number of names; a key's list is as long as its values are many. A name
+    that a key lacks is null, one that it has several times is its greatest
+    value. Other names are left out, but their keys stay.
+    """
+    position = F.try_element_at(_positions(names), F.col(name))
+    entry = F.when(position.isNotNull(), F.struct(position.alias("at"), F.col(value).cast("double").alias("v")))
+    gathered = df.select(*keys, entry.alias("_e")).groupBy(*keys).agg(F.collect_list("_e").alias("_e"))
+    # Every position once more without a value, so that none is missing.
+    blank = F.transform(F.sequence(F.lit(0), F.lit(len(names) - 1)), lambda i: F.struct(i.alias("at"), F.lit(None).cast("double").alias("v")))
+    ordered = F.array_sort(F.concat("_e", blank))
+
+    def last_of_each(all_: Column) -> Column:
+        # Of one position nulls sort first and the greatest value last.
+        kept = F.filter(all_, lambda e, i: (i == F.size(all_) - 1) | (F.get(all_, i + 1)["at"] != e["at"]))
+        return F.transform(kept, lambda e: e["v"])
+
+    return gathered.select(*keys, F.element_at(F.transform(F.array(ordered), last_of_each), 1).alias(out))
+
+
+def _positions(names: Sequence[str]) -> Column:
+    """A constant map of names to positions."""
+    return F.map_from_arrays(_sql_array(_literal(n) for n in names), F.sequence(F.lit(0), F.lit(len(names) - 1)))
+
+
+def dense_to_wide(df: DataFrame, keys: Sequence[str], names: Sequence[str], values: str = "values") -> DataFrame:
+    """One column for each place of a dense array; for sinks, and for operators that name columns."""
+    return df.select(*keys, *[F.get(values, F.lit(i)).alias(n) for i, n in enumerate(names)])
+
+
 def long_to_wide(
     df: DataFrame,
     keys: Sequence[str],
@@ -72,7 +112,7 @@ def long_to_wide(
     value: str = "value",
 ) -> DataFrame:
     """One column per listed name. The list is given, so no job looks for it."""
-    return df.groupBy(*keys).pivot(name, list(names)).agg(F.max(value))
+    return dense_to_wide(long_to_dense(df, keys, names, name, value), keys, names)
 
 
 def parse_indexed_name(df: DataFrame, name: str = "name") -> DataFrame:
@@ -106,7 +146,7 @@ def flatten_record(df: DataFrame, keys: Sequence[str], record: str) -> DataFrame
         )
 
     def rows(field: T.StructField) -> Column:
-        c = F.col(f"{record}.{_quoted(field.name)}")
+        c = F.col(f"{record}.{quoted(field.name)}")
         if isinstance(field.dataType, T.ArrayType):
             return F.transform(c, lambda x, i: entry(field.name, i + 1, x))
         return F.array(entry(field.name, F.lit(None), c))
@@ -211,8 +251,7 @@ def derive_totals_long(
     parts = sorted({p for pair in totals.values() for p in pair}) + list(others)
     df = df if since is None else df.where(F.col("date") >= F.lit(since).cast("date"))
     wide = derive_totals(long_to_wide(df, keys, parts), totals)
-    shown = [c for c in (*parts, *totals) if c not in excluded]
-    return wide_to_long(wide, keys, shown)
+    return exclude_names(wide_to_long(wide, keys, [*parts, *totals]), excluded)
 
 
 def stack_sources(posterior: DataFrame, prior: DataFrame, out: str = "distribution") -> DataFrame:

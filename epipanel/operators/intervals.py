@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..constants import INTERVAL_WIDTHS
 from .draws import DRAW_KEYS, align_time_index
+from .packed import pack_draws, unpack, with_running_total
 from .quantiles import median_qi
 
 GROUP = ("place_id", "source")
@@ -54,46 +55,33 @@ def cumulative_by_draw(
     out: str = "cumulative_deaths",
     keys: Sequence[str] = DRAW_KEYS,
 ) -> DataFrame:
-    """Running total of one series inside each draw; missing from the first missing week on.
-
-    A window holds the weeks of one draw, so its size does not depend on the
-    number of draws or places.
-    """
-    upto = Window.partitionBy(*keys).orderBy("idx").rowsBetween(Window.unboundedPreceding, 0)
-    return (
-        draws.where(F.col("name") == name)
-        .withColumn(
-            "value",
-            F.when(
-                F.count("value").over(upto) == F.count(F.lit(1)).over(upto), F.sum("value").over(upto)
-            ),
-        )
-        .withColumn("name", F.lit(out))
-    )
+    """Running total of one series of long draws; missing from the first missing week on."""
+    packed = pack_draws(draws.where(F.col("name") == name), keys)
+    return unpack(with_running_total(packed, name, out, alone=True), keys)
 
 
 def cumulative_intervals(
-    draws: DataFrame,
+    packed: DataFrame,
     name: str = "new_deaths",
     out: str = "cumulative_deaths",
     widths: Sequence[float] = INTERVAL_WIDTHS,
 ) -> DataFrame:
-    running = cumulative_by_draw(draws, name, out)
+    """Intervals of the running total of one series of packed draws."""
+    running = unpack(with_running_total(packed, name, out, alone=True))
     return median_qi(running, (*GROUP, "name", "idx"), "value", widths)
 
 
 def predictive_intervals(
-    draws: DataFrame,
+    packed: DataFrame,
     calendar: DataFrame,
     widths: Sequence[float] = INTERVAL_WIDTHS,
 ) -> DataFrame:
-    """Intervals of each predicted stream and of cumulative deaths, dated.
+    """Intervals of each predicted stream and of cumulative deaths, dated, from packed draws.
 
-    Streams and running totals are stacked as draws and summarised together:
-    one quantile aggregation instead of two.
+    A draw's running total is one more series of its row, so streams and totals
+    are read and summarised together.
     """
-    columns = [*DRAW_KEYS, "name", "idx", "value"]
-    stacked = draws.select(*columns).unionByName(cumulative_by_draw(draws).select(*columns))
-    asked = median_qi(stacked, (*GROUP, "name", "idx"), "value", widths)
+    both = unpack(with_running_total(packed, "new_deaths", "cumulative_deaths"))
+    asked = median_qi(both, (*GROUP, "name", "idx"), "value", widths)
     timed = asked.withColumn("time", F.col("idx").cast("bigint")).drop("idx")
     return attach_dates(timed, calendar)

@@ -153,7 +153,7 @@ def delay_ecdf(delay_events: DataFrame) -> DataFrame:
 def ecdf_lookup(
     df: DataFrame, ecdf: DataFrame, stream: str, x: Column | str, out: str
 ) -> DataFrame:
-    """Right-continuous step lookup: 0 below the first day, 1 from the last on.
+    """Right-continuous step lookup: 0 below the first day, 1 from the last on; a missing day has no share.
 
     The ECDF has a row for every day between its ends, so a day held within
     the ends finds its row by equality, and the planner broadcasts the rows
@@ -161,7 +161,9 @@ def ecdf_lookup(
     """
     one = ecdf.where(F.col("stream") == stream)
     ends = one.agg(F.struct(F.min("x").alias("first"), F.max("x").alias("last")).alias("ends")).scalar()
-    day = F.least(F.greatest(F.col(x) if isinstance(x, str) else x, ends["first"]), ends["last"])
+    x = F.col(x) if isinstance(x, str) else x
+    # greatest and least skip nulls.
+    day = F.when(x.isNotNull(), F.least(F.greatest(x, ends["first"]), ends["last"]))
     steps = one.select(F.col("x").alias("_x"), F.col("F").alias(out))
     return df.withColumn("_day", day).join(steps, F.col("_day") == F.col("_x"), "left").drop("_day", "_x")
 
@@ -274,6 +276,24 @@ def place_dimension(populations: DataFrame, region_key: DataFrame, state: str) -
     )
 
 
+def extend_dictionary(dictionary: DataFrame, seen: DataFrame) -> DataFrame:
+    """(id, level, place) of all places ever seen: known ones keep their ids, new ones get the next.
+
+    ``dictionary`` only grows, so draws stored under an id stay with their
+    place when others come or go. New places are numbered by (level, place), in
+    ranges of that order. A null place is a place.
+    """
+    rank = F.array_position(F.array(*[F.lit(x) for x in LEVELS]), F.col("level"))
+    known = dictionary.select("level", "place", "id")
+    fresh = seen.select("level", "place").distinct().alias("s").join(
+        known.alias("d"), (F.col("s.level") == F.col("d.level")) & F.col("s.place").eqNullSafe(F.col("d.place")), "left_anti"
+    )
+    last = known.agg(F.coalesce(F.max("id"), F.lit(0))).scalar()
+    numbered = range_positions(fresh.withColumn("_rank", rank), ["_rank", "place"], out="_at")
+    added = numbered.select((F.col("_at") + last).cast("int").alias("id"), "level", "place")
+    return known.select("id", "level", "place").unionByName(added)
+
+
 def initial_values(
     panel: DataFrame, dim: DataFrame, offset: int = SMOOTHING_OFFSET
 ) -> DataFrame:

@@ -2,88 +2,139 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+import math
+from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import stage
 
 
+OCTAVE = 16        # first-digit cells to a doubling of the value
+FINER = 256        # cells that a cell is cut into by a later digit
+FEW = 1024         # values of a cell that are gathered and sorted
+_LOG_STEP = OCTAVE / math.log(2.0)
+_ZERO = 1100 * OCTAVE      # the cells of positive values begin above it, mirrored by the negative ones
+_NAN = 4 * _ZERO           # the cell of NaN, behind all others
+
+
 def group_quantiles(
     df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float], out: str = "quantiles"
 ) -> DataFrame:
     """``keys`` and ``out``: an array of linear-interpolation quantiles.
 
-    Equal values of a group are counted, which combines map-side. The counts
-    are dealt out by ranges of (group, value), so a large group spreads over
-    many tasks and a task holds many small ones, and are stored with the number
-    of their range. The totals of the ranges give the rank at which each range
-    of a group begins; only the ranges that hold a wanted rank are opened. The
-    input is read once.
+    Ranks are narrowed down digit by digit. The first digit of a value is its
+    sign and logarithm, in ``OCTAVE`` cells to a doubling; its cells are
+    counted for every group, with their least and greatest value, which
+    combines map-side. Running counts tell the cells that hold a wanted rank.
+    The values of these cells alone are read again: those of a cell of up to
+    ``FEW`` are gathered and sorted, a larger cell is cut in ``FINER`` steps
+    between its ends and its cells counted in turn. A cell whose ends are equal
+    is answered. So the input is read once a digit, mostly twice in all, and no
+    exchange carries it: one group that holds all rows costs a task no more
+    than its cells, ties collapse, and nothing is stored but the few cells that
+    are kept.
 
     Nulls are ignored. A group of nulls alone has null quantiles; a group that
     holds NaN, which has no rank, has NaN quantiles.
     """
-    rows = df.select(F.struct(*keys).alias("_g"), F.col(value).cast("double").alias("_v"))
-    counted = rows.groupBy("_g", "_v").agg(F.count(F.lit(1)).alias("_n"))
-    dealt = stage(counted.repartitionByRange("_g", "_v").withColumn("_range", F.spark_partition_id()))
+    ks = [f"_k{i}" for i in range(len(keys))]
+    rows = df.select(
+        *[F.col(c).alias(k) for k, c in zip(ks, keys)], F.col(value).cast("double").alias("_v")
+    ).withColumn("_digit", F.expr(_FIRST_DIGIT))
 
-    by_range = dealt.groupBy("_g", "_range").agg(
-        F.coalesce(F.sum(F.when(F.col("_v").isNotNull(), F.col("_n"))), F.lit(0)).alias("_m"),
-        F.max(F.coalesce(F.isnan("_v"), F.lit(False))).alias("_nan"),
-    )
-    before = Window.partitionBy("_g").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy("_g")
-    ranges = by_range.select(
-        "_g", "_range", "_m",
-        F.coalesce(F.sum("_m").over(before), F.lit(0)).alias("_first"),
-        F.sum("_m").over(whole).alias("_total"),
-        F.max("_nan").over(whole).alias("_nan"),
+    counted = rows.groupBy(*ks, "_digit").agg(
+        F.expr("count(_v) AS _n"), F.expr("min(_v) AS _low"), F.expr("max(_v) AS _high")
     )
-    wanted = F.exists(
-        _ranks(F.col("_total"), probs),
-        lambda r: (r >= F.col("_first")) & (r < F.col("_first") + F.col("_m")),
+    group = ", ".join(ks)
+    summed = counted.selectExpr(
+        "*", f"coalesce({_SUM_BEFORE.format(group, '_digit')}, 0) AS _before",
+        f"sum(_n) OVER (PARTITION BY {group}) AS _total",
+        f"max(coalesce(_digit = {_NAN}, false)) OVER (PARTITION BY {group}) AS _nan",
     )
-    # A group with nothing to rank keeps one range, and with it its row.
-    opened = ranges.where(wanted | ((F.col("_total") == 0) & (F.col("_first") == 0)))
-    upto = Window.partitionBy("_g", "_range").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
-    ends = dealt.join(opened, ["_g", "_range"]).withColumn(
-        "_end", F.col("_first") + F.sum(F.when(F.col("_v").isNotNull(), F.col("_n")).otherwise(0)).over(upto)
+    # A group with nothing to rank keeps one row.
+    kept = f"CASE WHEN _nan THEN _digit = {_NAN} ELSE _total = 0 OR size(_held) > 0 END"
+    cells = stage(summed.withColumn("_held", F.expr(_held(probs))).where(kept))
+    columns, answers = cells.columns, []
+    while True:
+        told = "transform(_held, r -> struct(r, _low AS v)) AS _told"
+        answers.append(cells.where(f"NOT {_OPEN}").selectExpr(*ks, "_total", "_nan", told))
+        few, more = cells.selectExpr(f"count_if({_OPEN} AND _n <= {FEW})", f"count_if({_OPEN} AND _n > {FEW})").first()
+        if few:
+            answers.append(_gathered(rows, cells.where(f"{_OPEN} AND _n <= {FEW}"), ks))
+        if not more:
+            break
+        cells = stage(_refined(rows, cells.where(f"{_OPEN} AND _n > {FEW}"), ks, probs).select(*columns))
+
+    found = reduce(DataFrame.union, answers).groupBy(*ks).agg(
+        F.expr("first(_total) AS _total"), F.expr("max(_nan) AS _nan"),
+        F.expr("map_from_entries(flatten(collect_list(_told))) AS _at"),
     )
-    held = F.filter(
-        _ranks(F.col("_total"), probs), lambda r: (r < F.col("_end")) & (r >= F.col("_end") - F.col("_n"))
-    )
-    kept = ends.withColumn("_held", F.when(F.col("_v").isNotNull(), held)).where(
-        (F.size("_held") > 0) | (F.col("_total") == 0)
+    low, high = "bigint(floor(p * (_total - 1)))", "bigint(ceil(p * (_total - 1)))"
+    asked = f"""transform({_probs(probs)}, p -> CASE
+        WHEN _total = 0 THEN NULL WHEN _nan THEN double('NaN') WHEN {low} = {high} THEN element_at(_at, {low})
+        ELSE ({high} - p * (_total - 1)) * element_at(_at, {low}) + (p * (_total - 1) - {low}) * element_at(_at, {high}) END)"""
+    return found.select(*[F.col(k).alias(c) for k, c in zip(ks, keys)], F.expr(asked).alias(out))
+
+
+# The expressions are SQL text: one call for each, where columns would take hundreds.
+
+# Sign and logarithm of a value, never falling as the value rises; null for null. Infinity has a cell of its own.
+_SIZE = f"int(floor(least(ln(abs(_v)), 720D) * {_LOG_STEP!r}D)) + {_ZERO}"
+_FIRST_DIGIT = (
+    f"CASE WHEN _v IS NULL THEN CAST(NULL AS INT) WHEN isnan(_v) THEN {_NAN} WHEN _v = 0 THEN 0 "
+    f"WHEN _v > 0 THEN {_SIZE} ELSE -({_SIZE}) END"
+)
+_SUM_BEFORE = "sum(_n) OVER (PARTITION BY {} ORDER BY {} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+_OPEN = "coalesce(NOT _nan AND _low < _high, false)"
+
+
+def _probs(probs: Sequence[float]) -> str:
+    return "array(" + ", ".join(f"{float(p)!r}D" for p in probs) + ")"
+
+
+def _held(probs: Sequence[float]) -> str:
+    """The wanted ranks, 0-based and around each probability, that fall into a cell."""
+    around = "array(bigint(floor(p * (_total - 1))), bigint(ceil(p * (_total - 1))))"
+    ranks = f"array_distinct(flatten(transform({_probs(probs)}, p -> {around})))"
+    return f"filter({ranks}, r -> r >= _before AND r < _before + _n)"
+
+
+def _inside(rows: DataFrame, cells: DataFrame, ks: Sequence[str], *carried: str) -> DataFrame:
+    """The rows whose value lies in one of ``cells``, with the cell's ends and other columns."""
+    renamed = cells.selectExpr(
+        *[f"{k} AS {k}_" for k in ks], "_digit AS _digit_", "_low AS _from", "_high AS _to", *carried
     )
-    by_group = kept.groupBy("_g", "_total", "_nan").agg(
-        F.map_from_entries(
-            F.flatten(F.collect_list(F.transform("_held", lambda r: F.struct(r.alias("r"), F.col("_v").alias("v")))))
-        ).alias("_at")
+    same = " AND ".join([*[f"{k} <=> {k}_" for k in ks], "_digit = _digit_", "_v BETWEEN _from AND _to"])
+    return rows.join(renamed, F.expr(same))
+
+
+def _gathered(rows: DataFrame, cells: DataFrame, ks: Sequence[str]) -> DataFrame:
+    """The wanted ranks of small cells, from their sorted values."""
+    inside = _inside(rows, cells, ks, "_before", "_total", "_held")
+    sorted_ = inside.groupBy(*ks, "_digit", "_from", "_before", "_total", "_held").agg(F.expr("sort_array(collect_list(_v)) AS _all"))
+    return sorted_.selectExpr(
+        *ks, "_total", "false AS _nan", "transform(_held, r -> struct(r, get(_all, int(r - _before)) AS v)) AS _told"
     )
-    asked = [
-        F.when(F.col("_total") == 0, F.lit(None).cast("double"))
-        .when(F.col("_nan"), F.lit(float("nan")))
-        .otherwise(_between(F.lit(float(p)) * (F.col("_total") - 1), lambda r: F.element_at("_at", r)))
-        for p in probs
-    ]
-    return by_group.select("_g.*", F.array(*asked).alias(out))
-
-
-def _between(position: Column, value_at: Callable[[Column], Column]) -> Column:
-    """Linear interpolation between the two ranks around a position."""
-    low, high = F.floor(position).cast("bigint"), F.ceil(position).cast("bigint")
-    mixed = (high - position) * value_at(low) + (position - low) * value_at(high)
-    return F.when(low == high, value_at(low)).otherwise(mixed)
-
-
-def _ranks(n: Column, probs: Sequence[float]) -> Column:
-    """Distinct 0-based ranks that bracket each probability."""
-    at = [F.lit(float(p)) * (n - 1) for p in probs]
-    return F.array_distinct(
-        F.array(*[F.floor(a).cast("bigint") for a in at], *[F.ceil(a).cast("bigint") for a in at])
+
+
+def _refined(rows: DataFrame, cells: DataFrame, ks: Sequence[str], probs: Sequence[float]) -> DataFrame:
+    """The cells by one more digit that hold a wanted rank.
+
+    A cell's least and greatest value fall apart, so every digit parts it.
+    """
+    inside = _inside(rows, cells, ks, "_before AS _base", "_total")
+    cell = [*ks, "_digit", "_from"]
+    counted = (
+        inside.withColumn("_place", F.expr(f"int(floor((_v - _from) / (_to - _from) * {FINER}))"))
+        .groupBy(*cell, "_base", "_total", "_place")
+        .agg(F.expr("count(_v) AS _n"), F.expr("min(_v) AS _low"), F.expr("max(_v) AS _high"))
     )
+    before = f"_base + coalesce({_SUM_BEFORE.format(', '.join(cell), '_place')}, 0) AS _before"
+    summed = counted.selectExpr("*", before, "false AS _nan")
+    return summed.withColumn("_held", F.expr(_held(probs))).where("size(_held) > 0")
 
 
 def interval_probs(widths: Sequence[float]) -> list[float]:
@@ -95,15 +146,8 @@ def interval_probs(widths: Sequence[float]) -> list[float]:
 def median_qi(df: DataFrame, keys: Sequence[str], value: str, widths: Sequence[float]) -> DataFrame:
     """Median and equal-tailed intervals, one row per group and width."""
     asked = group_quantiles(df, keys, value, interval_probs(widths), "_q")
-    rows = F.array(
-        *[
-            F.struct(
-                F.lit(float(w)).alias("width"),
-                F.col("_q")[2 * i + 1].alias("lower"),
-                F.col("_q")[0].alias("value"),
-                F.col("_q")[2 * i + 2].alias("upper"),
-            )
-            for i, w in enumerate(widths)
-        ]
+    rows = ", ".join(
+        f"struct({float(w)!r}D AS width, _q[{2 * i + 1}] AS lower, _q[0] AS value, _q[{2 * i + 2}] AS upper)"
+        for i, w in enumerate(widths)
     )
-    return asked.select(*keys, F.inline(rows))
+    return asked.select(*keys, F.expr(f"inline(array({rows}))"))

@@ -9,19 +9,21 @@ from functools import cached_property
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..constants import SCALAR_LABELS, VARIANT_EXCLUDED, VARIANT_TOTALS, VECTOR_LABELS
+from ..constants import EXPORT_WIDTH, SCALAR_LABELS, VARIANT_EXCLUDED, VARIANT_TOTALS, VECTOR_LABELS
 from ..functions.scalars import clamp, last_by, logistic, logit, sum_strict
 from ..operators import draws as D
 from ..operators import export as X
 from ..operators import horizon as H
 from ..operators import intervals as I
 from ..operators import model_tables as M
+from ..operators import packed as PK
 from ..operators import panel as P
 from ..operators import priors as R
 from ..operators.quantiles import median_qi
 from ..operators.ranking import top_n_finite
 from ..session import shared_folder, stage, together
 from ..sources import readers as S
+from ..sources import sinks as W
 from .quantities import Quantities, observed_streams
 from .surveillance import Surveillance
 from .testdata import STATE, TestData
@@ -45,17 +47,28 @@ class Frames:
             t.cases, t.census, t.region_key, t.populations, t.delay_events, STATE
         )
 
+    @cached_property
+    def packed(self) -> DataFrame:
+        """The model's draws, a row each."""
+        t = self.data
+        return PK.pack_model(t.parameters, t.walk_steps, t.compartments)
+
     @cached_property
     def model(self) -> Quantities:
-        t, ingest = self.data, self.ingest
-        together(lambda: self.priors, lambda: ingest.dim)
-        return Quantities(t.parameters, self.priors, t.walk_steps, t.compartments, ingest.dim)
+        return Quantities(self.packed, self.priors, self.ingest.dim)
+
+    @cached_property
+    def moments(self) -> DataFrame:
+        return R.log_moments(self.data.stream_draws, ["place_id", "stream"])
 
     @cached_property
     def priors(self) -> DataFrame:
-        """The model's priors and the fitted dispersions, stored."""
-        moments = R.log_moments(self.data.stream_draws, ["stream"])
-        return stage(R.fixed_priors(self.spark).unionByName(R.dispersion_priors(moments)))
+        """The priors in force at every place, stored: the model's own and the fitted dispersions."""
+        return stage(
+            R.priors_by_place(
+                R.fixed_priors(self.spark), R.dispersion_priors(self.moments), self.ingest.dim, self.data.region_key
+            )
+        )
 
     @cached_property
     def calendar(self) -> DataFrame:
@@ -64,23 +77,23 @@ class Frames:
     def prepare(self) -> None:
         """Store the stages of both jobs, independent ones at the same time."""
         ingest = self.ingest
-        together(
-            lambda: ingest.daily, lambda: ingest.ecdf, lambda: ingest.dim,
-            lambda: self.priors,
-        )
+        together(lambda: ingest.daily, lambda: ingest.ecdf, lambda: ingest.dim)
         model = self.model
-        together(lambda: ingest.rolled, lambda: model.params)
+        together(lambda: ingest.rolled, lambda: model.draws)
 
     @cached_property
     def gq(self) -> DataFrame:
         self.prepare()
         return I.gq_intervals(self.model.generated, self.calendar)
 
+    @cached_property
+    def predicted(self) -> DataFrame:
+        """The predictive draws, a row each, as their files have them."""
+        return PK.pack_wide(self.data.predictive_wide, KEYS)
+
     @cached_property
     def predictive(self) -> DataFrame:
-        return I.predictive_intervals(
-            self.data.predictive, self.calendar
-        )
+        return I.predictive_intervals(self.predicted, self.calendar)
 
 
 def rounded(df: DataFrame, digits: int, *columns: str) -> DataFrame:
@@ -134,18 +147,32 @@ def read_census(f: Frames) -> DataFrame:
 
 @query
 def scan_draw_dir(f: Frames) -> DataFrame:
-    """Long draws from wide files; one place has a column less than the others."""
+    """Long draws from wide files of both sources, a folder per place; one place has a column less than the others."""
     names = [f"z[{i}]" for i in range(1, 65)]
-    wide = f.data.draw_records.where("source = 'posterior'").select(
-        "place_id", "chain", "iteration", *[F.element_at("z", i + 1).alias(n) for i, n in enumerate(names)]
-    )
+    wide = f.data.draw_records.select(
+        *KEYS, *[F.element_at("z", i + 1).alias(n) for i, n in enumerate(names)]
+    ).withColumnRenamed("place_id", "county_id")
     folder = f"{shared_folder(f.spark)}/draws-{uuid.uuid4().hex}"
-    # A file's place stands in its path, as county_id=N.
-    for place in range(1, 6):
-        columns = names[:-1] if place == 5 else names
-        one = wide.where(F.col("place_id") == place).select("iteration", "chain", *[f"`{c}`" for c in columns])
-        one.write.csv(f"{folder}/county_id={place}", header=True, nullValue="NA")
-    return S.scan_draw_dir(f.spark, f"{folder}/*", "posterior")
+    scanned = []
+    for source in ("prior", "posterior"):
+        mine = wide.where(F.col("source") == source).drop("source")
+        # A file's place stands in its path, as county_id=N.
+        for part in (mine.where("county_id <> 5"), mine.where("county_id = 5").drop(names[-1])):
+            part.write.partitionBy("county_id").mode("append").csv(f"{folder}/{source}", header=True, nullValue="NA")
+        scanned.append(S.scan_draw_dir(f.spark, f"{folder}/{source}/*", source))
+    return scanned[0].unionByName(scanned[1])
+
+
+@query
+def draw_store(f: Frames) -> DataFrame:
+    """Draws of the store after one place was stored anew, of one source: the scan opens that source alone."""
+    path = f"{shared_folder(f.spark)}/store-{uuid.uuid4().hex}"
+    W.write_store(f.predicted, path)
+    again = f.predicted.where("place_id = 2").withColumn(
+        "entries", F.transform("entries", lambda e: e.withField("value", e["value"] + 1))
+    )
+    W.replace_places(again, path)
+    return PK.unpack(S.read_store(f.spark, path).where("source = 'posterior'"))
 
 
 @query
@@ -177,8 +204,10 @@ def reporting_window(f: Frames) -> DataFrame:
 
 @query
 def ecdf_lookup(f: Frames) -> DataFrame:
+    """Shares of all case days; the 13th of a month came without its date."""
     latest = f.ingest.window.select("latest_date").scalar()
-    aged = f.data.cases.select("place", "date", P.days_between(latest, "date").alias("days_ago"))
+    dated = f.data.cases.select("place", F.when(F.dayofmonth("date") != 13, F.col("date")).alias("date"))
+    aged = dated.select("place", "date", P.days_between(latest, "date").alias("days_ago"))
     looked = P.ecdf_lookup(aged, f.ingest.ecdf, "cases", "days_ago", "f_cases")
     looked = P.ecdf_lookup(looked, f.ingest.ecdf, "deaths", F.col("days_ago") + 4, "f_deaths")
     return rounded(looked, 9, "f_cases", "f_deaths")
@@ -275,6 +304,52 @@ def nb_dispersion(f: Frames) -> DataFrame:
 
 # ---------------------------------------------------------------- draws
 
+@query
+def nb_dispersion_ml(f: Frames) -> DataFrame:
+    series = D.wide_to_long(
+        f.ingest.weekly, ["place", "time"], ["est_cases", "est_deaths", "hospitalized", "icu"]
+    )
+    return rounded(R.nb_dispersion_ml(series, ["place", "name"], "time", "value"), 4, "mu", "phi", "log_likelihood")
+
+
+@query
+def place_dictionary(f: Frames) -> DataFrame:
+    """Ids after a first feed of even nations and a second one of all: those of the first stay."""
+    populations, key = f.data.populations, f.data.region_key
+    first = populations.where(F.col("population") % 2 == 0)
+    dictionary = stage(P.place_dimension(first, key, STATE).select("id", "level", "place"))
+    return P.extend_dictionary(dictionary, f.ingest.dim)
+
+
+@query
+def read_dims(f: Frames) -> DataFrame:
+    """Dimension, region key and initial values, written as the files that other tools read, then read and joined."""
+    folder = f"{shared_folder(f.spark)}/dims-{uuid.uuid4().hex}"
+    county = lambda df: df.withColumnRenamed("place", "county")
+    W.write_report(county(f.ingest.dim.drop("level")), f"{folder}/dim")
+    W.write_report(county(f.data.region_key), f"{folder}/key")
+    W.write_report(county(f.ingest.init), f"{folder}/init")
+    dim, key, init = S.read_dims(f.spark, f"{folder}/dim", f"{folder}/key", f"{folder}/init")
+    return dim.join(key, "place", "left").join(init.drop("id", "population"), "place", "left")
+
+
+@query
+def write_report(f: Frames) -> DataFrame:
+    """The panel as a report, read back by name."""
+    path = f"{shared_folder(f.spark)}/report-{uuid.uuid4().hex}"
+    W.write_report(f.ingest.panel.drop("level").orderBy("place", "time", "start_date"), path)
+    return S.read_panel(f.spark, path, place="place")
+
+
+@query
+def refresh_results(f: Frames) -> DataFrame:
+    """Draws of a folder that held the prior ones and was cleared for the posterior ones."""
+    path = f"{shared_folder(f.spark)}/results-{uuid.uuid4().hex}"
+    W.write_draws(f.data.draws.where("source = 'prior'"), path)
+    W.refresh_results(f.data.draws.where("source = 'posterior'"), path)
+    return S.read_draws(f.spark, path)
+
+
 @query
 def draws_by_place(f: Frames) -> DataFrame:
     return I.attach_place(f.data.draws, f.ingest.dim)
@@ -326,6 +401,22 @@ def new_param_names(f: Frames) -> DataFrame:
     return D.new_names(draws, draws.where(F.col("idx") <= MODEL_PARAMS))
 
 
+def _chains(f: Frames) -> list[DataFrame]:
+    """The draws of the first three labels as chains of their own; the last lacks its last position."""
+    mine = [f.data.draws.where(F.col("chain") == c).drop("chain") for c in range(3)]
+    return [*mine[:2], mine[2].where("idx < 64")]
+
+
+@query
+def stack_chains(f: Frames) -> DataFrame:
+    return D.stack_chains(_chains(f))
+
+
+@query
+def names_missing_in_chains(f: Frames) -> DataFrame:
+    return D.names_missing_in_chains(D.stack_chains(_chains(f)))
+
+
 def _padded(f: Frames, mode: str) -> DataFrame:
     draws = f.data.draws
     model = draws.where(F.col("idx") <= MODEL_PARAMS)
@@ -370,7 +461,7 @@ def stack_sources(f: Frames) -> DataFrame:
 
 @query
 def cumulative_intervals(f: Frames) -> DataFrame:
-    asked = I.cumulative_intervals(f.data.predictive)
+    asked = I.cumulative_intervals(f.predicted)
     return rounded(asked, 6, "lower", "value", "upper")
 
 
@@ -405,15 +496,19 @@ def interval_to_quantile(f: Frames) -> DataFrame:
 
 @query
 def forecast_export(f: Frames) -> DataFrame:
+    """Only what the table shows is summarised: posterior draws, one width, and of the quantities Rₜ alone."""
     f.prepare()
-    dim = f.ingest.dim
+    dim, shown = f.ingest.dim, F.col("source") == "posterior"
 
-    def posterior(intervals: DataFrame) -> DataFrame:
-        return I.attach_place(intervals.where("source = 'posterior'"), dim).drop(
-            "place_id", "source"
-        )
+    def named(intervals: DataFrame) -> DataFrame:
+        return I.attach_place(intervals, dim).drop("place_id", "source")
 
-    rows = X.forecast_export(posterior(f.predictive), posterior(f.gq), f.ingest.init)
+    predictive = I.predictive_intervals(f.predicted.where(shown), f.calendar, [EXPORT_WIDTH])
+    rt = f.model.effective.where(shown).select(
+        *KEYS, F.lit(X.RT).alias("name"), "idx", F.col(X.RT).alias("value")
+    )
+    generated = I.gq_intervals(rt, f.calendar, [EXPORT_WIDTH])
+    rows = X.forecast_export(named(predictive), named(generated), f.ingest.init)
     return rounded(
         rows, 5, "hosp_census_with_covid", "icu", "cases", "deaths", "cumulative_deaths", "Rt"
     )
@@ -461,7 +556,7 @@ def link_functions(f: Frames) -> DataFrame:
 
 @query
 def centre_params(f: Frames) -> DataFrame:
-    return rounded(f.model.centred, 6, "value")
+    return rounded(M.centre_params(f.data.parameters, f.priors), 6, "value")
 
 
 @query
@@ -484,7 +579,7 @@ def initial_compartments(f: Frames) -> DataFrame:
 
 @query
 def increments(f: Frames) -> DataFrame:
-    asked = M.increments(f.data.compartments).select(*KEYS, "t", "new_C", "new_D")
+    asked = M.increments(f.packed).select(*KEYS, "t", "new_C", "new_D")
     return rounded(asked, 5, "new_C", "new_D")
 
 
@@ -499,28 +594,23 @@ def effective_r(f: Frames) -> DataFrame:
     return rounded(f.model.effective, 6, "R₀_t", "β_t", "Rₜ_t")
 
 
-def _beta_steps(f: Frames) -> DataFrame:
-    return f.model.walk.select(*KEYS, (F.col("idx") - 1).alias("t"), F.col("β_t").alias("value"))
-
-
 @query
 def step_param_lookup(f: Frames) -> DataFrame:
     """β in force at each state's week, from the weeks at which it changes."""
-    asked = f.data.compartments.select(*KEYS, "t")
-    return rounded(M.step_param_lookup(_beta_steps(f), asked), 6, "value")
+    return rounded(M.step_param_lookup(f.model.draws), 6, "value")
 
 
 @query
 def transition_flows(f: Frames) -> DataFrame:
     """Flows at each state, with the β in force in that week."""
-    states = M.step_param_lookup(_beta_steps(f), f.data.compartments, out="β")
-    shown = M.transition_flows(states, f.model.params)
+    shown = M.transition_flows(f.model.draws)
     return rounded(shown, 4, *[c for c in shown.columns if c not in (*KEYS, "t")])
 
 
 @query
 def nb_params(f: Frames) -> DataFrame:
-    return rounded(M.nb_params(f.model.stream_means), 5, "mu", "phi", "p", "r", "variance")
+    asked = rounded(M.nb_params(f.model.stream_means), 5, "mu", "phi", "p", "r")
+    return rounded(asked, 2, "variance")      # up to some millions
 
 
 @query
@@ -539,13 +629,13 @@ def log_moments(f: Frames) -> DataFrame:
 
 @query
 def dispersion_pivot(f: Frames) -> DataFrame:
-    shown = R.dispersion_pivot(R.log_moments(f.data.stream_draws, ["stream"]))
-    return rounded(shown, 6, *shown.columns)
+    shown = R.dispersion_pivot(f.moments, ["place_id"])
+    return rounded(shown, 6, *[c for c in shown.columns if c != "place_id"])
 
 
 @query
 def prior_quantiles(f: Frames) -> DataFrame:
-    return rounded(R.prior_quantiles(f.priors), 6, "value", "reciprocal")
+    return rounded(R.prior_quantiles(f.priors, ["place_id", "level"]), 6, "value", "reciprocal")
 
 
 @query

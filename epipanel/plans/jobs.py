@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..constants import SCALAR_LABELS, VECTOR_LABELS
 from ..operators import export as X
@@ -10,9 +11,10 @@ from ..operators import intervals as I
 from ..operators import panel as P
 from ..operators.draws import relabel, stack_sources
 from ..operators.horizon import forecast_calendar
+from ..operators.packed import unpack
 from ..session import remove_folders, stage, stages_removed
 from ..sources import readers as R
-from ..sources.sinks import write_report
+from ..sources.sinks import write_report, write_store
 from .surveillance import Surveillance
 
 # Names of the stored reports.
@@ -57,8 +59,8 @@ def ingest(
 
 
 def result_folders() -> list[str]:
-    """Draw folders and reports that follow from one panel."""
-    return [
+    """Draw folders, their store and the reports that follow from one panel."""
+    return [STORE] + [
         f"{kind}{source}_{what}"
         for source in SOURCES
         for kind, what in (
@@ -68,8 +70,24 @@ def result_folders() -> list[str]:
     ]
 
 
+STORE = "draw_store"
+KINDS = ("predictive", "generated_quantities")
+
+
+def store_draws(spark: SparkSession, results: str) -> None:
+    """The draw folders as a draw store: a row per draw, by kind, source and place.
+
+    The text files are parsed here once. A later fit of some places is added by
+    ``sinks.replace_places``.
+    """
+    for kind in KINDS:
+        both = [R.scan_packed_dir(spark, f"{results}/{source}_{kind}", source) for source in SOURCES]
+        write_store(both[0].unionByName(both[1]), f"{results}/{STORE}/{kind}")
+
+
 def tidy(spark: SparkSession, results: str, data: str) -> None:
     """Draw folders to interval reports: scalars, series and predictions per source."""
+    store_draws(spark, results)
     with stages_removed(spark):
         _tidy(spark, results, data)
 
@@ -77,14 +95,17 @@ def tidy(spark: SparkSession, results: str, data: str) -> None:
 def _tidy(spark: SparkSession, results: str, data: str) -> None:
     calendar = stage(forecast_calendar(R.read_panel(spark, f"{data}/{PANEL}", place="place")))
     dim = stage(R.read_place_dim(spark, f"{data}/{DIMENSION}", place="place"))
+    predicted, generated = (R.read_store(spark, f"{results}/{STORE}/{kind}") for kind in KINDS)
 
     def named(asked: DataFrame) -> DataFrame:
-        return I.attach_place(asked, dim).drop("place_id", "source")
+        return I.attach_place(asked, dim).drop("place_id")
 
+    # Both sources are summarised together; the reports part them.
+    asked = stage(named(I.gq_intervals(unpack(generated), calendar)))
+    forecast = stage(named(I.predictive_intervals(predicted, calendar)))
     for source in SOURCES:
-        folder = f"{results}/{source}_generated_quantities"
-        asked = named(stage(I.gq_intervals(R.scan_draw_dir(spark, folder, source), calendar)))
-        scalars, series = I.scalar_vector_split(asked)
+        mine = asked.where(F.col("source") == source).drop("source")
+        scalars, series = I.scalar_vector_split(mine)
         write_report(
             scalars.orderBy("place", "name", "width"),
             f"{results}/tidy_scalar_{source}_generated_quantities",
@@ -93,12 +114,9 @@ def _tidy(spark: SparkSession, results: str, data: str) -> None:
             series.orderBy("place", "name", "date", "width"),
             f"{results}/tidy_vector_{source}_generated_quantities",
         )
-        folder = f"{results}/{source}_predictive"
-        asked = named(
-            I.predictive_intervals(R.scan_draw_dir(spark, folder, source), calendar)
-        )
         write_report(
-            asked.orderBy("place", "name", "date", "width"), f"{results}/tidy_{source}_predictive"
+            forecast.where(F.col("source") == source).drop("source").orderBy("place", "name", "date", "width"),
+            f"{results}/tidy_{source}_predictive",
         )
 
 

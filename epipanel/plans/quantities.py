@@ -5,13 +5,14 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import cached_property
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..constants import COMPARTMENTS, PARAMETER_NAMES, STREAMS
 from ..operators import model_tables as M
-from ..operators.draws import DRAW_KEYS, long_to_wide, wide_to_long
+from ..operators.draws import DRAW_KEYS, wide_to_long
 from ..operators.horizon import OBSERVED
+from ..operators.packed import let
 from ..session import stage
 
 # Scalar quantities of a record, in order.
@@ -26,40 +27,43 @@ MEANS = ("hospitalizations_mean", "new_cases_mean", "icu_mean", "new_deaths_mean
 
 
 class Quantities:
-    """Lazy frames of the draw-level job over all places and draws."""
-
-    def __init__(
-        self,
-        parameters: DataFrame,
-        priors: DataFrame,
-        walk_steps: DataFrame,
-        compartments: DataFrame,
-        dim: DataFrame,
-    ):
-        self.parameters, self.priors, self.walk_steps = parameters, priors, walk_steps
-        self.compartments, self.dim = compartments, dim
+    """Lazy frames of the draw-level job over all places and draws.
+
+    ``packed`` has a row per draw (``packed.pack_model`` or the draw store), so
+    everything but the likelihood's join with the observations is told from one
+    row at a time.
+    """
+
+    def __init__(self, packed: DataFrame, priors: DataFrame, dim: DataFrame):
+        self.packed, self.priors, self.dim = packed, priors, dim
+
+    @cached_property
+    def draws(self) -> DataFrame:
+        """The packed draws with centred parameters, rates and durations, stored."""
+        return stage(M.with_rates(M.centre_packed(self.packed, self.priors)))
 
     @cached_property
     def centred(self) -> DataFrame:
-        return M.centre_params(self.parameters, self.priors)
+        """(draw, name, value) of the centred parameters."""
+        rows = M.centre_packed(self.packed, self.priors)
+        return rows.select(*DRAW_KEYS, F.explode("params").alias("name", "value"))
 
     @cached_property
     def params(self) -> DataFrame:
-        """One row per draw, stored; a draw's rows combine map-side before they move."""
-        wide = long_to_wide(self.centred, DRAW_KEYS, PARAMETER_NAMES)
-        return stage(M.rates_and_days(wide))
+        """One row per draw and one column per parameter, rate and duration."""
+        return M.params_wide(self.draws, [*PARAMETER_NAMES, *M.RATES, *[f"{d}_days" for d in M.DURATIONS]])
 
     @cached_property
     def walk(self) -> DataFrame:
-        return M.log_random_walk(self.walk_steps, self.params)
+        return M.log_random_walk(self.draws)
 
     @cached_property
     def effective(self) -> DataFrame:
-        return M.effective_r(self.compartments, self.walk, self.dim)
+        return M.effective_r(self.draws, self.dim)
 
     @cached_property
     def means(self) -> DataFrame:
-        return M.expected_observations(self.compartments, self.params, self.dim)
+        return M.expected_observations(self.draws, self.dim)
 
     @cached_property
     def means_long(self) -> DataFrame:
@@ -67,10 +71,8 @@ class Quantities:
 
     @cached_property
     def stream_means(self) -> DataFrame:
-        """(draw, t, stream, mu, phi): means and dispersions come from one join."""
-        beside = M.expected_observations(
-            self.compartments, self.params, self.dim, carry=[phi for _, _, _, phi in STREAMS]
-        )
+        """(draw, t, stream, mu, phi)."""
+        beside = M.expected_observations(self.draws, self.dim, carry=[phi for _, _, _, phi in STREAMS])
         rows = [
             F.struct(
                 F.lit(stream).alias("stream"), F.col(mean).alias("mu"), F.col(phi).alias("phi")
@@ -80,61 +82,39 @@ class Quantities:
         return beside.select(*DRAW_KEYS, "t", F.inline(F.array(*rows)))
 
     @cached_property
-    def weeks(self) -> DataFrame:
-        """A row per draw and stored week with its states, β, R₀, Rₜ and means.
-
-        States, steps and parameters are each read and joined once; the path
-        and the weekly changes share one window over the weeks of a draw.
-        """
-        steps = self.walk_steps.select(*DRAW_KEYS, F.col("idx").alias("t"), F.col("value").alias("_step"))
-        beside = self.params.select(
-            *DRAW_KEYS, "R₀_init", "σ_R₀", "ν", "case_detection_rate", "death_detection_rate"
-        )
-        joined = self.compartments.join(steps, [*DRAW_KEYS, "t"], "left").join(beside, list(DRAW_KEYS))
-        by_week = Window.partitionBy(*DRAW_KEYS).orderBy("t")
-        upto = by_week.rowsBetween(Window.unboundedPreceding, 0)
-        paths = joined.withColumns(
-            {
-                "_walked": F.sum(F.coalesce("_step", F.lit(0.0))).over(upto),
-                "new_C": F.col("C") - F.lag("C").over(by_week),
-                "new_D": F.col("D") - F.lag("D").over(by_week),
-                "later": F.lag("t").over(by_week).isNotNull(),
-            }
-        ).withColumns(
-            {
-                "on_path": (F.col("t") == 0) | F.col("_step").isNotNull(),
-                "R₀_t": F.exp(F.ln("R₀_init") + F.col("_walked") * F.col("σ_R₀")),
-            }
-        )
+    def generated(self) -> DataFrame:
+        """(draw, name, idx, value) of all scalars, series, compartments and means, told from each draw's row."""
         sizes = self.dim.select(F.col("id").alias("place_id"), F.col("population").cast("double").alias("_size"))
-        return M.with_means(paths.join(sizes, "place_id"), F.col("_size")).withColumns(
-            {"β_t": F.col("R₀_t") * F.col("ν"), "Rₜ_t": F.col("R₀_t") * F.col("S") / F.col("_size")}
-        )
 
-    @cached_property
-    def generated(self) -> DataFrame:
-        """(draw, name, idx, value) of all scalars, series, compartments, means."""
-        scalars = wide_to_long(
-            self.params, DRAW_KEYS, SCALARS
-        ).withColumn("idx", F.lit(None).cast("int"))
-
-        def entries(names: Sequence[str], idx: Column, present: Column) -> list[Column]:
-            return [
-                F.when(
-                    present,
-                    F.struct(F.lit(n).alias("name"), idx.cast("int").alias("idx"), F.col(n).alias("value")),
-                )
-                for n in names
-            ]
-
-        t = F.col("t")
-        all_entries = F.array(
-            *entries(SERIES, t + 1, F.col("on_path")),
-            *entries(COMPARTMENTS, t + 1, F.lit(True)),
-            *entries(MEANS, t, F.col("later")),
+        def entry(name: str, idx: Column, value: Column) -> Column:
+            return F.struct(F.lit(name).alias("name"), idx.cast("int").alias("idx"), value.alias("value"))
+
+        scalars = F.array(*[entry(n, F.lit(None), M.param(n)) for n in SCALARS])
+        susceptible = F.map_from_entries(F.transform("states", lambda s: F.struct((s["t"] + 1).alias("i"), s["S"].alias("S"))))
+
+        def on_path(p: Column) -> Column:
+            rt = p["R₀_t"] * F.try_element_at("_s", p["idx"]) / F.col("_size")
+            values = {"β_t": p["β_t"], "R₀_t": p["R₀_t"], "Rₜ_t": rt}
+            return F.array(*[entry(n, p["idx"], values[n]) for n in SERIES])
+
+        def in_week(w: Column) -> Column:
+            means = M.means_of(w, M.param("case_detection_rate"), M.param("death_detection_rate"), F.col("_size"))
+            states = [entry(c, w["t"] + 1, w[c]) for c in COMPARTMENTS]
+            later = [entry(n, w["t"], v) for n, v in zip(MEANS, means)]
+            # The first stored week has no change, so no means.
+            return F.when(w["new"], F.array(*states, *later)).otherwise(F.array(*states))
+
+        rows = self.draws.join(sizes, "place_id").withColumn("_s", susceptible)
+        path = F.filter(M.walked(), lambda p: F.map_contains_key("_s", p["idx"]))
+        weeks = let(M.changes(), lambda all_: F.transform(all_, lambda w, i: in_week(_marked(w, i > 0))))
+        return rows.select(
+            *DRAW_KEYS, F.inline(F.concat(scalars, F.flatten(F.transform(path, on_path)), F.flatten(weeks)))
         )
-        series = self.weeks.select(*DRAW_KEYS, F.inline(F.filter(all_entries, lambda e: e.isNotNull())))
-        return scalars.select(*DRAW_KEYS, "name", "idx", "value").unionByName(series)
+
+
+def _marked(week: Column, new: Column) -> Column:
+    fields = ("t", *COMPARTMENTS, "new_C", "new_D")
+    return F.struct(*[week[f].alias(f) for f in fields], new.alias("new"))
 
 
 def observed_streams(panel: DataFrame, dim: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import cached_property
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 from ..operators import panel as P
@@ -50,17 +50,27 @@ class Surveillance:
         """Reported share by days of delay, stored: the events are read once."""
         return stage(P.delay_ecdf(self.delay_events))
 
+    @cached_property
+    def bounds(self) -> Row:
+        """latest_date, first_date, last_date and first_day, the first one with data: one row, told once.
+
+        As literals they prune the place-days, where subqueries would each be a
+        job in every plan that names them.
+        """
+        window = self.window
+        first = P.in_reporting_window(self.daily.select("date"), window).agg(F.min("date"))
+        return window.withColumn("first_day", first.scalar()).first()
+
     @cached_property
     def corrected(self) -> DataFrame:
-        together(lambda: self.daily, lambda: self.ecdf)
-        latest = self.window.select("latest_date").scalar()
-        inside = P.in_reporting_window(self.daily, self.window)
-        return P.delay_correct(inside, latest, self.ecdf)
+        together(lambda: self.bounds, lambda: self.ecdf)
+        ends = self.bounds
+        inside = P.filter_date_range(self.daily, F.lit(ends.first_date), F.lit(ends.last_date))
+        return P.delay_correct(inside, F.lit(ends.latest_date).cast("date"), self.ecdf)
 
     @cached_property
     def weekly(self) -> DataFrame:
-        inside = P.in_reporting_window(self.daily.select("date"), self.window)
-        return P.weekly_panel(self.corrected, inside.agg(F.min("date").alias("d")).scalar())
+        return P.weekly_panel(self.corrected, F.lit(self.bounds.first_day).cast("date"))
 
     @cached_property
     def rolled(self) -> DataFrame:

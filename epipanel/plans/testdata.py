@@ -21,6 +21,9 @@ WEEKS_PREDICTED = 16
 STATES = 8          # weeks of compartments, from week 0
 STEPS = 6           # random-walk steps
 # event_type that stands for each dispersion stream
+PRIOR_PLACES = (1, 2, 27, 31)    # places, a region and the state whose dispersions are fitted
+MISSING_STEP = (89, 3)           # every so many draws lack this step of the walk
+MISSING_CENSUS = (97, 5)         # every so many draws lack the census of this week
 EVENT_STREAMS = {"click": "cases", "view": "cases", "error": "hospitalized", "purchase": "icu", "signup": "deaths"}
 
 
@@ -167,11 +170,22 @@ class TestData:
 
     @cached_property
     def walk_steps(self) -> DataFrame:
-        """Random-walk increments, from the positions after the parameters."""
+        """Random-walk increments, from the positions after the parameters; some draws lack one."""
+        every, lacking = MISSING_STEP
+        known = (F.col("iteration") % every != 0) | (F.col("idx") != lacking)
         return self.draw_records.select(
             *DRAW_KEYS,
             F.posexplode(F.slice("z", len(PARAMETER_NAMES) + 1, STEPS)).alias("_at", "value"),
-        ).select(*DRAW_KEYS, (F.col("_at") + 1).alias("idx"), (F.col("value") * 8).alias("value"))
+        ).select(*DRAW_KEYS, (F.col("_at") + 1).alias("idx"), (F.col("value") * 8).alias("value")).withColumn(
+            "value", F.when(known, F.col("value"))
+        )
+
+    @cached_property
+    def predictive_wide(self) -> DataFrame:
+        """Predictive draws as their files have them: a row per draw, a column per stream and week."""
+        names = [f"data_{s[0]}[{w}]" for s in STREAMS for w in range(1, WEEKS_PREDICTED + 1)]
+        values = [F.floor(F.exp(F.element_at("z", i) * 4 + 3)).cast("double") for i in range(1, len(names) + 1)]
+        return self.draw_records.select(*DRAW_KEYS, *[v.alias(n) for v, n in zip(values, names)])
 
     @cached_property
     def predictive(self) -> DataFrame:
@@ -189,7 +203,7 @@ class TestData:
 
     @cached_property
     def compartments(self) -> DataFrame:
-        """Compartments of each draw and week; C and D accumulate."""
+        """Compartments of each draw and week; C and D accumulate. Some draws lack a week's census."""
         weeks = self.draw_records.select(
             *DRAW_KEYS, "z", F.explode(F.sequence(F.lit(0), F.lit(STATES - 1))).alias("t")
         )
@@ -204,9 +218,11 @@ class TestData:
                 return F.aggregate(upto, F.lit(0.0), lambda acc, x: acc + level(x))
             return level(F.element_at("z", F.col("t") + start))
 
+        every, lacking = MISSING_CENSUS
+        known = (F.col("iteration") % every != 0) | (F.col("t") != lacking)
         return weeks.select(
             *DRAW_KEYS, "t", *[at(i).alias(c) for i, c in enumerate(COMPARTMENTS)]
-        )
+        ).withColumn("H", F.when(known, F.col("H")))
 
     @cached_property
     def shape_draws(self) -> DataFrame:
@@ -214,12 +230,17 @@ class TestData:
 
     @cached_property
     def stream_draws(self) -> DataFrame:
-        """Shape draws under the dispersion streams they stand for."""
+        """(place_id, stream, value): shape draws under the places and streams they stand for.
+
+        The first two places have none of deaths.
+        """
         stream = F.coalesce(
             *[F.when(F.col("event_type") == e, F.lit(s)) for e, s in EVENT_STREAMS.items()]
         )
-        return self.table("events").select(stream.alias("stream"), "value").where(
-            F.col("stream").isNotNull()
+        places = F.array(*[F.lit(p) for p in PRIOR_PLACES])
+        place = F.element_at(places, (F.col("user_id") % len(PRIOR_PLACES)).cast("int") + 1)
+        return self.table("events").select(place.alias("place_id"), stream.alias("stream"), "value").where(
+            F.col("stream").isNotNull() & ((F.col("stream") != "deaths") | (F.col("place_id") > PRIOR_PLACES[1]))
         )
 
     @cached_property

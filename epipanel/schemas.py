@@ -19,9 +19,19 @@ WEEKLY_PANEL = (
     "est_cases double, est_deaths double, cumulative_deaths double, hospitalized double, icu double"
 )
 PRIORS = "name string, link string, mean double, sd double"
+DISPERSIONS = "place_id int, stream string, mean double, sd double"
 DRAWS = (
     "place_id int, source string, chain int, iteration int, name string, idx int, value double"
 )
+PACKED_DRAWS = (
+    "place_id int, source string, chain int, iteration int, "
+    "entries array<struct<name:string,idx:int,value:double>>"
+)
+PACKED_MODEL = (
+    "place_id int, source string, chain int, iteration int, params map<string,double>, "
+    "steps array<struct<idx:int,value:double>>, "
+    "states array<struct<t:int,S:double,E:double,I:double,H:double,R:double,C:double,ICU:double,D:double>>"
+)
 INTERVALS = (
     "place string, name string, date date, width double, lower double, value double, upper double"
 )

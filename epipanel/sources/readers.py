@@ -11,10 +11,12 @@ from pyspark.sql import types as T
 
 from .. import schemas
 from ..operators.draws import wide_to_long
+from ..operators.packed import pack_wide
 from ..operators.panel import clean_census_feed, clean_place_feed
 
-# Fixed value: how a place id stands in the name of a draw file.
+# How a place id stands in the name of a draw file and of a file of dispersions.
 PLACE_IN_PATH = r"county_id=(\d+)"
+PLACE_IN_PRIORS = r"countyid=(\d+)"
 # Fixed value: how a missing value is written in the CSV files.
 MISSING = "NA"
 
@@ -120,6 +122,32 @@ def scan_draw_dir(spark: SparkSession, path: str, source: str) -> DataFrame:
     return reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], schemas.DRAWS)
 
 
+def scan_packed_dir(spark: SparkSession, path: str, source: str) -> DataFrame:
+    """All wide draw files of a folder as packed draws: a line of a file is a draw, so nothing moves."""
+    parts = [pack_wide(w, DRAW_ID) for w in scan_wide_parts(spark, path, source)]
+    return reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], schemas.PACKED_DRAWS)
+
+
+def read_dispersions(spark: SparkSession, path: str) -> DataFrame:
+    """(place_id, stream, mean, sd) from the files of a folder; the place stands in each path, as countyid=N."""
+    parts = [
+        part.select(
+            F.regexp_extract("_metadata.file_path", PLACE_IN_PRIORS, 1).cast("int").alias("place_id"),
+            F.col("datastream").alias("stream"), F.col("mean").cast("double").alias("mean"), F.col("sd").cast("double").alias("sd"),
+        )
+        for part in csv_parts(spark, path)
+    ]
+    return reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], schemas.DISPERSIONS)
+
+
+def read_store(spark: SparkSession, path: str, schema: str = schemas.PACKED_DRAWS) -> DataFrame:
+    """A draw store; source and place_id are partitions and prune the scan.
+
+    ``schema`` may be ``schemas.PACKED_MODEL`` for a store of model draws.
+    """
+    return spark.read.schema(schema).parquet(path).select(*T.StructType.fromDDL(schema).names)
+
+
 # Names of interval columns in reports that other tools write.
 INTERVAL_NAMES = {"place": "county", "lower": ".lower", "upper": ".upper", "width": ".width"}
 

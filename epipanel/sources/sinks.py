@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .readers import MISSING
 
@@ -18,6 +19,15 @@ def write_draws(df: DataFrame, path: str) -> None:
     _partitioned(df).mode("overwrite").parquet(path)
 
 
+def write_store(packed: DataFrame, path: str) -> None:
+    """Packed draws, a row each, as the draw store: parquet by source and place, replacing the path.
+
+    All of a draw stands in its row, so what joins parameters, steps and states
+    elsewhere reads one scan of the store, and source and place prune it.
+    """
+    _partitioned(packed).mode("overwrite").parquet(path)
+
+
 def replace_places(df: DataFrame, path: str) -> None:
     """Replace only the sources and places present in ``df``."""
     _partitioned(df).mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path)
@@ -39,3 +49,10 @@ def write_report(df: DataFrame, path: str) -> None:
     run time; a large one keeps several.
     """
     df.write.mode("overwrite").option("header", True).option("nullValue", MISSING).csv(path)
+
+
+def write_dispersions(moments: DataFrame, path: str) -> None:
+    """Fitted dispersions (place_id, stream, mean, sd) as CSV files of their places, as other tools read them."""
+    moments.select(
+        F.col("place_id").alias("countyid"), F.col("stream").alias("datastream"), "mean", "sd"
+    ).write.partitionBy("countyid").mode("overwrite").option("header", True).option("nullValue", MISSING).csv(path)

@@ -52,8 +52,10 @@ QUERIES["census_select"] = "SELECT place, date, hospitalized, icu FROM fx_census
 QUERIES["read_place_daily"] = QUERIES["place_daily_clean"]
 QUERIES["read_census"] = QUERIES["census_select"]
 QUERIES["scan_draw_dir"] = f"""
-  SELECT {KEYS}, name, idx, value FROM draws
-  WHERE source = 'posterior' AND NOT (place_id = 5 AND idx = 64)"""
+  SELECT {KEYS}, name, idx, value FROM draws WHERE NOT (place_id = 5 AND idx = 64)"""
+QUERIES["draw_store"] = f"""
+  SELECT {KEYS}, name, idx, value + CASE WHEN place_id = 2 THEN 1 ELSE 0 END AS value
+  FROM predictive WHERE source = 'posterior'"""
 
 PARTS["unfilled"] = """
   SELECT COALESCE(a.place, b.place) AS place, COALESCE(a.date, b.date) AS date,
@@ -109,9 +111,10 @@ PARTS["ages"] = "SELECT CAST(range AS BIGINT) AS age FROM range(0, 4000)"
 PARTS["age_shares"] = f"""
   SELECT age, {_share('cases', 'age')} AS f_cases, {_share('deaths', 'age + 4')} AS f_deaths FROM ages"""
 QUERIES["ecdf_lookup"] = """
-  SELECT place, date, CAST(age AS INTEGER) AS days_ago,
+  SELECT place, date, CAST(date_diff('day', date, latest_date) AS INTEGER) AS days_ago,
          ROUND(f_cases, 9) AS f_cases, ROUND(f_deaths, 9) AS f_deaths
-  FROM fx_cases, latest JOIN age_shares ON age = date_diff('day', date, latest_date)"""
+  FROM (SELECT place, CASE WHEN day(date) <> 13 THEN date END AS date, latest_date FROM fx_cases, latest)
+  LEFT JOIN age_shares ON age = date_diff('day', date, latest_date)"""
 
 PARTS["corrected"] = """
   SELECT f.*, CAST(age AS INTEGER) AS days_ago,
@@ -240,6 +243,52 @@ QUERIES["nb_dispersion"] = """
                                          ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS m FROM series)
         GROUP BY place, name)"""
 
+# Digamma and trigamma by their series at x + 8, shifted back.
+_DIGAMMA = ("(LN({0} + 8) - 0.5 / ({0} + 8) - 1.0::DOUBLE / 12 / ({0} + 8)^2 + 1.0::DOUBLE / 120 / ({0} + 8)^4"
+            " - 1.0::DOUBLE / 252 / ({0} + 8)^6 + 1.0::DOUBLE / 240 / ({0} + 8)^8 - 1.0::DOUBLE / 132 / ({0} + 8)^10"
+            + "".join(f" - 1.0::DOUBLE / ({{0}} + {i})" for i in range(8)) + ")")
+_TRIGAMMA = ("(1.0::DOUBLE / ({0} + 8) + 0.5 / ({0} + 8)^2 + 1.0::DOUBLE / 6 / ({0} + 8)^3 - 1.0::DOUBLE / 30 / ({0} + 8)^5"
+             " + 1.0::DOUBLE / 42 / ({0} + 8)^7 - 1.0::DOUBLE / 30 / ({0} + 8)^9 + 5.0::DOUBLE / 66 / ({0} + 8)^11"
+             + "".join(f" + 1.0::DOUBLE / ({{0}} + {i})^2" for i in range(8)) + ")")
+_FIRST = f"{_DIGAMMA.format('(k + phi)')} - {_DIGAMMA.format('phi')} + LN(phi) + 1 - LN(phi + m) - (k + phi) / (phi + m)"
+_SECOND = f"{_TRIGAMMA.format('(k + phi)')} - {_TRIGAMMA.format('phi')} + 1 / phi - 2 / (phi + m) + (k + phi) / (phi + m)^2"
+PARTS["smoothed"] = """
+  SELECT place, name, value AS k, m
+  FROM (SELECT *, AVG(value) OVER (PARTITION BY place, name ORDER BY time
+                                   ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS m FROM series) WHERE m > 0"""
+QUERIES["nb_dispersion_ml"] = f"""
+  WITH RECURSIVE newton(place, name, turn, phi) AS (
+    SELECT place, name, 0, CASE WHEN s2 - mu > 0 THEN LEAST(mu * mu / (s2 - mu), 1e6) ELSE 1e3 END
+    FROM (SELECT place, name, AVG(m) AS mu, AVG((k - m) * (k - m)) AS s2 FROM smoothed GROUP BY place, name)
+    UNION ALL
+    SELECT place, name, turn + 1,
+           phi * EXP(LEAST(GREATEST(CASE WHEN phi * phi * b + phi * a < 0 THEN -phi * a / (phi * phi * b + phi * a)
+                                         ELSE SIGN(a) * 1.5 END, -1.5), 1.5))
+    FROM (SELECT place, name, turn, phi, SUM({_FIRST}) AS a, SUM({_SECOND}) AS b
+          FROM newton JOIN smoothed USING (place, name) WHERE turn < 30 GROUP BY place, name, turn, phi))
+  SELECT place, name, n, ROUND(mu, 4) AS mu, CASE WHEN rises > 0 THEN ROUND(phi, 4) END AS phi,
+         CASE WHEN rises > 0 THEN ROUND(ll, 4) END AS log_likelihood
+  FROM (SELECT place, name, phi, COUNT(*) AS n, AVG(m) AS mu, SUM((k - m) * (k - m) - k) AS rises,
+               SUM(LGAMMA(k + phi) - LGAMMA(phi) - LGAMMA(k + 1) + phi * LN(phi / (phi + m)) + k * LN(m / (phi + m))) AS ll
+        FROM newton JOIN smoothed USING (place, name) WHERE turn = 30 GROUP BY place, name, phi)"""
+QUERIES["place_dictionary"] = """
+  WITH first AS (SELECT * FROM fx_population WHERE population % 2 = 0),
+  known AS (
+    SELECT ROW_NUMBER() OVER (ORDER BY o, place) AS id, o, place
+    FROM (SELECT 0 AS o, place FROM first
+          UNION ALL SELECT DISTINCT 1, region FROM first LEFT JOIN fx_region USING (place)
+          UNION ALL SELECT DISTINCT 2, 'Nations' FROM first)),
+  added AS (
+    SELECT ROW_NUMBER() OVER (ORDER BY o, place) + (SELECT MAX(id) FROM known) AS id, o, place
+    FROM (SELECT CASE level WHEN 'place' THEN 0 WHEN 'region' THEN 1 ELSE 2 END AS o, place FROM dim) a
+    ANTI JOIN known USING (o, place))
+  SELECT CAST(id AS INTEGER) AS id, ['place', 'region', 'state'][o + 1] AS level, place
+  FROM (SELECT * FROM known UNION ALL SELECT * FROM added)"""
+QUERIES["read_dims"] = """
+  SELECT place, dim.id, dim.population, region, H, ICU, D, remaining_population
+  FROM dim LEFT JOIN fx_region USING (place) LEFT JOIN init USING (place)"""
+QUERIES["write_report"] = f"SELECT {_PANEL} FROM panel"
+
 # ---------------------------------------------------------------- draws
 
 PARTS["records"] = """
@@ -265,7 +314,8 @@ PARAMETERS = (
 PARTS["parameters"] = f"""
   SELECT {KEYS}, {list(PARAMETERS)!r}[idx] AS name, value FROM draws WHERE idx <= {len(PARAMETERS)}"""
 PARTS["steps"] = f"""
-  SELECT {KEYS}, idx - {len(PARAMETERS)} AS idx, value * 8 AS value
+  SELECT {KEYS}, idx - {len(PARAMETERS)} AS idx,
+         CASE WHEN iteration % 89 <> 0 OR idx <> {len(PARAMETERS) + 3} THEN value * 8 END AS value
   FROM draws WHERE idx BETWEEN {len(PARAMETERS) + 1} AND {len(PARAMETERS) + 6}"""
 PARTS["predictive"] = f"""
   SELECT {KEYS}, ['new_cases', 'new_deaths', 'hospitalizations', 'icu'][(idx - 1) // 16 + 1] AS name,
@@ -279,6 +329,14 @@ QUERIES["flatten_record"] = f"""
          CAST(CASE WHEN idx = 1 THEN NULL WHEN idx <= 32 THEN idx - 1 ELSE idx - 32 END AS INTEGER) AS idx, value
   FROM draws"""
 QUERIES["reorder_vars"] = f"SELECT {KEYS}, name, idx, value, CAST(65 - idx AS INTEGER) AS pos FROM draws"
+QUERIES["refresh_results"] = f"SELECT {KEYS}, name, idx, value FROM draws WHERE source = 'posterior'"
+PARTS["chained"] = """
+  SELECT place_id, source, chain + 1 AS chain, iteration, name, idx, value
+  FROM draws WHERE chain < 2 OR (chain = 2 AND idx < 64)"""
+QUERIES["stack_chains"] = f"SELECT {KEYS}, name, idx, value FROM chained"
+QUERIES["names_missing_in_chains"] = """
+  SELECT name, idx, COUNT(DISTINCT chain) AS n_chains FROM chained GROUP BY name, idx
+  HAVING COUNT(DISTINCT chain) < (SELECT COUNT(DISTINCT chain) FROM chained)"""
 QUERIES["new_param_names"] = """
   SELECT DISTINCT name, idx FROM draws
   EXCEPT SELECT DISTINCT name, idx FROM draws WHERE idx <= 52"""
@@ -342,12 +400,28 @@ QUERIES["stack_sources"] = f"""
 # ---------------------------------------------------------------- draw-table algebra
 
 PARTS["stream_moments"] = """
-  SELECT stream, AVG(LN(value)) AS mean, STDDEV_SAMP(LN(value)) AS sd
-  FROM (SELECT CASE event_type WHEN 'click' THEN 'cases' WHEN 'view' THEN 'cases' WHEN 'error' THEN 'hospitalized'
+  SELECT place_id, stream, AVG(LN(value)) AS mean, STDDEV_SAMP(LN(value)) AS sd
+  FROM (SELECT CAST([1, 2, 27, 31][user_id % 4 + 1] AS INTEGER) AS place_id,
+               CASE event_type WHEN 'click' THEN 'cases' WHEN 'view' THEN 'cases' WHEN 'error' THEN 'hospitalized'
                                WHEN 'purchase' THEN 'icu' WHEN 'signup' THEN 'deaths' END AS stream, value
-        FROM events WHERE value > 0) WHERE stream IS NOT NULL GROUP BY stream"""
+        FROM events WHERE value > 0)
+  WHERE stream IS NOT NULL AND (stream <> 'deaths' OR place_id > 2) GROUP BY place_id, stream"""
+PARTS["ladder"] = """
+  SELECT id AS place_id, 0 AS rank, level, id AS from_id FROM dim
+  UNION ALL
+  SELECT p.id, 1, 'region', r.id
+  FROM dim p JOIN fx_region k ON p.place = k.place JOIN dim r ON r.level = 'region' AND r.place = k.region
+  WHERE p.level = 'place'
+  UNION ALL
+  SELECT p.id, 2, 'state', s.id FROM dim p JOIN dim s ON s.level = 'state' WHERE p.level <> 'state'"""
+PARTS["fitted"] = """
+  SELECT l.place_id, CASE stream WHEN 'cases' THEN 'ϕ_cases' WHEN 'hospitalized' THEN 'ϕ_hosp'
+                                 WHEN 'icu' THEN 'ϕ_icu' ELSE 'ϕ_deaths' END AS name, mean, sd, level
+  FROM ladder l JOIN stream_moments m ON m.place_id = l.from_id
+  WHERE mean IS NOT NULL AND sd IS NOT NULL
+  QUALIFY ROW_NUMBER() OVER (PARTITION BY l.place_id, stream ORDER BY rank) = 1"""
 PARTS["priors"] = """
-  SELECT * FROM (VALUES
+  SELECT id AS place_id, name, link, mean, sd, 'fixed' AS level FROM dim, (VALUES
     ('R₀_init', 'exp', 0.2::DOUBLE, 0.2::DOUBLE),
     ('σ_R₀', 'exp', -3.0, 0.2),
     ('case_detection_rate', 'logistic', -2.9, 0.3),
@@ -364,15 +438,13 @@ PARTS["priors"] = """
     ('I_init_prop', 'logistic', -LN(1 / 0.0075::DOUBLE - 1), 0.6),
     ('R_init_prop', 'logistic', -LN(1 / 0.1::DOUBLE - 1), 0.5)) t(name, link, mean, sd)
   UNION ALL
-  SELECT CASE stream WHEN 'cases' THEN 'ϕ_cases' WHEN 'hospitalized' THEN 'ϕ_hosp'
-                     WHEN 'icu' THEN 'ϕ_icu' ELSE 'ϕ_deaths' END, 'exp', mean, sd
-  FROM stream_moments"""
+  SELECT place_id, name, 'exp', mean, sd, level FROM fitted"""
 PARTS["centred"] = f"""
   SELECT {KEYS}, p.name,
          CASE WHEN link = 'logistic' THEN 1 / (1 + EXP(-(value * sd + mean)))
               WHEN p.name LIKE 'ϕ%' THEN LEAST(GREATEST(EXP(value * sd + mean), 1e-10), 1e10)
               ELSE EXP(value * sd + mean) END AS value
-  FROM parameters p JOIN priors USING (name)"""
+  FROM parameters p JOIN priors USING (place_id, name)"""
 QUERIES["centre_params"] = f"SELECT {KEYS}, name, ROUND(value, 6) AS value FROM centred"
 PARTS["params"] = f"""
   SELECT *, 1 / dur_latent AS "γ", 1 / dur_infectious AS "ν", 1 / dur_hospitalized AS "η",
@@ -398,7 +470,8 @@ _COMPARTMENTS = ("S", "E", "I", "H", "R", "C", "ICU", "D")
 def _level(k: int, c: str) -> str:
     if c in ("C", "D"):
         return f'list_sum(list_transform(z[{k * 8 + 1}:{k * 8 + 1} + t], lambda x: EXP(x * 4 + 8))) AS "{c}"'
-    return f'EXP(z[{k * 8 + 1} + t] * 4 + 8) AS "{c}"'
+    known = "CASE WHEN iteration % 97 <> 0 OR t <> 5 THEN {} END" if c == "H" else "{}"
+    return known.format(f"EXP(z[{k * 8 + 1} + t] * 4 + 8)") + f' AS "{c}"'
 
 
 PARTS["states"] = f"""
@@ -407,8 +480,9 @@ PARTS["states"] = f"""
 PARTS["walk"] = f"""
   SELECT {KEYS}, CAST(s.idx + 1 AS INTEGER) AS idx,
          EXP(LN("R₀_init") + total * "σ_R₀") AS "R₀_t", EXP(LN("R₀_init") + total * "σ_R₀") * "ν" AS "β_t"
-  FROM (SELECT {KEYS}, idx, SUM(value) OVER (PARTITION BY {KEYS} ORDER BY idx) AS total
-        FROM (SELECT * FROM steps UNION ALL SELECT {KEYS}, 0, 0.0 FROM records)) s
+  FROM (SELECT {KEYS}, idx, CASE WHEN COUNT(value) OVER w = COUNT(*) OVER w THEN SUM(value) OVER w END AS total
+        FROM (SELECT * FROM steps UNION ALL SELECT {KEYS}, 0, 0.0 FROM records)
+        WINDOW w AS (PARTITION BY {KEYS} ORDER BY idx)) s
   JOIN params USING ({KEYS})"""
 QUERIES["log_random_walk"] = f"SELECT {KEYS}, idx, {rounded(('R₀_t', 'β_t'), 6)} FROM walk"
 PARTS["initial_states"] = f"""
@@ -427,9 +501,9 @@ PARTS["new_counts"] = f"""
 QUERIES["increments"] = f"""SELECT {KEYS}, t, {rounded(('new_C', 'new_D'), 5)} FROM new_counts"""
 PARTS["means"] = f"""
   SELECT {KEYS}, t,
-         LEAST(GREATEST(H, 1e-4), population) AS hospitalizations_mean,
+         CASE WHEN H IS NOT NULL THEN LEAST(GREATEST(H, 1e-4), population) END AS hospitalizations_mean,
          LEAST(GREATEST("new_C" * case_detection_rate, 1e-4), population) AS new_cases_mean,
-         LEAST(GREATEST(ICU, 1e-4), population) AS icu_mean,
+         CASE WHEN ICU IS NOT NULL THEN LEAST(GREATEST(ICU, 1e-4), population) END AS icu_mean,
          LEAST(GREATEST("new_D" * death_detection_rate, 1e-4), population) AS new_deaths_mean
   FROM new_counts JOIN params USING ({KEYS}) JOIN dim ON dim.id = place_id"""
 _MEANS = ("hospitalizations_mean", "new_cases_mean", "icu_mean", "new_deaths_mean")
@@ -470,18 +544,18 @@ PARTS["stream_means"] = " UNION ALL ".join(
 )
 QUERIES["nb_params"] = f"""
   SELECT {KEYS}, t, stream, ROUND(mu, 5) AS mu, ROUND(phi, 5) AS phi, ROUND(1 / (1 + mu / phi), 5) AS p,
-         ROUND(phi, 5) AS r, ROUND(mu + mu * mu / phi, 5) AS variance
+         ROUND(phi, 5) AS r, ROUND(mu + mu * mu / phi, 2) AS variance
   FROM stream_means"""
 PARTS["observed"] = " UNION ALL ".join(
     f"SELECT id AS place_id, '{s}' AS stream, time AS t, {c} AS k FROM panel JOIN dim USING (place)"
     for s, c, _ in _STREAMS
 )
 QUERIES["nb_loglik"] = f"""
-  SELECT {KEYS},
-         ROUND(SUM(LGAMMA(k + phi) - LGAMMA(phi) - LGAMMA(k + 1)
-                   + phi * LN(phi / (phi + mu)) + k * LN(mu / (phi + mu))), 4) AS log_likelihood,
-         COUNT(*) AS n_observed
-  FROM stream_means JOIN observed USING (place_id, stream, t) WHERE k IS NOT NULL GROUP BY {KEYS}"""
+  SELECT {KEYS}, CASE WHEN COUNT(ll) = COUNT(*) THEN ROUND(SUM(ll), 4) END AS log_likelihood, COUNT(*) AS n_observed
+  FROM (SELECT *, LGAMMA(k + phi) - LGAMMA(phi) - LGAMMA(k + 1)
+                  + phi * LN(phi / (phi + mu)) + k * LN(mu / (phi + mu)) AS ll
+        FROM stream_means JOIN observed USING (place_id, stream, t) WHERE k IS NOT NULL)
+  GROUP BY {KEYS}"""
 
 PARTS["generated"] = f"""
   SELECT {KEYS}, name, CAST(NULL AS INTEGER) AS idx, value FROM (
@@ -555,14 +629,14 @@ QUERIES["link_functions"] = f"""
 QUERIES["log_moments"] = """
   SELECT event_type AS stream, ROUND(AVG(LN(value)), 6) AS mean, ROUND(STDDEV_SAMP(LN(value)), 6) AS sd
   FROM events WHERE value > 0 GROUP BY event_type"""
-QUERIES["dispersion_pivot"] = "SELECT " + ", ".join(
+QUERIES["dispersion_pivot"] = "SELECT place_id, " + ", ".join(
     f"""ROUND(MAX({c}) FILTER (stream = '{s}'), 6) AS "{n}_{c}\""""
     for s, n in (("cases", "ϕ_cases"), ("hospitalized", "ϕ_hosp"), ("icu", "ϕ_icu"), ("deaths", "ϕ_deaths"))
     for c in ("mean", "sd")
-) + " FROM stream_moments"
+) + " FROM stream_moments GROUP BY place_id"
 QUERIES["prior_quantiles"] = """
-  SELECT name, prob, ROUND(v, 6) AS value, ROUND(1 / v, 6) AS reciprocal
-  FROM (SELECT name, prob, CASE WHEN link = 'exp' THEN EXP(mean + q * sd) ELSE 1 / (1 + EXP(-(mean + q * sd))) END AS v
+  SELECT place_id, level, name, prob, ROUND(v, 6) AS value, ROUND(1 / v, 6) AS reciprocal
+  FROM (SELECT place_id, level, name, prob, CASE WHEN link = 'exp' THEN EXP(mean + q * sd) ELSE 1 / (1 + EXP(-(mean + q * sd))) END AS v
         FROM priors, (VALUES (0.05::DOUBLE, -1.6448536269514722::DOUBLE), (0.5, 0.0), (0.95, 1.6448536269514722)) t(prob, q))"""
 PARTS["induced"] = f"""
   SELECT {KEYS}, IHR * HICUR * ICUDR AS "IFR",
@@ -597,9 +671,9 @@ def _assemble(body: str) -> str:
     need(body)
     parts = [f"{name} AS ({PARTS[name]})" for name in ordered]
     body = body.strip()
-    if body.startswith("WITH "):
-        parts.append(body[5:])
-        return "WITH " + ",\n".join(parts)
+    for opening in ("WITH RECURSIVE ", "WITH "):
+        if body.startswith(opening):
+            return opening + ",\n".join([*parts, body.removeprefix(opening)])
     return ("WITH " + ",\n".join(parts) + "\n" if parts else "") + body
 
 

@@ -75,7 +75,43 @@ def test_nulls_and_nan(spark):
     assert got["a"] == 1.5 and got["b"] is None and np.isnan(got["c"]) and got[None] == 4.0 and len(got) == 4
 
 
-def test_the_input_is_read_once(spark):
+def rows_moved(spark, run):
+    """The most rows that any stage of ``run`` writes to a shuffle."""
+    context = spark.sparkContext
+    store = context._jsc.sc().statusStore()
+
+    def stages():
+        none = context._gateway.new_array(context._jvm.double, 0)
+        found = store.stageList(None, False, False, none, context._jvm.java.util.ArrayList())
+        return {(found.apply(i).stageId(), found.apply(i).shuffleWriteRecords()) for i in range(found.size())}
+
+    before = stages()
+    run()
+    context._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    return max(n for _, n in stages() - before)
+
+
+def test_no_exchange_carries_the_rows(spark, tmp_path):
+    """One group of 100,000 distinct values: what moves are cells and the values of a few of them."""
+    spark.range(100_000).selectExpr("cast(rand(1) * 1000 + id * 1e-9 as double) as v", "'a' as k").write.parquet(f"{tmp_path}/d")
+    df = spark.read.parquet(f"{tmp_path}/d")
+    found = []
+    moved = rows_moved(spark, lambda: found.extend(Q.group_quantiles(df, ["k"], "v", PROBS).collect()))
+    values = [r["v"] for r in df.collect()]
+    np.testing.assert_allclose(found[0]["quantiles"], np.quantile(values, PROBS), rtol=1e-12)
+    assert moved < 20_000
+
+
+def test_usual_groups_move_a_part(spark, tmp_path):
+    """Groups of a thousand draws, as a model has them."""
+    spark.range(64_000).selectExpr("id % 64 as k", "cast(randn(1) as double) as v").coalesce(1).write.parquet(f"{tmp_path}/d")
+    df = spark.read.parquet(f"{tmp_path}/d")
+    moved = rows_moved(spark, lambda: Q.median_qi(df, ["k"], "v", (0.5, 0.7, 0.9)).collect())
+    assert moved < 0.25 * 64_000
+
+
+def test_digits_are_few(spark):
+    """Usual draws take two readings, a group of any size a logarithm of its rows."""
     reads = spark.sparkContext.accumulator(0)
 
     def seen(batches):
@@ -83,9 +119,11 @@ def test_the_input_is_read_once(spark):
             reads.add(batch.num_rows)
             yield batch
 
-    df = spark.range(1000).selectExpr("id % 3 as k", "cast(id as double) as v").mapInArrow(seen, "k long, v double")
-    assert len(Q.group_quantiles(df, ["k"], "v", [0.1, 0.5]).collect()) == 3
-    assert reads.value == 1000
+    for rows, most in ((1_000, 2), (30_000, 3)):
+        reads.value = 0
+        df = spark.range(rows).selectExpr("id % 2 as k", "sin(id) * id as v").mapInArrow(seen, "k long, v double")
+        assert len(Q.group_quantiles(df, ["k"], "v", [0.1, 0.5]).collect()) == 2
+        assert reads.value <= most * rows
 
 
 def test_median_qi_rows_nest(spark, groups):

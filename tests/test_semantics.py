@@ -3,6 +3,7 @@
 import datetime as dt
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -249,18 +250,21 @@ def test_log_density_at_extremes(spark, k, mu, phi):
     assert got == pytest.approx(_log_density(k, mu, phi), rel=1e-9, abs=1e-6)
 
 
+def packed_draw(spark, params, steps, states):
+    """One packed draw: steps as {idx: value}, states as {t: {compartment: value}}."""
+    from epipanel.constants import COMPARTMENTS
+    from epipanel.schemas import PACKED_MODEL
+
+    rows = [(t, *[float(s[c]) if s.get(c) is not None else None for c in COMPARTMENTS]) for t, s in states.items()]
+    return spark.createDataFrame([(1, "posterior", 1, 1, params, list(steps.items()), rows)], PACKED_MODEL)
+
+
 def test_flows_conserve_people(spark):
-    keys = "1 as place_id, 'posterior' as source, 1 as chain, 1 as iteration"
-    states = spark.sql(
-        f"select {keys}, 0 as t, 900D as S, 20D as E, 30D as I, 4D as H, 50D as R, 7D as C, 2D as ICU, 3D as D"
-    )
-    params = spark.sql(
-        f"select {keys}, 1.7D as `β`, 0.6D as `γ`, 0.5D as `ν`, 0.4D as `η`, 0.05D as `κ`, 0.3D as `ω`, "
-        "0.1D as IHR, 0.2D as HICUR, 0.25D as ICUDR"
-    )
-    row = M.transition_flows(states, params).first().asDict()
     sizes = dict(S=900, E=20, I=30, H=4, R=50, ICU=2, D=3)
+    params = {"R₀_init": 3.4, "σ_R₀": 0.5, "γ": 0.6, "ν": 0.5, "η": 0.4, "κ": 0.05, "ω": 0.3, "IHR": 0.1, "HICUR": 0.2, "ICUDR": 0.25}
+    row = M.transition_flows(packed_draw(spark, params, {}, {0: {**sizes, "C": 7}})).first().asDict()
     assert row["N"] == sum(sizes.values())
+    assert row["infection"] == pytest.approx(3.4 * 0.5 * 30 * 900 / row["N"])
     moves = {       # what enters and leaves each compartment
         "S": (["waned_immunity"], ["infection"]), "E": (["infection"], ["progression"]),
         "I": (["progression"], ["hospitalization", "non_hospitalized_recovery"]),
@@ -274,18 +278,43 @@ def test_flows_conserve_people(spark):
 
 
 def test_steps_hold_until_the_next(spark):
-    keys = "1 as place_id, 'p' as source, 1 as chain, 1 as iteration"
-    steps = spark.sql(f"select {keys}, t, value from values (1, 10D), (3, 30D) as v(t, value)")
-    asked = spark.sql(f"select {keys}, t from values (0), (1), (2), (3), (9) as v(t)")
-    got = dict(M.step_param_lookup(steps, asked).select("t", "value").collect())
-    assert got == {0: None, 1: 10.0, 2: 10.0, 3: 30.0, 9: 30.0}
+    """Steps at weeks 1 and 3; the weeks between keep the β of the step before."""
+    params = {"R₀_init": 1.0, "σ_R₀": 1.0, "ν": 2.0}
+    draw = packed_draw(spark, params, {1: 1.0, 3: 1.0}, {t: {} for t in (0, 1, 2, 3, 9)})
+    got = dict(M.step_param_lookup(draw).select("t", "value").collect())
+    e = np.exp(1.0)
+    assert got == pytest.approx({0: 2.0, 1: 2 * e, 2: 2 * e, 3: 2 * e * e, 9: 2 * e * e})
 
 
 def test_first_week_has_no_increment(spark):
-    keys = "1 as place_id, 'p' as source, 1 as chain, 1 as iteration"
-    states = spark.sql(f"select {keys}, t, C, D from values (0, 1D, 1D), (1, 4D, 1D), (2, 9D, 3D) as v(t, C, D)")
-    got = [(r["t"], r["new_C"], r["new_D"]) for r in M.increments(states).orderBy("t").collect()]
+    draw = packed_draw(spark, {}, {}, {0: {"C": 1, "D": 1}, 1: {"C": 4, "D": 1}, 2: {"C": 9, "D": 3}})
+    got = [(r["t"], r["new_C"], r["new_D"]) for r in M.increments(draw).orderBy("t").collect()]
     assert got == [(1, 3.0, 0.0), (2, 5.0, 2.0)]
+    assert M.increments(packed_draw(spark, {}, {}, {})).count() == 0
+
+
+def test_a_missing_step_ends_the_path(spark):
+    params = {"R₀_init": 2.0, "σ_R₀": 0.5, "ν": 1.0}
+    got = [r["R₀_t"] for r in M.log_random_walk(packed_draw(spark, params, {1: 0.5, 2: None, 3: 0.5}, {})).orderBy("idx").collect()]
+    assert got[:2] == pytest.approx([2.0, 2.0 * np.exp(0.25)]) and got[2:] == [None, None]
+
+
+def test_a_missing_mean_leaves_no_likelihood(spark):
+    keys = "1 as place_id, 'p' as source, 1 as chain"
+    observed = spark.sql("select 1 as place_id, s as stream, t, v as value from values ('a', 1, 3D), ('a', 2, 4D), ('a', 3, null) as x(s, t, v)")
+    means = spark.sql(f"select {keys}, i as iteration, 'a' as stream, t, m as mu, 5D as phi from values (1, 1, 3D), (1, 2, null), (1, 3, null), (2, 1, 3D), (2, 2, 4D), (2, 3, null) as x(i, t, m)")
+    got = {r["iteration"]: r for r in M.nb_loglik(observed, means).collect()}
+    assert got[1]["log_likelihood"] is None and got[1]["n_observed"] == 2
+    assert got[2]["log_likelihood"] < 0 and got[2]["n_observed"] == 2
+
+
+def test_a_missing_day_has_no_share(spark):
+    from epipanel.operators.panel import ecdf_lookup
+
+    ecdf = spark.createDataFrame([("cases", 0, 0.25), ("cases", 1, 1.0)], "stream string, x int, F double")
+    days = spark.createDataFrame([(-3,), (0,), (7,), (None,)], "d int")
+    got = {r["d"]: r["f"] for r in ecdf_lookup(days, ecdf, "cases", "d", "f").collect()}
+    assert got == {-3: 0.25, 0: 0.25, 7: 1.0, None: None}
 
 
 def test_clamp_and_links(spark):
