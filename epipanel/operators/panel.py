@@ -215,6 +215,58 @@ def weekly_panel(corrected: DataFrame, origin: Column, step: int = STEP_DAYS) ->
     )
 
 
+# ---------------------------------------------------------------- mergeable panel
+
+_ADDED = ("cases", "deaths", "est_cases", "est_deaths")
+_LAST = ("cumulative_deaths", "hospitalized", "icu")
+
+
+def panel_state(corrected: DataFrame, origin: Column, step: int = STEP_DAYS) -> DataFrame:
+    """What a weekly panel rests on, a row per place and week, in a form that adds up.
+
+    Days, and for each summed column how many of them have a value and their
+    sum; the first and last date; the census of the last date.
+    """
+    return (
+        corrected.withColumn("time", week_index("date", origin, step))
+        .groupBy("place", "time")
+        .agg(
+            F.count(F.lit(1)).alias("days"), F.min("date").alias("start_date"), F.max("date").alias("end_date"),
+            *[F.count(c).alias(f"{c}_known") for c in _ADDED], *[F.sum(c).alias(f"{c}_sum") for c in _ADDED],
+            F.max_by(F.struct(*_LAST), "date").alias("last"),
+        )
+    )
+
+
+def merge_states(one: DataFrame, other: DataFrame) -> DataFrame:
+    """The state of both feeds' days together; no day of a place may be in both."""
+    return one.unionByName(other).groupBy("place", "time").agg(
+        F.sum("days").alias("days"), F.min("start_date").alias("start_date"), F.max("end_date").alias("_end"),
+        *[F.sum(f"{c}_known").alias(f"{c}_known") for c in _ADDED], *[F.sum(f"{c}_sum").alias(f"{c}_sum") for c in _ADDED],
+        F.max_by("last", "end_date").alias("last"),
+    ).withColumnRenamed("_end", "end_date").select(*one.columns)
+
+
+def panel_of(state: DataFrame) -> DataFrame:
+    """The weekly panel of a state, as ``weekly_panel`` gives it for the days themselves."""
+    strict = {c: F.when(F.col(f"{c}_known") == F.col("days"), F.col(f"{c}_sum")) for c in _ADDED}
+    return state.select(
+        "place", "time", "start_date", "end_date", strict["cases"].alias("cases"), strict["deaths"].alias("deaths"),
+        *[half_even_round(strict[c]).alias(c) for c in ("est_cases", "est_deaths")], *[F.col(f"last.{c}").alias(c) for c in _LAST],
+    )
+
+
+def update_rollup(rolled: DataFrame, merged: DataFrame, late: DataFrame, region_key: DataFrame, state: str) -> DataFrame:
+    """The rolled-up panel after a late feed: only its weeks are summed anew, the others are kept.
+
+    ``merged`` is the state with the late feed, ``late`` the state of the feed alone.
+    """
+    touched = late.select("time").distinct()
+    kept = rolled.join(touched, "time", "left_anti").select(*rolled.columns)
+    anew = rollup_places(panel_of(merged.join(touched, "time", "left_semi")), region_key, state)
+    return kept.unionByName(anew)
+
+
 def attach_region(df: DataFrame, region_key: DataFrame) -> DataFrame:
     """Left join to the region key; a place without one keeps a null region."""
     return df.join(region_key.select("place", "region"), "place", "left")

@@ -9,6 +9,7 @@ from functools import cached_property
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import schemas
 from ..constants import EXPORT_WIDTH, SCALAR_LABELS, VARIANT_EXCLUDED, VARIANT_TOTALS, VECTOR_LABELS
 from ..functions.scalars import clamp, last_by, logistic, logit, sum_strict
 from ..operators import draws as D
@@ -245,6 +246,22 @@ def rollup_panel(f: Frames) -> DataFrame:
     return f.ingest.rolled
 
 
+@query
+def late_feed(f: Frames) -> DataFrame:
+    """The rolled-up panel when the days of some nations in the last three weeks come late.
+
+    The first feed's state and rollup are stored. The late days' state is
+    merged into it, and only the weeks that they touch are summed anew.
+    """
+    ingest, key = f.ingest, f.data.region_key
+    first_day, last_day = ingest.bounds.first_day, ingest.bounds.last_date
+    late = F.col("place").isin("NATION_4", "NATION_9", "NATION_20") & (F.col("date") > F.date_sub(F.lit(last_day).cast("date"), 21))
+    states = [P.panel_state(ingest.corrected.where(which), F.lit(first_day).cast("date")) for which in (~late, late)]
+    before, added = together(*[lambda s=s: stage(s) for s in states])
+    rolled = stage(P.rollup_places(P.panel_of(before), key, STATE))
+    return P.update_rollup(rolled, stage(P.merge_states(before, added)), added, key, STATE)
+
+
 @query
 def place_dimension(f: Frames) -> DataFrame:
     return f.ingest.dim
@@ -335,10 +352,10 @@ def read_dims(f: Frames) -> DataFrame:
 
 @query
 def write_report(f: Frames) -> DataFrame:
-    """The panel as a report, read back by name."""
+    """The panel as a report in order of places and weeks, read back through its manifest."""
     path = f"{shared_folder(f.spark)}/report-{uuid.uuid4().hex}"
-    W.write_report(f.ingest.panel.drop("level").orderBy("place", "time", "start_date"), path)
-    return S.read_panel(f.spark, path, place="place")
+    W.write_report(f.ingest.panel.drop("level"), path, ["place", "time", "start_date", "end_date"])
+    return S.read_report(f.spark, path, schemas.WEEKLY_PANEL)
 
 
 @query

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
 from urllib.parse import unquote
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -98,6 +99,47 @@ def read_panel(spark: SparkSession, path: str, place: str = "county") -> DataFra
     return read_named(spark, path, schemas.WEEKLY_PANEL, {"place": place})
 
 
+def read_report(
+    spark: SparkSession, path: str, schema: str, first: Sequence | None = None, last: Sequence | None = None
+) -> DataFrame:
+    """A report that was written with an order, in that order.
+
+    ``first`` and ``last`` bound the keys, both included; they may be shorter
+    than the key, and files whose keys lie outside are not opened. Rows come
+    in order of the key. A file that does not hold the rows that the manifest
+    tells is an error.
+    """
+    told = spark.read.json(f"{path}/_manifest")
+    if "order" not in told.columns:      # a report without rows
+        return read_named(spark, path, schema)
+    order = told.first()["order"]
+    types = {f.name: f.dataType for f in T.StructType.fromDDL(schema).fields}
+
+    def key(of: str | None, n: int) -> Column:
+        return F.struct(*[F.col(f"{of}.{c}" if of else c).cast(types[c]).alias(c) for c in order[:n]])
+
+    def bound(values: Sequence) -> Column:
+        return F.struct(*[F.lit(v).cast(types[c]).alias(c) for c, v in zip(order, values)])
+
+    wanted, inside = F.lit(True), F.lit(True)
+    if first is not None:
+        wanted = wanted & (key("last", len(first)) >= bound(first))
+        inside = inside & (key(None, len(first)) >= bound(first))
+    if last is not None:
+        wanted = wanted & (key("first", len(last)) <= bound(last))
+        inside = inside & (key(None, len(last)) <= bound(last))
+    # A row for each file that is opened.
+    files = {r["file"]: r["rows"] for r in told.where(wanted).select("file", "rows").collect()}
+    if not files:
+        return spark.createDataFrame([], schema)
+    rows = spark.read.schema(T.StructType([T.StructField(n, t) for n, t in types.items()])).option("header", True).option(
+        "enforceSchema", False).option("nullValue", MISSING).csv([f"{path}/{f}" for f in files])
+    found = {r["file"]: r["count"] for r in rows.groupBy(F.col("_metadata.file_name").alias("file")).count().collect()}
+    if found != files:
+        raise ValueError(f"{path} holds other rows than its manifest tells")
+    return rows.where(inside).orderBy(*order)
+
+
 DRAW_ID = ("place_id", "source", "chain", "iteration")
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -42,13 +44,31 @@ def refresh_results(df: DataFrame, path: str) -> None:
     write_draws(df, path)
 
 
-def write_report(df: DataFrame, path: str) -> None:
-    """A CSV folder with header, in the frame's order.
+MANIFEST = "_manifest"      # readers skip folders whose names begin so
+
+
+def write_report(df: DataFrame, path: str, order: Sequence[str] = ()) -> None:
+    """A CSV folder with header, in order of ``order`` or else in the frame's.
 
     A small report lands in one file because its partitions are coalesced at
-    run time; a large one keeps several.
+    run time; a large one keeps several. With ``order`` (names of columns,
+    ascending) a manifest is kept in the folder: each file's place in the order,
+    its rows, and its first and last key. ``readers.read_report`` restores the
+    order by it and opens only the files that a range of keys needs.
     """
-    df.write.mode("overwrite").option("header", True).option("nullValue", MISSING).csv(path)
+    ordered = df.orderBy(*order) if order else df
+    ordered.write.mode("overwrite").option("header", True).option("nullValue", MISSING).csv(path)
+    if order:
+        _manifest(df, path, order).write.mode("overwrite").json(f"{path}/{MANIFEST}")
+
+
+def _manifest(df: DataFrame, path: str, order: Sequence[str]) -> DataFrame:
+    """(file, rows, order, first, last) of each file; the writer names files in order of their parts."""
+    spark, key = df.sparkSession, F.struct(*[F.col(c) for c in order])
+    stored = spark.read.schema(df.schema).option("header", True).option("nullValue", MISSING).csv(path)
+    return stored.groupBy(F.col("_metadata.file_name").alias("file")).agg(
+        F.count(F.lit(1)).alias("rows"), F.lit(list(order)).alias("order"), F.min(key).alias("first"), F.max(key).alias("last")
+    )
 
 
 def write_dispersions(moments: DataFrame, path: str) -> None:

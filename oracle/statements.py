@@ -171,6 +171,7 @@ PARTS["rolled"] = f"""
   SELECT 'state' AS level, 'Nations' AS place, time, start_date, end_date, {_SUMS}
   FROM weekly GROUP BY time, start_date, end_date"""
 QUERIES["rollup_panel"] = f"SELECT level, {_PANEL} FROM rolled"
+QUERIES["late_feed"] = QUERIES["rollup_panel"]
 PARTS["panel"] = f"SELECT level, {_PANEL} FROM rolled WHERE time <> 0"
 
 PARTS["dim"] = """

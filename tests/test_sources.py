@@ -2,6 +2,7 @@
 
 import datetime as dt
 
+import pytest
 from pyspark.sql import functions as F
 
 from epipanel.operators import panel as P
@@ -145,3 +146,52 @@ def test_intervals_under_other_names(spark, tmp_path):
     (tmp_path / "i.csv").write_text("county,name,date,value,.lower,.upper,.width,.point,.interval\nA,icu,2022-06-05,2,1,3,0.5,median,qi\n")
     row = R.read_intervals(spark, str(tmp_path / "i.csv"), R.INTERVAL_NAMES).first()
     assert (row["place"], row["lower"], row["value"], row["upper"], row["width"]) == ("A", 1.0, 2.0, 3.0, 0.5)
+
+
+def test_a_report_is_read_in_order(spark, tmp_path):
+    """From several files: the order is restored, a range opens only the files that hold it."""
+    readers, sinks = R, K
+    schema = "place string, time bigint, value double"
+    rows = [(f"P{i % 7}", i // 7, None if i % 5 == 0 else float(i)) for i in range(700)] + [(None, 3, 1.5)]
+    frame = spark.createDataFrame(rows, schema).repartition(5)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        sinks.write_report(frame, f"{tmp_path}/r", ["place", "time"])
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    files = list((tmp_path / "r").glob("part-*.csv"))
+    assert len(files) > 2
+    got = [tuple(r) for r in readers.read_report(spark, f"{tmp_path}/r", schema).collect()]
+    assert got == sorted(rows, key=lambda r: (r[0] is not None, r[0] or "", r[1]))
+    part = readers.read_report(spark, f"{tmp_path}/r", schema, first=["P2", 90], last=["P3"])
+    assert [tuple(r) for r in part.collect()] == [r for r in got if r[0] and ("P2", 90) <= (r[0], r[1]) and r[0] <= "P3"]
+    assert len(part.inputFiles()) < len(files)
+    assert readers.read_report(spark, f"{tmp_path}/r", schema, first=["Z"]).count() == 0
+    cut = next(f for f in files if f.read_text().count("\n") > 2)
+    cut.write_text("place,time,value\n")
+    (cut.parent / f".{cut.name}.crc").unlink()
+    with pytest.raises(ValueError, match="manifest"):
+        readers.read_report(spark, f"{tmp_path}/r", schema)
+    sinks.write_report(frame.where("false"), f"{tmp_path}/none", ["place"])
+    assert readers.read_report(spark, f"{tmp_path}/none", schema).count() == 0
+
+
+def test_late_days_merge_into_the_panel(spark):
+    first = dt.date(2022, 6, 1)
+    days = [(p, first + dt.timedelta(d), None if (p, d) == ("B", 9) else float(d % 4), 1.0, d + 0.5, 2.5 if d % 2 else None, float(d), float(d % 3), None if d == 20 else 1.0)
+            for p in "ABC" for d in range(21)]
+    schema = "place string, date date, cases double, deaths double, est_cases double, est_deaths double, cumulative_deaths double, hospitalized double, icu double"
+    frame, origin = spark.createDataFrame(days, schema), F.lit(first)
+    key = spark.createDataFrame([("X", "A"), ("X", "B"), ("Y", "C")], "region string, place string")
+    late = (F.col("place") == "B") & (F.col("date") >= F.lit(dt.date(2022, 6, 10)))
+    before, added = P.panel_state(frame.where(~late), origin), P.panel_state(frame.where(late), origin)
+    merged = P.merge_states(before, added)
+    whole = P.weekly_panel(frame, origin)
+    columns = sorted(whole.columns)
+    assert sorted(map(str, P.panel_of(merged).select(*columns).collect())) == sorted(map(str, whole.select(*columns).collect()))
+    rolled = P.rollup_places(P.panel_of(before), key, "S")
+    updated = P.update_rollup(rolled, merged, added, key, "S")
+    want = P.rollup_places(whole, key, "S")
+    assert sorted(map(str, updated.collect())) == sorted(map(str, want.collect()))
+    nothing = P.update_rollup(rolled, before, added.where("false"), key, "S")
+    assert sorted(map(str, nothing.collect())) == sorted(map(str, rolled.collect()))
