@@ -17,13 +17,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import types as T
 
-from .support import text_of
+from .support import released, small_batches, text_of
 
 NEVER = np.iinfo(np.int32).max   # rank of a pair that does not merge
 WIDTHS = (8, 16, 32, 96)   # widths, in bytes, of the arrays of short words; longer words use a heap
 ROWS = 2048                # words scanned together, so that their arrays stay in the CPU's cache
-BATCH_CHARS = 2_000_000    # texts encoded at once
-CACHE_WORDS = 1_200_000  # words remembered by a worker; the memory is started anew beyond it
+BATCH_CHARS = 1_000_000    # texts encoded at once
+CACHE_WORDS = 400_000    # words remembered in a task; the memory is started anew beyond it
 # The code points with the White_Space property.
 BLANK = r"\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
@@ -275,7 +275,7 @@ def encode_texts(
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pairs = vocabulary(vocabulary_path)
-        for batch in batches:
+        for batch in released(batches):
             packed, counts, digests, told, decoded = [], [], [], [], []
             for texts in in_parts(batch.column(1)):
                 for ids in pairs.encode(texts):
@@ -291,6 +291,7 @@ def encode_texts(
                 columns += [pa.array(packed, pa.binary()), pa.array(decoded, pa.string())]
             columns += batch.columns[2:]
             yield pa.RecordBatch.from_arrays(columns, names=[f.name for f in fields])
+        pairs.known.clear()      # the worker stays; its memory of words need not
 
-    rows = docs.select(docs[id_col].cast("long").alias(id_col), text_of(text_col).alias("text"), *(c.cast("long").alias(n) for n, c in carry.items()))
+    rows = small_batches(docs).select(docs[id_col].cast("long").alias(id_col), text_of(text_col).alias("text"), *(c.cast("long").alias(n) for n, c in carry.items()))
     return rows.mapInArrow(encode, T.StructType(fields))

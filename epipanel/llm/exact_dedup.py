@@ -96,6 +96,9 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """The input's rows that stay, with the input's columns.
 
     Rows that repeat both the id and the text of the winner are cut to one.
+    Null and empty texts are one group; a row without an id stays only where
+    its group has no other. Texts of any length are compared whole. Clashing
+    column names are kept as they are; an empty table gives an empty result.
     """
     told = stage(exact_dedup(docs, id_col, text_col).where("kept").select(id_col, "text_sha256"))
     winners = told.select(F.col(id_col).alias("__id__"), F.col("text_sha256").alias("__sha__"))

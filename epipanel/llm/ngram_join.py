@@ -12,13 +12,12 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .support import ascii_lower, components, stage, text_of
+from .support import ascii_lower, components, released, small_batches, stage, text_of
 
 SKETCH_BITS = 23           # counters of the frequency sketch, as a power of two
 PIECE_BITS = 16            # counters of one piece of it
-SLICE = 256                # documents whose shingles are made together
+SLICE_WORDS = 1 << 18      # words whose shingles are made together, or those of one text
 GROUP = 64                 # documents of a group, about
-BROADCAST_ROWS = 500_000   # ids (8 bytes each) that may be broadcast; more are joined by shuffling
 BLANKS = r"[\x20\x09-\x0D]+"
 U64 = np.uint64
 
@@ -40,23 +39,26 @@ def chained(words: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
-def shingle_sets(column: pa.Array, n: int) -> Iterator[np.ndarray]:
+def shingle_sets(column: pa.Array, n: int) -> Iterator[list[np.ndarray]]:
     """Sorted distinct shingles of each list of word hashes, some lists at a time."""
-    for at in range(0, len(column), SLICE):
-        part = column.slice(at, SLICE)
-        words = np.asarray(part.flatten(), np.int64).view(U64)
-        ends = np.concatenate([[0], np.cumsum(np.asarray(pa.compute.list_value_length(part), np.int64))])
-        runs = chained(words, n)
+    sizes = np.asarray(pa.compute.list_value_length(column), np.int64)
+    piece = np.cumsum(sizes) // SLICE_WORDS
+    edges = [0, *(np.flatnonzero(np.diff(piece)) + 1).tolist(), len(column)]
+    for a, b in zip(edges, edges[1:]):
+        words = np.asarray(column.slice(a, b - a).flatten(), np.int64).view(U64)
+        ends = np.concatenate([[0], np.cumsum(sizes[a:b])])
+        runs, out = chained(words, n), []
         for start, end in zip(ends[:-1].tolist(), ends[1:].tolist()):
             if end - start >= n:
-                yield np.unique(runs[start : end - n + 1])
+                out.append(np.unique(runs[start : end - n + 1]))
             else:
-                yield chained(words[start:end], end - start) if end > start else np.zeros(0, U64)
+                out.append(chained(words[start:end], end - start) if end > start else np.zeros(0, U64))
+        yield out
 
 
 def word_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     words = F.array_remove(F.split(ascii_lower(text_of(text_col)), BLANKS, -1), "")
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.transform(words, lambda w: F.xxhash64(w)).alias("words"))
+    return small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.transform(words, lambda w: F.xxhash64(w)).alias("words"))
 
 
 def identity(tokens: np.ndarray, seed: int) -> bytes:
@@ -78,14 +80,15 @@ def signatures(docs: DataFrame, n: int, id_col: str, text_col: str, seed: int) -
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(1 << SKETCH_BITS, np.uint32)
-        for batch in batches:
+        for batch in released(batches):
             keys, sizes, bits = [], [], []
-            for tokens in shingle_sets(batch.column(1), n):
-                keys.append(identity(tokens, seed))
-                sizes.append(len(tokens))
-                bits.append(parity(tokens))
-                at = (tokens >> shift).astype(np.int64)
-                np.add.at(counts, at, 1)
+            for sets in shingle_sets(batch.column(1), n):
+                for tokens in sets:
+                    keys.append(identity(tokens, seed))
+                    sizes.append(len(tokens))
+                    bits.append(parity(tokens))
+                    at = (tokens >> shift).astype(np.int64)
+                    np.add.at(counts, at, 1)
             none = pa.nulls(len(keys))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(keys, pa.binary()), pa.array(sizes, pa.int32()), pa.array(bits, pa.binary()),
@@ -159,9 +162,9 @@ class Join:
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             seen: set[int] = set()
-            for batch in batches:
+            for batch in released(batches):
                 sets, ids, sizes = [], [], []
-                for tokens in shingle_sets(batch.column(1), n):
+                for tokens in (t for some in shingle_sets(batch.column(1), n) for t in some):
                     sid = int.from_bytes(identity(tokens, seed)[:8], "big", signed=True)
                     if not len(tokens) or sid in seen:
                         continue
@@ -232,19 +235,18 @@ class Join:
             left.select(F.explode(F.array("a", "b")).alias("sid")).distinct()
             .join(self.classes.select("sid", "rep"), "sid")
         )
-        ids = needed.select(F.col("rep").alias("__rep__")).distinct()
-        if needed.count() <= BROADCAST_ROWS:
-            ids = F.broadcast(ids)
+        # Stored, so that Spark sees its size and broadcasts it only if that is small.
+        ids = stage(needed.select(F.col("rep").alias("__rep__")).distinct())
         texts = self.docs.join(ids, F.col(self.id_col).cast("long") == F.col("__rep__"), "left_semi")
 
         def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                found = list(shingle_sets(batch.column(1), n))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([int.from_bytes(identity(t, seed)[:8], "big", signed=True) for t in found], pa.int64()),
-                     pa.array([t.view(np.int64) for t in found], pa.list_(pa.int64()))],
-                    names=["sid", "tokens"],
-                )
+            for batch in released(batches):
+                for found in shingle_sets(batch.column(1), n):
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([int.from_bytes(identity(t, seed)[:8], "big", signed=True) for t in found], pa.int64()),
+                         pa.array([t.view(np.int64) for t in found], pa.list_(pa.int64()))],
+                        names=["sid", "tokens"],
+                    )
 
         made = word_rows(texts, self.id_col, self.text_col).mapInArrow(sets, "sid long, tokens array<long>")
         whole = stage(made.join(needed.select("sid"), "sid", "left_semi").dropDuplicates(["sid"]))
@@ -362,7 +364,13 @@ def jaccard_components(
 
 
 def keep_one(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows that stay when of each component only the smallest id does, with the input's columns."""
+    """The rows that stay when of each component only the smallest id does, with the input's columns.
+
+    Null and empty texts and rows without an id are in no component and stay.
+    Rows that repeat the id that stays all do. Texts of any length are compared
+    whole. Clashing column names are kept as they are; an empty table gives an
+    empty result.
+    """
     kept = jaccard_components(docs, words, percent, id_col, text_col).where(
         F.col(id_col).eqNullSafe(F.col("component_id"))
     ).select(F.col(id_col).alias("__kept__")).distinct()

@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 
 from ..session import stage
 
-__all__ = ["ascii_lower", "components", "stage", "table", "text_of", "text_parts"]
+__all__ = ["ascii_lower", "components", "released", "small_batches", "stage", "table", "text_of", "text_parts"]
+
+BATCH_ROWS = 512       # rows that go to a Python worker at once, if the session does not say
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -30,6 +32,24 @@ def ascii_lower(text: Column) -> Column:
     return F.when(single, F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
 
 
+def small_batches(df: DataFrame) -> DataFrame:
+    """``df``, in a session that sends texts to Python workers some hundred at a time.
+
+    An Arrow batch is held on both sides of the pipe, and Spark's default of
+    10,000 rows is meant for numbers. A setting other than the default stays.
+    """
+    name, spark = "spark.sql.execution.arrow.maxRecordsPerBatch", df.sparkSession
+    if spark.conf.get(name) == "10000":
+        spark.conf.set(name, BATCH_ROWS)
+    return df
+
+
+def released(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches; Arrow's spare memory is given back behind the last one, as workers live on."""
+    yield from batches
+    pa.default_memory_pool().release_unused()
+
+
 def text_parts(column: pa.Array, most: int) -> Iterator[list[bytes]]:
     """The texts of a binary column, null as empty, in lists of ``most`` bytes or little more than one text."""
     texts, size = [], 0

@@ -14,14 +14,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .support import stage, text_of
+from .support import released, small_batches, stage, text_of
 
 SAMPLE = 20_000        # labelled documents the model is fitted on, at most
-VOCABULARY = 4_096     # features, at most
 LEAST_DOCS = 4         # sampled documents a feature must occur in
 GRADES = 3             # 0 clean, 1 toxic, 2 toxic with more marks than half of the toxic documents
 REJECT = 0.3           # chance of any toxicity from which a document is rejected
-SLICE = 512            # rows unpacked at once
+SLICE_BYTES = 1_000_000   # of texts unpacked at once
 STEMS = (4, 5, 6)      # lengths of the beginnings of longer words that can be features
 LEVELS = (1, 2, 3)     # a feature tells that a word or beginning occurs at least so often
 WORD = re.compile(r"[^\W\d_]+")
@@ -37,11 +36,14 @@ def counts_of(text: str) -> Counter[str]:
     return words
 
 
-def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Some rows at a time, so that few texts are unpacked at once."""
-    for batch in batches:
-        for at in range(0, batch.num_rows, SLICE):
-            yield batch.slice(at, SLICE)
+def slices(batches: Iterator[pa.RecordBatch], text: int) -> Iterator[pa.RecordBatch]:
+    """Some rows at a time, so that few texts (column ``text``) are unpacked at once: as many bytes or one text."""
+    for batch in released(batches):
+        sizes = pa.compute.fill_null(pa.compute.binary_length(batch.column(text)), 0)
+        piece = np.cumsum(np.asarray(sizes, np.int64)) // SLICE_BYTES
+        edges = [0, *(np.flatnonzero(np.diff(piece)) + 1).tolist(), batch.num_rows]
+        for a, b in zip(edges, edges[1:]):
+            yield batch.slice(a, b - a)
 
 
 @dataclass(frozen=True)
@@ -132,7 +134,7 @@ def labelled(docs: DataFrame, labels: DataFrame, sample: int, id_col: str, text_
     several labels of an id one is enough to call it toxic.
     """
     chosen = graded(labels, id_col).orderBy(F.xxhash64("_label"), "_label").limit(sample)
-    texts = docs.select(F.col(id_col).cast("long").alias("_id"), text_of(text_col).alias("_text"))
+    texts = small_batches(docs).select(F.col(id_col).cast("long").alias("_id"), text_of(text_col).alias("_text"))
     return texts.join(F.broadcast(chosen), F.col("_id") == F.col("_label")).select(
         F.col("_text").alias("text"), F.col("_toxic").alias("toxic")
     )
@@ -140,7 +142,7 @@ def labelled(docs: DataFrame, labels: DataFrame, sample: int, id_col: str, text_
 
 def fit(
     docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-    *, sample: int = SAMPLE, vocabulary: int = VOCABULARY, least_docs: int = LEAST_DOCS,
+    *, sample: int = SAMPLE, least_docs: int = LEAST_DOCS,
 ) -> OrdinalModel:
     """Fit the model on a bounded sample of labelled documents.
 
@@ -157,7 +159,7 @@ def fit(
     known = labelled(docs, labels, sample, id_col, text_col)
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        for batch in slices(batches, 0):
             found = [[(w, k) for w, n in counts_of(t.as_py()).items() for k in LEVELS if n >= k] for t in batch.column(0)]
             sizes = np.fromiter(map(len, found), np.int64, len(found))
             yield pa.RecordBatch.from_arrays(
@@ -181,12 +183,13 @@ def fit(
     chosen = marked.where(F.col("excess") >= float(np.log(max(counted.count(), 1)))).orderBy(F.desc("excess"), "word", "level")
     names: dict[str, dict[int, int]] = {}
     n_features = 0
-    for n_features, r in enumerate(chosen.limit(vocabulary).select("word", "level").collect(), 1):
+    # All of them: their number follows from the sample, whose size is bounded.
+    for n_features, r in enumerate(chosen.select("word", "level").collect(), 1):
         names.setdefault(r.word, {})[r.level] = n_features - 1
     blank = OrdinalModel(names, np.zeros(n_features), np.zeros(GRADES - 1))
 
     def matrix(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        for batch in slices(batches, 0):
             found = [blank.features(t.as_py()) for t in batch.column(0)]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(found, pa.list_(pa.int32())), batch.column(1)], names=["at", "toxic"]
@@ -221,16 +224,16 @@ def score(
         place, schema = docs.columns.index(text_col), docs.schema
 
         def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for part in slices(batches):
+            for part in slices(batches, place):
                 texts = [t.as_py() or "" for t in part.column(place)]
                 yield part.filter(pa.array(model.above(texts)[:, 0] < reject, pa.bool_()))
 
-        return docs.mapInArrow(keep, schema)
+        return small_batches(docs).mapInArrow(keep, schema)
     fields = [(id_col, T.LongType()), ("expected_severity", T.DoubleType()), ("grade", T.IntegerType()),
               ("p_toxic", T.DoubleType()), ("toxic", T.BooleanType())]
 
     def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        for batch in slices(batches, 1):
             above = model.above([t.as_py() for t in batch.column(1)])
             chance = -np.diff(np.hstack([np.ones((len(above), 1)), above, np.zeros((len(above), 1))]), axis=1)
             yield pa.RecordBatch.from_arrays(
@@ -239,7 +242,7 @@ def score(
                 names=[name for name, _ in fields],
             )
 
-    rows = docs.select(docs[id_col].cast("long").alias(id_col), text_of(text_col).alias("text"))
+    rows = small_batches(docs).select(docs[id_col].cast("long").alias(id_col), text_of(text_col).alias("text"))
     return rows.mapInArrow(told, T.StructType([T.StructField(*f) for f in fields]))
 
 
