@@ -8,6 +8,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -93,10 +94,23 @@ def vectors(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1)
 
 
+def by_length(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(length, rows, matrix) of the lists of each length."""
+    sizes = np.asarray(pa.compute.list_value_length(column), np.int64)
+    for d in np.unique(sizes).tolist():
+        rows = np.flatnonzero(sizes == d)
+        yield d, rows, vectors(column.take(pa.array(rows)))
+
+
+def scaled(matrix: np.ndarray) -> np.ndarray:
+    """Rows times a power of two, which changes no digit, so that squares neither vanish nor overflow."""
+    _, exponent = np.frexp(np.abs(matrix).max(axis=1, keepdims=True))
+    return np.ldexp(matrix, -exponent)
+
+
 def units(matrix: np.ndarray) -> np.ndarray:
-    # Scaled by the largest component first, so that squares neither vanish nor overflow.
-    scaled = matrix / np.abs(matrix).max(axis=1, keepdims=True)
-    return scaled / np.linalg.norm(scaled, axis=1, keepdims=True)
+    even = scaled(matrix)
+    return even / np.linalg.norm(even, axis=1, keepdims=True)
 
 
 def usable(vec: Column) -> Column:
@@ -133,7 +147,8 @@ def nearest(
     query.
 
     Rows without an id, and vectors that are null, zero, empty or not finite,
-    take no part, nor do vectors of another length than most have. Repeated
+    take no part. Vectors of different lengths are never compared: each length
+    has trees of its own, or one leaf where the sample has none of it. Repeated
     rows count once. With fewer than ``k`` candidates, all are returned. Other
     columns, whatever their names, are not read. An empty table gives an empty
     result.
@@ -142,8 +157,6 @@ def nearest(
     rows = embeddings.select(
         F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).cast("array<double>").alias("vec")
     ).where(F.col("vec_id").isNotNull() & usable(F.col("vec")))
-    lengths = rows.groupBy(F.size("vec").alias("d")).count().orderBy(F.desc("count"), "d").first()
-    rows = rows.where(F.size("vec") == (lengths.d if lengths else 0))
 
     # One row for each distinct vector, with its smallest ids. The rank is
     # limited in each task before the vectors of a class meet.
@@ -161,49 +174,66 @@ def nearest(
 
     chosen = classes.orderBy(F.xxhash64("cid"), "cid").limit(sample).select("vec").toArrow()
     column = chosen.column("vec").combine_chunks()
-    forest = fit_forest(units(vectors(column)) if len(column) else np.zeros((0, 1)), trees, leaf_sample)
-    shared = spark.sparkContext.broadcast(forest)     # at most 2 * trees * sample / leaf_sample vectors
+    forests = {d: fit_forest(units(x), trees, leaf_sample) for d, _, x in by_length(column)} if len(column) else {}
+    shared = spark.sparkContext.broadcast(forests)     # at most 2 * trees * sample / leaf_sample vectors
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                leaf = shared.value.place(units(vectors(batch.column(1))))
-                at = pa.array(np.repeat(np.arange(batch.num_rows), leaf.shape[1]))
+            for d, rows, x in by_length(batch.column(1)):
+                forest = shared.value.get(d)
+                leaf = forest.place(units(x)) if forest else np.zeros((len(rows), 1), np.int64)
+                at = pa.array(np.repeat(rows, leaf.shape[1]))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(leaf.reshape(-1)), batch.column(0).take(at), batch.column(1).take(at)], names=["leaf", "cid", "vec"]
+                    [pa.array(np.full(len(at), d, np.int32)), pa.array(leaf.reshape(-1)), batch.column(0).take(at), batch.column(1).take(at)],
+                    names=["d", "leaf", "cid", "vec"],
                 )
 
-    leaf_schema = "leaf long, cid long, vec array<double>"
+    leaf_schema = "d int, leaf long, cid long, vec array<double>"
     indexed = classes.select("cid", "vec").mapInArrow(index, leaf_schema)
-    # A row for each leaf of the forest.
-    counted = {r.leaf: r.n for r in indexed.groupBy("leaf").agg(F.count("*").alias("n")).collect()}
-    sizes = np.zeros(max(1, trees * forest.leaves), np.int64)
-    for leaf, n in counted.items():
-        sizes[leaf] = n
-    wanted = share * sizes[: forest.leaves].sum()
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Leaves are told from vectors in little time; storing each vector once a tree would take more."""
+        for batch in index(batches):
+            leaf, n = np.unique(np.asarray(batch.column(1)), return_counts=True)
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(0, len(n)), pa.array(leaf), pa.array(n)], names=["d", "leaf", "n"])
+
+    def collected(table: DataFrame) -> dict[tuple[int, int], int]:
+        """Rows of each leaf that has any: a row for each leaf of the forests, and for each length without one."""
+        return {(r.d, r.leaf): r.n for r in table.groupBy("d", "leaf").agg(F.sum("n").alias("n")).collect()}
+
+    counted = collected(classes.select("cid", "vec").mapInArrow(count, "d int, leaf long, n long"))
+    sizes = {d: np.array([counted.get((d, i), 0) for i in range(trees * f.leaves)], np.int64) for d, f in forests.items()}
+    wanted = {d: share * n[: forests[d].leaves].sum() for d, n in sizes.items()}
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                found = [shared.value.search(u, sizes, wanted) for u in units(vectors(batch.column(1)))]
-                at = pa.array(np.repeat(np.arange(len(found)), [len(f) for f in found]))
+            for d, rows, x in by_length(batch.column(1)):
+                forest = shared.value.get(d)
+                found = [forest.search(u, sizes[d], wanted[d]) if forest else [0] for u in units(x)]
+                at = pa.array(np.repeat(rows, [len(f) for f in found]))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([x for f in found for x in f], pa.int64()), batch.column(0).take(at), batch.column(1).take(at)],
-                    names=["leaf", "cid", "vec"],
+                    [pa.array(np.full(len(at), d, np.int32)), pa.array([x for f in found for x in f], pa.int64()),
+                     batch.column(0).take(at), batch.column(1).take(at)],
+                    names=["d", "leaf", "cid", "vec"],
                 )
 
     askers = classes.join(asked.select("cid").distinct(), "cid", "left_semi").select("cid", "vec")
     visits = stage(askers.mapInArrow(search, leaf_schema))
-    visitors = {r.leaf: r.n for r in visits.groupBy("leaf").agg(F.count("*").alias("n")).collect()}
-
-    def blocks(n: dict[int, int]) -> Column:
-        pieces = [-(-n.get(i, 0) // block) for i in range(len(sizes))]
-        return F.element_at(F.array(*[F.lit(p) for p in pieces]), F.col("leaf").cast("int") + 1) if max(pieces, default=0) > 1 else F.lit(1)
+    visitors = collected(visits.withColumn("n", F.lit(1)))
+
+    def blocks(n: dict[tuple[int, int], int]) -> Column:
+        """Blocks of a leaf; only leaves of more than one are listed."""
+        out = F.lit(1)
+        large = {key: -(-m // block) for key, m in n.items() if m > block}
+        if large:
+            listed = F.create_map(*[x for (d, i), m in large.items() for x in (F.lit(f"{d}:{i}"), F.lit(m))])
+            out = F.coalesce(F.try_element_at(listed, F.concat_ws(":", "d", "leaf")), out)
+        return out
 
     def spread(df: DataFrame, mine: Column, theirs: Column, own: str, other: str) -> DataFrame:
         """Deal rows to their side's blocks, once for each block of the other side."""
-        return df.withColumn(own, F.pmod(F.xxhash64("cid"), F.greatest(mine, F.lit(1)))).withColumn(
-            other, F.explode(F.sequence(F.lit(0).cast("long"), (F.greatest(theirs, F.lit(1)) - 1).cast("long")))
+        return df.withColumn(own, F.pmod(F.xxhash64("cid"), mine)).withColumn(
+            other, F.explode(F.sequence(F.lit(0).cast("long"), (theirs - 1).cast("long")))
         )
 
     n_rows, n_queries = blocks(counted), blocks(visitors)
@@ -216,6 +246,8 @@ def nearest(
             ids, queries = (np.asarray(x.column("cid").combine_chunks()) for x in (one, two))
             a, b = (vectors(x.column("vec").combine_chunks()) for x in (one, two))
             ua, ub = units(a), units(b)
+            a, b = scaled(a), scaled(b)
+            na, nb = np.sqrt(np.einsum("ij,ij->i", a, a)), np.sqrt(np.einsum("ij,ij->i", b, b))
             for start in range(0, len(queries), 256):
                 near = ub[start : start + 256] @ ua.T
                 if len(ids) > k + 1:
@@ -225,12 +257,12 @@ def nearest(
                 else:
                     q, r = np.nonzero(np.ones_like(near, bool))
                 q += start
-                score = (ub[q] * ua[r]).sum(axis=1)
+                score = np.einsum("ij,ij->i", b[q], a[r]) / (nb[q] * na[r])
                 out.append((queries[q], ids[r], score))
         q, c, s = (np.concatenate(x) for x in zip(*out)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
         return pa.table({"query": pa.array(q, pa.int64()), "cid": pa.array(c, pa.int64()), "score": pa.array(s, pa.float64())})
 
-    key = ["leaf", "row_block", "query_block"]
+    key = ["d", "leaf", "row_block", "query_block"]
     scored = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(rerank, "query long, cid long, score double")
     best = Window.partitionBy("query").orderBy(F.desc("score"), "cid")
     top = (
