@@ -12,11 +12,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .fm_index import FMIndex
-from .support import ascii_lower, stage, text_of
+from .support import ascii_lower, released, small_batches, stage, text_of
 
 WINDOW = 10            # words of a test phrase
 PHRASES = 100_000      # phrases searched in one pass over the corpus, at most; more take further passes
 SHARD_WORDS = 1 << 20  # words of a shard
+ROWS = 1 << 14         # rows of a shard, at most
 PIECE = 64             # phrases that begin in one piece of a shard
 PART_BYTES = 4_000_000   # of a text taken apart at once
 GAPS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -143,47 +144,65 @@ def one_pass(docs: DataFrame, phrases: Phrases, id_col: str, text_col: str, shar
     """(uid, id, n_words, spans, phrases) of every row, for phrases that may be broadcast."""
     shared = docs.sparkSession.sparkContext.broadcast(phrases)     # at most PHRASES rows
 
+    def told(batch: pa.RecordBatch, n_words: np.ndarray, at: np.ndarray, which: np.ndarray, first: np.ndarray) -> pa.RecordBatch:
+        """A batch's rows with the occurrences in them; ``at`` is sorted."""
+        texts = batch.column("text")
+        spans: list[list] = [[] for _ in range(batch.num_rows)]
+        ids: list[list[int]] = [[] for _ in range(batch.num_rows)]
+        edges = np.concatenate([[0], np.flatnonzero(np.diff(at)) + 1, [len(at)]])
+        for a, b in zip(edges[:-1], edges[1:]) if len(at) else ():
+            row, sizes = int(at[a]), shared.value.sizes[which[a:b]]
+            words = [m.span() for m in WORD_IN_TEXT.finditer(texts[row].as_py().decode("utf-8", "surrogateescape"))]
+            spans[row] = [
+                {"first": f, "last": t, "start": words[f][0], "end": words[t - 1][1]} for f, t in merged(first[a:b], first[a:b] + sizes)
+            ]
+            ids[row] = np.unique(shared.value.ids[which[a:b]]).tolist()
+        return pa.RecordBatch.from_arrays(
+            [batch.column("uid"), batch.column("id"), pa.array(n_words),
+             pa.array(spans, pa.list_(pa.struct([(n, pa.int32()) for n in ("first", "last", "start", "end")]))),
+             pa.array(ids, pa.list_(pa.int64()))],
+            names=["uid", "id", "n_words", "spans", "phrases"],
+        )
+
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         phrases = shared.value
-        shard = Shard(phrases)
-        for batch in batches:
-            texts = batch.column("text")
+        shard, found, waiting, rows, words = Shard(phrases), [], [], 0, 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            """The rows that wait, once all their words have been searched."""
+            if shard.size:
+                found.append(shard.search())
+            at, which, first = (np.concatenate(x) for x in zip(*found)) if found else [np.zeros(0, np.int64)] * 3
+            order = np.argsort(at, kind="stable")
+            at, which, first = at[order], which[order], first[order]
+            base = 0
+            for batch, n_words in waiting:
+                a, b = np.searchsorted(at, [base, base + batch.num_rows])
+                yield told(batch, n_words, at[a:b] - base, which[a:b], first[a:b])
+                base += batch.num_rows
+            found.clear()
+            waiting.clear()
+
+        for batch in released(batches):
             n_words = np.zeros(batch.num_rows, np.int64)
-            found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
             for row in range(batch.num_rows):
                 tail = np.zeros(0, np.int32)
-                for part in chunks(texts[row].as_py()):
-                    numbers = phrases.numbers(part)
+                for part in chunks(batch.column("text")[row].as_py()):
                     # A phrase may begin in the words before this part.
-                    shard.add(row, n_words[row] - len(tail), np.concatenate([tail, numbers]))
-                    n_words[row] += len(numbers)
-                    tail = np.concatenate([tail, numbers])[len(tail) + len(numbers) - min(phrases.longest - 1, len(tail) + len(numbers)) :]
+                    numbers = np.concatenate([tail, phrases.numbers(part)])
+                    shard.add(rows + row, n_words[row] - len(tail), numbers)
+                    n_words[row] += len(numbers) - len(tail)
+                    tail = numbers[max(0, len(numbers) - phrases.longest + 1) :]
                     if shard.size >= shard_words:
                         found.append(shard.search())
-            if shard.size:
-                found.append(shard.search())
-            at, which, first = (np.concatenate(x) for x in zip(*found)) if found else [np.zeros(0, np.int64)] * 3
-            order = np.argsort(at, kind="stable")
-            at, which, first = at[order], which[order], first[order]
-            spans: list[list] = [[] for _ in range(batch.num_rows)]
-            ids: list[list[int]] = [[] for _ in range(batch.num_rows)]
-            edges = np.concatenate([[0], np.flatnonzero(np.diff(at)) + 1, [len(at)]])
-            for a, b in zip(edges[:-1], edges[1:]) if len(at) else ():
-                row = int(at[a])
-                words = [m.span() for m in WORD_IN_TEXT.finditer(texts[row].as_py().decode("utf-8", "surrogateescape"))]
-                spans[row] = [
-                    {"first": f, "last": t, "start": words[f][0], "end": words[t - 1][1]}
-                    for f, t in merged(first[a:b], first[a:b] + phrases.sizes[which[a:b]])
-                ]
-                ids[row] = np.unique(phrases.ids[which[a:b]]).tolist()
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("uid"), batch.column("id"), pa.array(n_words),
-                 pa.array(spans, pa.list_(pa.struct([(n, pa.int32()) for n in ("first", "last", "start", "end")]))),
-                 pa.array(ids, pa.list_(pa.int64()))],
-                names=["uid", "id", "n_words", "spans", "phrases"],
-            )
-
-    rows = docs.select(uid_of(id_col, text_col).alias("uid"), F.col(id_col).cast("long").alias("id"), text_of(text_col).cast("binary").alias("text"))
+            waiting.append((batch, n_words))
+            rows, words = rows + batch.num_rows, words + int(n_words.sum())
+            if words >= shard_words or rows >= ROWS:
+                yield from flush()
+                rows = words = 0
+        yield from flush()
+
+    rows = small_batches(docs).select(uid_of(id_col, text_col).alias("uid"), F.col(id_col).cast("long").alias("id"), text_of(text_col).cast("binary").alias("text"))
     return rows.mapInArrow(search, f"uid string, id long, n_words long, spans {SPANS}, phrases array<long>")
 
 

@@ -63,7 +63,7 @@ def suffix_order(text: np.ndarray, bits: int) -> np.ndarray:
     """
     n, width = len(text), 63 // bits
     key, alive = text.astype(np.int64), text != 0
-    for j in range(1, width):
+    for j in range(1, min(width, n)):      # a short text ends before
         after = np.zeros(n, np.int64)
         after[: n - j] = text[j:]
         after[~alive] = 0

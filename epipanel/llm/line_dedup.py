@@ -43,8 +43,8 @@ def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     Lines end at line feeds. Blank lines belong to no window and stay. A window
     is three lines in a row among the others, compared whole by a 128-bit
-    digest. Of equal windows anywhere the first stays, by id, then text, then
-    position; one that overlaps the first in its own text is part of it. All
+    digest. Of equal windows anywhere the first stays, by id, then by an MD5 of
+    id and text (rows that share an id), then by position; one that overlaps the first in its own text is part of it. All
     others are later occurrences, and the lines that they cover are removed:
     their positions are merged to intervals and the text is put together from
     what lies between.

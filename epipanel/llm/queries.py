@@ -162,6 +162,30 @@ def op10_token_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_components(table(spark, sf_dir, "documents"), words=3, percent=90)
 
 
+STATEMENTS["op10_token_groups"] = """
+  WITH RECURSIVE words AS (
+    SELECT row_number() OVER () AS row, doc_id,
+           list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                          '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w
+    FROM documents),
+  sets AS (
+    SELECT row, doc_id, list_distinct(CASE
+             WHEN len(w) >= 3 THEN list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])
+             WHEN len(w) > 0 THEN [list_aggregate(w, 'string_agg', ' ')] ELSE [] END) AS g
+    FROM words),
+  shingles AS (SELECT row, doc_id, len(g) AS n, unnest(g) AS x FROM sets WHERE doc_id IS NOT NULL),
+  links AS (
+    SELECT DISTINCT u, v
+    FROM (SELECT a.doc_id AS u, b.doc_id AS v, a.n + b.n AS total, count(*) AS m
+          FROM shingles a JOIN shingles b ON a.x = b.x AND a.row <> b.row GROUP BY a.row, b.row, a.doc_id, b.doc_id, a.n, b.n)
+    WHERE 100 * m >= 90 * (total - m)),
+  reached(id, other) AS (
+    SELECT DISTINCT doc_id, doc_id FROM sets WHERE doc_id IS NOT NULL
+    UNION SELECT r.id, l.v FROM reached r JOIN links l ON l.u = r.other),
+  roots AS (SELECT id, min(other) AS component_id FROM reached GROUP BY id)
+  SELECT doc_id, CAST(len(g) AS BIGINT) AS n_shingles, component_id FROM sets LEFT JOIN roots ON id = doc_id"""
+
+
 STATEMENTS["op9_warc_converter"] = """
   WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
   t AS (SELECT *, strlen(h) AS n, max(page_id) OVER (PARTITION BY h) AS top FROM p)

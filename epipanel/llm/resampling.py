@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.ranking import range_positions
-from .support import stage, text_parts
+from .support import released, small_batches, stage, text_parts
 
 BUCKETS = 10_000       # hashed features are counted in so many buckets
 SCALE = 1_000          # gains and noise are whole thousandths
@@ -48,13 +48,13 @@ def bucket_counts(docs: DataFrame, text_col: str, longest: int, buckets: int) ->
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(buckets, np.int64)
-        for batch in batches:
+        for batch in released(batches):
             for texts in text_parts(batch.column(0), PART_BYTES):
                 total += np.bincount(hashed(texts, longest)[0] % buckets, minlength=buckets)
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(total[used])], names=["bucket", "n"])
 
-    told = docs.select(F.col(text_col).cast("binary")).mapInArrow(count, "bucket int, n long")
+    told = small_batches(docs).select(F.col(text_col).cast("binary")).mapInArrow(count, "bucket int, n long")
     out = np.zeros(buckets, np.int64)
     for r in told.groupBy("bucket").agg(F.sum("n").alias("n")).collect():
         out[r.bucket] = r.n
@@ -73,7 +73,7 @@ def weighted(docs: DataFrame, gain: np.ndarray, id_col: str, text_col: str, long
     """(id, n_words, n_features, weight) of every row: the floored mean of its features' gains."""
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in released(batches):
             told = []
             for texts in text_parts(batch.column(1), PART_BYTES):
                 runs, sizes, words = hashed(texts, longest)
@@ -85,7 +85,7 @@ def weighted(docs: DataFrame, gain: np.ndarray, id_col: str, text_col: str, long
                 [batch.column(0), pa.array(words), pa.array(sizes), pa.array(weight)], names=["id", "n_words", "n_features", "weight"]
             )
 
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text"))
+    rows = small_batches(docs).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text"))
     return rows.mapInArrow(weigh, "id long, n_words long, n_features long, weight long")
 
 

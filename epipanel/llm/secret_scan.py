@@ -127,7 +127,8 @@ def secret_scan(
 
     1. Every whole text is addressed by its SHA-256.
     2. Pairs of blob and rule version that the ledger lacks are scanned, and
-       written to the shared folder with the older ones.
+       these new rows are written to the shared folder. The ledger returned is
+       the older rows and them; ``Ledger`` keeps it in one folder.
     3. The spans of the current rule versions are joined back to all paths.
 
     The findings have (id, blob, spans), spans in order of start, then rule;
@@ -142,18 +143,49 @@ def secret_scan(
     old = empty_ledger(spark) if ledger is None else ledger.select(*LEDGER)
     new = stage(scan_blobs(paths.select("blob", "text"), old, rules))
     merged = new.unionByName(old)
+    return findings_of(paths, merged, id_col, rules), merged
+
+
+def findings_of(paths: DataFrame, ledger: DataFrame, id_col: str, rules: tuple[Rule, ...]) -> DataFrame:
+    """(id, blob, spans) of every path, from the ledger's rows of the current rule versions."""
     current = F.lit(False)
     for r in rules:
         current = current | ((F.col("kind") == r.kind) & (F.col("version") == r.version))
     found = (
-        merged.where(current & (F.size("spans") > 0))
-        .groupBy("blob").agg(F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"))
+        ledger.where(current & (F.size("spans") > 0))
+        .groupBy("blob").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("spans")))).alias("spans"))
     )
     empty = F.expr(f"cast(array() as {SPAN})")
-    told = paths.select("path", "blob").join(found, "blob", "left").select(
+    return paths.select("path", "blob").join(found, "blob", "left").select(
         F.col("path").alias(id_col), "blob", F.coalesce("spans", empty).alias("spans")
     )
-    return told, merged
+
+
+class Ledger:
+    """A ledger kept in a folder, to which every scan adds the pairs it was the first to see."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path
+
+    def read(self) -> DataFrame:
+        schema = ", ".join(f"{name} {kind}" for name, kind in LEDGER.items())
+        self.spark.createDataFrame([], schema).write.mode("append").parquet(self.path)      # so that the folder exists
+        return self.spark.read.schema(schema).parquet(self.path)
+
+    def scan(
+        self, versions: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: tuple[Rule, ...] = RULES
+    ) -> DataFrame:
+        """Findings for every row of ``versions``, as ``secret_scan`` gives them.
+
+        Each row is a version of a path; a path may have any number of them.
+        Only blobs that no earlier scan met, or that met other rule versions,
+        are looked at. A pair that is stored twice, as by a scan that was
+        repeated, tells the same spans once.
+        """
+        paths = versions.select(F.col(id_col).alias("path"), text_of(text_col).alias("text")).withColumn("blob", F.sha2("text", 256))
+        new = stage(scan_blobs(paths.select("blob", "text"), self.read(), rules))
+        new.write.mode("append").parquet(self.path)
+        return findings_of(paths, self.read(), id_col, rules)
 
 
 def joined(spans: Column) -> Column:
