@@ -21,10 +21,21 @@ STATE = "struct<t:int," + ",".join(f"{c}:double" for c in COMPARTMENTS) + ">"
 
 # ---------------------------------------------------------------- packing
 
+def by_draw(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The rows dealt out by draw, over as many tasks as the session's shuffles or cores.
+
+    Packing shrinks nothing before it moves, so this is its one exchange. The
+    number is given, so that adaptive execution leaves few but dear rows spread.
+    """
+    spark = df.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    return df.repartition(tasks, *keys)
+
+
 def pack_draws(draws: DataFrame, keys: Sequence[str] = DRAW_KEYS) -> DataFrame:
     """Long draws to (keys, entries), entries in order of name and position; one exchange."""
     entry = F.struct("name", F.col("idx").cast("int").alias("idx"), F.col("value").cast("double").alias("value"))
-    return draws.groupBy(*keys).agg(F.array_sort(F.collect_list(entry)).alias("entries"))
+    return by_draw(draws, keys).groupBy(*keys).agg(F.array_sort(F.collect_list(entry)).alias("entries"))
 
 
 def pack_wide(df: DataFrame, keys: Sequence[str] = DRAW_KEYS, columns: Sequence[str] | None = None) -> DataFrame:
@@ -63,7 +74,7 @@ def pack_model(parameters: DataFrame, steps: DataFrame, states: DataFrame, keys:
     three = states.select(*keys, state.alias("_c"))
     stacked = one.unionByName(two, allowMissingColumns=True).unionByName(three, allowMissingColumns=True)
     # collect_list leaves the nulls of the other tables out.
-    return stacked.groupBy(*keys).agg(
+    return by_draw(stacked, keys).groupBy(*keys).agg(
         F.map_from_entries(F.collect_list("_p")).alias("params"),
         F.array_sort(F.collect_list("_s")).alias("steps"),
         F.array_sort(F.collect_list("_c")).alias("states"),

@@ -76,11 +76,19 @@ class Frames:
         return H.forecast_calendar(self.ingest.panel)
 
     def prepare(self) -> None:
-        """Store the stages of both jobs, independent ones at the same time."""
+        """Store the stages of both jobs; the panel's and the model's go side by side."""
         ingest = self.ingest
-        together(lambda: ingest.daily, lambda: ingest.ecdf, lambda: ingest.dim)
-        model = self.model
-        together(lambda: ingest.rolled, lambda: model.draws)
+
+        def panel() -> None:
+            together(lambda: ingest.daily, lambda: ingest.ecdf)
+            ingest.rolled
+
+        def model() -> None:
+            together(lambda: ingest.dim, lambda: self.packed)
+            self.priors
+            self.model.draws
+
+        together(panel, model)
 
     @cached_property
     def gq(self) -> DataFrame:
