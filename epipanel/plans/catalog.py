@@ -334,7 +334,8 @@ def nb_dispersion_ml(f: Frames) -> DataFrame:
     series = D.wide_to_long(
         f.ingest.weekly, ["place", "time"], ["est_cases", "est_deaths", "hospitalized", "icu"]
     )
-    return rounded(R.nb_dispersion_ml(series, ["place", "name"], "time", "value"), 4, "mu", "phi", "log_likelihood")
+    fitted = R.nb_dispersion_ml(series, ["place", "name"], "time", "value")
+    return rounded(rounded(fitted, 6, "mu"), 4, "phi", "log_likelihood")
 
 
 @query

@@ -267,7 +267,7 @@ QUERIES["nb_dispersion_ml"] = f"""
                                          ELSE SIGN(a) * 1.5 END, -1.5), 1.5))
     FROM (SELECT place, name, turn, phi, SUM({_FIRST}) AS a, SUM({_SECOND}) AS b
           FROM newton JOIN smoothed USING (place, name) WHERE turn < 30 GROUP BY place, name, turn, phi))
-  SELECT place, name, n, ROUND(mu, 4) AS mu, CASE WHEN rises > 0 THEN ROUND(phi, 4) END AS phi,
+  SELECT place, name, n, ROUND(mu, 6) AS mu, CASE WHEN rises > 0 THEN ROUND(phi, 4) END AS phi,
          CASE WHEN rises > 0 THEN ROUND(ll, 4) END AS log_likelihood
   FROM (SELECT place, name, phi, COUNT(*) AS n, AVG(m) AS mu, SUM((k - m) * (k - m) - k) AS rises,
                SUM(LGAMMA(k + phi) - LGAMMA(phi) - LGAMMA(k + 1) + phi * LN(phi / (phi + m)) + k * LN(m / (phi + m))) AS ll
