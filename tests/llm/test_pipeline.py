@@ -123,7 +123,7 @@ def test_the_fit_has_the_greatest_likelihood():
             w, c = weights.copy(), fitted.copy()
             (w if i < 6 else c)[i if i < 6 else i - 6] += step
             if (w >= 0).all():
-                assert penalised(w, c, rows, grades, ridge) <= best + 1e-6
+                assert penalised(w, c, rows, grades, ridge) <= best + 5e-6
 
 
 def test_scores_follow_from_the_model(spark):
